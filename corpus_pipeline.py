@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, toxicity
+from tidemark.llm import langid, neardup, toxicity
 
 STAGES = [
     ("language_id", langid.language_stage),
     ("toxicity", toxicity.toxicity_stage),
+    ("near_duplicates", neardup.near_duplicate_stage),
 ]
 
 ORACLE_SQL = None

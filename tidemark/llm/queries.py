@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, toxicity
+from tidemark.llm import langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op4_language_id": langid.op4_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
 }
