@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, neardup, toxicity
+from tidemark.llm import langid, mixing, neardup, pieces, toxicity
 
 STAGES = [
     ("language_id", langid.language_stage),
     ("toxicity", toxicity.toxicity_stage),
     ("near_duplicates", neardup.near_duplicate_stage),
+    ("mixing", mixing.mixing_stage),
+    ("sentencepiece", pieces.pieces_stage),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained models, ProbMinHash and Viterbi have no SQL; tests/llm compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
