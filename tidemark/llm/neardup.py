@@ -8,9 +8,10 @@ are the connected components of the links.
 Work is done once per distinct text.  In each band bucket the most connected text leads
 and is compared with the other members, so that a bucket of n near copies costs n and not
 n x n comparisons.  Buckets whose members then still lie in different components are
-compared exhaustively between components, block of members by block of members, on their
-registers (a byte of each); pairs whose agreement is within 3.5 standard deviations of 0.8
-are verified as well, so that no link is lost to the leader's choice.
+compared exhaustively between components, block of members by block of members, on finer
+sketches (two bits of each of 960 registers); pairs whose agreement is within 3.5 standard
+deviations of what 0.8 gives are verified as well, so that no link is lost to the leader's
+choice.
 
 With 40 bands of 6 registers a pair at exactly 0.8 shares no band with a chance of 5 in a
 million.  Null, empty and blank texts have no shingles: each is a group of its own.
@@ -30,23 +31,35 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, shingles
 
 REGISTERS, ROWS, LEAST = 240, 6, 0.8
-BLOCK = 1024
+FINE, BLOCK = 960, 1024
 
 
 def banded(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """(fp, bands, sketch) of every text that has a word; the sketch is the low byte of each register."""
+    """(fp, bands) of every text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             data, offsets = common.text_bytes(batch.column("text"))
             text, shingle, weight = shingles.weighted_shingles(data, offsets)
             used, at = np.unique(text, return_inverse=True)
-            signature = shingles.signatures(at, shingle, weight, len(used), registers)
-            keys, low = shingles.band_keys(signature, rows), signature.astype(np.uint8)
+            keys = shingles.band_keys(shingles.signatures(at, shingle, weight, len(used), registers), rows)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(used)), bands, pa.array([r.tobytes() for r in low], pa.binary())], names=["fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(used)), bands], names=["fp", "bands"])
 
-    return docs.select("fp", "text").mapInArrow(run, "fp string, bands array<long>, sketch binary")
+    return docs.select("fp", "text").mapInArrow(run, "fp string, bands array<long>")
+
+
+def sketches(texts: DataFrame, registers: int = FINE) -> DataFrame:
+    """(node, sketch) from (node, text): the two low bits of each register, as two planes of bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, max_bytes=1 << 20):
+            text, shingle, weight = shingles.weighted_shingles(*common.text_bytes(batch.column("text")))
+            got = shingles.signatures(text, shingle, weight, batch.num_rows, registers)
+            planes = np.concatenate([np.packbits((got >> np.uint64(b)).astype(np.uint8) & 1, axis=1) for b in (0, 1)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in planes], pa.binary())], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -77,7 +90,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, least: float = LEAST, registers: int = REGISTERS, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, least: float = LEAST, registers: int = FINE, block: int = BLOCK) -> DataFrame:
     """Pairs (a < b) of nodes of one bucket, but of different components, whose sketches agree nearly as ``least`` asks.
 
     ``members`` is (key, n, node, comp, bands, sketch).  A bucket of n members is dealt into n / block
@@ -88,20 +101,21 @@ def across(members: DataFrame, least: float = LEAST, registers: int = REGISTERS,
     dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = meets.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "bands", "sketch")
-    agree = (least - 3.5 * np.sqrt(least * (1 - least) / registers)) * registers
+    same = least + (1 - least) / 4
+    differ = (1 - same + 3.5 * np.sqrt(same * (1 - same) / registers)) * registers
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         key, lo, hi = group["key"][0].as_py(), group["lo"][0].as_py(), group["hi"][0].as_py()
         node, comp, part = (group[c].to_numpy() for c in ("node", "comp", "part"))
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        low, high = np.split(np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1), 2, axis=1)
         band = int(np.flatnonzero((bands == key).all(axis=0))[0])
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         found = []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
-            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= agree]
+            j = j[np.bitwise_count((low[j] ^ low[i]) | (high[j] ^ high[i])).sum(axis=1, dtype=np.int64) <= differ]
             j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -135,8 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, texts, links): fp and class of every distinct text, (node, text), and the verified links."""
     source = docs.select(F.md5(F.col("text").cast("binary")).alias("fp"), "text").where(F.col("text").isNotNull())
-    reps = banded(source, registers, rows).groupBy("fp").agg(F.first(F.struct("bands", "sketch")).alias("s"))
-    reps = common.cut(reps.select(F.monotonically_increasing_id().alias("node"), "fp", "s.bands", "s.sketch"))
+    reps = banded(source, registers, rows).groupBy("fp").agg(F.first("bands").alias("bands"))
+    reps = common.cut(reps.select(F.monotonically_increasing_id().alias("node"), "fp", "bands"))
     keys = reps.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = common.cut(keys.join(shared, "key"))
@@ -144,15 +158,19 @@ def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, ro
     leaders = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("links", "node"))["node"].alias("a"))
     tried = common.cut(buckets.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     used = buckets.select("node").distinct().join(reps.select("node", "fp"), "node")
-    texts = source.join(used, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")).join(used, "fp").select("node", "text")
+    texts = source.join(used, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")).join(used, "fp")
+    texts = common.staged(texts.select("node", "text"), "texts")
     links = common.cut(verified(tried, texts, least))
     labels = components(links)
     # Buckets that still hold more than one component.
     placed = buckets.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key").join(reps.select("node", "bands", "sketch"), "node")
+    open_ = common.cut(placed.join(mixed, "key"))
+    nodes = open_.select("node").distinct()
+    fine = common.cut(sketches(texts.join(nodes, "node")))
+    open_ = open_.join(reps.select("node", "bands"), "node").join(fine, "node")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.cut(across(open_, least, registers).distinct().join(done, ["a", "b"], "left_anti"))
+    rest = common.cut(across(open_, least).distinct().join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = common.cut(links.unionByName(verified(rest, texts, least)))
         labels = components(links)
