@@ -51,7 +51,7 @@ def features(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     for first, end, order, ids in grams.gram_blocks(data, ORDERS, buckets):
         counts += np.bincount(ids[: max(0, min(end, len(data) - order + 1) - first)], minlength=buckets)
     ids = np.flatnonzero(counts)
-    return ids, counts[ids] / max(1, counts.sum())
+    return ids.astype(np.int32), (counts[ids] / max(1, counts.sum())).astype(np.float32)
 
 
 def fit(rows: list[tuple[str, str]], buckets: int = 1 << 14, dim: int = 16, epochs: int = 6, rate: float = 8.0, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:

@@ -85,28 +85,30 @@ def fit(rows: list[tuple[str, int]], buckets: int = 1 << 18, dim: int = 8, epoch
     flat = data.tobytes()
     vocabulary: dict[bytes, int] = {}
     word = np.fromiter((vocabulary.setdefault(flat[a:b], len(vocabulary)) for a, b in zip(starts, ends)), np.int64, len(starts))
+    word = word.astype(np.int32)
+    text = text.astype(np.int32)
     del flat, raw
     padded = b"".join(b" %b " % w for w in vocabulary)
     sizes = np.fromiter((len(w) + 2 for w in vocabulary), np.int64, len(vocabulary))
+    del vocabulary
     at = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    ids, owns = [], []
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    parts = []  # (n-gram bucket, word) pairs, a block and an order at a time
     for first, end, order, got in grams.gram_blocks(np.frombuffer(padded, np.uint8), ORDERS, buckets):
-        place = np.arange(first, end)
-        inside = place + order <= at[owner[first:end] + 1]
-        ids.append(got[inside])
-        owns.append(owner[first:end][inside])
-    gram, own = np.concatenate(ids), np.concatenate(owns)
-    per_word = np.maximum(np.bincount(own, minlength=len(sizes)), 1)
-    used, gram = np.unique(gram, return_inverse=True)
-    embed = draw.normal(0, 0.1, (len(used), dim))
+        inside = np.arange(first, end) + order <= at[owner[first:end] + 1]
+        parts.append((got[inside], owner[first:end][inside]))
+    del padded, owner
+    per_word = np.maximum(sum(np.bincount(own, minlength=len(sizes)) for _, own in parts), 1)
+    used = sum(np.bincount(gram, minlength=buckets) for gram, _ in parts) > 0
+    embed = draw.normal(0, 0.1, (buckets, dim)) * used[:, None]
     weight = draw.normal(0, 0.5, dim)  # of class 1 less class 0
     bias, seen_e, seen_w, seen_b = 0.0, np.full_like(embed, 1e-8), np.full(dim, 1e-8), 1e-8
     firsts = np.flatnonzero(np.diff(text, prepend=-1))
     share = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
     for epoch in range(epochs):
         sharp = 0.5 + 4.0 * epoch / max(1, epochs - 1)
-        value = np.bincount(own, weights=(embed @ weight)[gram], minlength=len(sizes)) / per_word
+        table = embed @ weight
+        value = sum(np.bincount(own, weights=table[gram], minlength=len(sizes)) for gram, own in parts) / per_word
         token = value[word]
         top = np.maximum.reduceat(token, firsts)
         pull = np.exp(sharp * (token - top[text]))
@@ -115,7 +117,7 @@ def fit(rows: list[tuple[str, int]], buckets: int = 1 << 18, dim: int = 8, epoch
         p = 1 / (1 + np.exp(-np.clip(pooled + bias, -30, 30)))
         error = (p - label) * share
         per_vocab = np.bincount(word, weights=pull * error[text], minlength=len(sizes)) / per_word
-        per_gram = np.bincount(gram, weights=per_vocab[own], minlength=len(used))
+        per_gram = sum(np.bincount(gram, weights=per_vocab[own], minlength=buckets) for gram, own in parts)
         grad_e, grad_w, grad_b = per_gram[:, None] * weight, per_gram @ embed, error.sum()
         seen_e += grad_e**2
         seen_w += grad_w**2
@@ -123,8 +125,7 @@ def fit(rows: list[tuple[str, int]], buckets: int = 1 << 18, dim: int = 8, epoch
         embed -= rate * grad_e / np.sqrt(seen_e)
         weight -= rate * grad_w / np.sqrt(seen_w)
         bias -= rate * grad_b / np.sqrt(seen_b)
-    table = np.zeros(buckets)
-    table[used] = embed @ weight
+    table = embed @ weight
     # What a text's maximum means: a logistic curve over the sample's maxima, classes weighing the same.
     reach = np.maximum.reduceat(word_means(data, offsets, table)[0], firsts)
     mid, spread = np.average(reach, weights=share), max(reach.std(), 1e-9)
