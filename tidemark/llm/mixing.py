@@ -44,7 +44,7 @@ def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame
     total = F.sum("source_size").over(W.partitionBy())
     level = (total * share - before) / after
     sources = sources.withColumn("level", F.when(level <= F.col("cap") / F.col("weight"), level))
-    level = F.min("level").over(by_fill.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    level = F.max("level").over(by_fill.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
     return sources.select("source", "source_size", target.alias("target"), F.round(target).cast("long").alias("words"))
 
@@ -124,7 +124,7 @@ s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY s
 s1 AS (SELECT *, 2.0::DOUBLE * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s0),
 s2 AS (SELECT *, sum(cap) OVER f - cap AS before, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after, sum(source_size) OVER () AS total
     FROM s1 WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-s3 AS (SELECT *, min(CASE WHEN (total * 1.5::DOUBLE - before) / after <= cap / w THEN (total * 1.5::DOUBLE - before) / after END) OVER () AS level FROM s2),
+s3 AS (SELECT *, max(CASE WHEN (total * 1.5::DOUBLE - before) / after <= cap / w THEN (total * 1.5::DOUBLE - before) / after END) OVER () AS level FROM s2),
 s4 AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM s3),
 p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM d)
 SELECT doc_id, size, source_size, target,
