@@ -50,23 +50,25 @@ def weights(text):
 
 def jp(a, b):
     a, b = weights(a), weights(b)
+    if not a.keys() & b.keys():
+        return 0.0
     return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
 
 
 def near_corpus():
     draw = random.Random(3)
-    texts = [prose(draw, draw.randrange(5, 200)) for _ in range(60)]
-    for t in texts[:20]:
+    texts = [prose(draw, draw.randrange(5, 150)) for _ in range(40)]
+    for t in texts[:15]:
         w = t.split()
         for cut in (1, 2, 9):
             x = w[:]
             for _ in range(cut):
                 x[draw.randrange(len(x))] = "changed" + str(draw.randrange(99))
             texts.append(" ".join(x))
-    base = prose(draw, 400).split()
-    for _ in range(60):  # siblings of one text that are less alike than each is to it
+    base = prose(draw, 200).split()
+    for _ in range(25):  # siblings of one text that are less alike than each is to it
         x = base[:]
-        for k in draw.sample(range(0, 400, 6), 5):
+        for k in draw.sample(range(0, 200, 6), 3):
             x[k] = "s" + str(draw.randrange(999))
         texts.append(" ".join(x))
     texts.append(" ".join(base))
