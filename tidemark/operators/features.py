@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,7 +89,3 @@ def sliding_windows(rows: DataFrame, columns: list[str], size: int = WINDOW, str
     x = F.transform("rows", lambda r: r[columns[0]] if len(columns) == 1 else F.struct(*[r[c].alias(c) for c in columns]))
     y = [F.element_at("rows", -1)[label].alias("y")] if label else []
     return out.select(*keys, "window", x.alias("x"), *y)
-
-
-def all_columns(names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import datasets
@@ -73,14 +72,6 @@ def map_groups(rows: DataFrame, keys: list[str], fn: Callable, schema: str) -> D
     return rows.groupBy(*keys).applyInArrow(fn, schema)
 
 
-def metrics_row(**values) -> dict:
-    return values
-
-
 def append_metrics(df: DataFrame, path: str) -> None:
     """Append result rows to a metrics table."""
     df.withColumn("recorded", F.current_timestamp()).write.mode("append").parquet(path)
-
-
-def ranked_days(days: DataFrame) -> DataFrame:
-    return days.withColumn("rank", F.dense_rank().over(W.orderBy("day_id")))

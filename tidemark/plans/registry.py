@@ -372,6 +372,14 @@ def features40(spark, d):
     return out.select(*GROUP, "seq", F.posexplode("x").alias("f", "x")).withColumn("x", F.round("x", 9))
 
 
+_FLAT = {"bid_px": "(b0 - {i}) / 10000.0::DOUBLE", "bid_sz": "(100 + (seq*7 + {i}*13) % 500)::DOUBLE", "ask_px": "(a0 + {i}) / 10000.0::DOUBLE", "ask_sz": "(100 + (seq*11 + {i}*17) % 500)::DOUBLE"}
+
+
+@register("flattened", o.query(o.given("snap"), f"SELECT {G}, seq, ts_us / 1e6 AS time, " + ", ".join(f"{sql.format(i=i)} AS {c}_{i}" for c, sql in _FLAT.items() for i in range(10)) + " FROM snap"))
+def flattened(spark, d):
+    return features.flattened(levels(snap(spark, d)))
+
+
 @register("zscore", o.query([*o.given("snap"), FEATURES,
     f"fo AS (SELECT *, row_number() OVER (PARTITION BY {G}, f ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY {G}, f) AS n FROM ft)",
     f"""zw AS (SELECT a.ticker_id, a.day_id, a.seq, a.f, a.x, a.unit, sum(b.x - a.x) AS s1, sum((b.x - a.x) * (b.x - a.x)) AS s2 FROM (SELECT fo.*, greatest(0, least(n - 1, i + o)) AS j FROM fo, range(-5, 5) r(o)) a
