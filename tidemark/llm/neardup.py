@@ -127,17 +127,18 @@ def across(members: DataFrame, least: float = LEAST, registers: int = FINE, bloc
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node with an edge; comp is the same for connected nodes.
 
-    Every round sends each node to the neighbour that comes first in a random order, new in each
-    round, follows that twice and rewrites the edges.  A constant share of the nodes merges in each
-    round on average, whatever the shape, so chains and stars take some log(nodes) rounds.
+    Every round sends each node to the neighbour that comes first in an order, follows that twice and
+    rewrites the edges.  The first two rounds order by node, which ends stars at once; the others by a
+    hash, new in each round, which merges a constant share of the nodes on average, whatever the shape,
+    so that long chains take some log(nodes) rounds.
     """
     edges = common.cut(edges.select("a", "b").where("a <> b"))
     labels, turn = None, 0
     while not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        order = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn > 1 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         first = ends.groupBy("a").agg(F.min(order("b")).alias("m"))
-        step = common.cut(first.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("up")))
+        step = first.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("up"))
         above = step.select(F.col("node").alias("up"), F.col("up").alias("parent"))
         parent = common.cut(step.join(above, "up").select("node", "parent"))
         if labels is None:
