@@ -118,6 +118,18 @@ def test_index_and_splits(spark):
     assert datasets.with_index(rows.where("v < 0"), ["v"]).count() == 0
 
 
+def test_index_of_more_rows_than_the_range_sample(spark):
+    n = 400_000
+    rows = spark.range(n).repartition(4).select((F.col("id") * 3).alias("v"), (F.col("id") % 2).alias("label"))
+    got = datasets.with_index(rows, ["v"]).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("index").alias("distinct"), F.max("index").alias("most"), F.count_if(F.col("v") != 3 * F.col("index")).alias("wrong")).first()
+    assert got.asDict() == {"n": n, "distinct": n, "most": n - 1, "wrong": 0}
+    split = {r.part: (r.n, r.lo, r.hi) for r in datasets.chronological_split(rows, 0.2, ["v"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    assert split == {"train": (320_000, 0, 959_997), "valid": (80_000, 960_000, 1_199_997)}
+    value = labels.percentile_at_scale(rows.select(F.col("v").cast("double").alias("v")), "v", 0.78).first().value
+    assert math.isclose(value, 3 * 0.78 * (n - 1))
+    assert datasets.balanced_sample(rows, 5000, ["v"]).count() == 5000
+
+
 def test_balanced_sample(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 50, 0).otherwise(1).alias("label"))
     got = datasets.balanced_sample(rows, 2000, ["id"])

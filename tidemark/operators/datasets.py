@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.operators import features, labels
 from tidemark.sources.fixtures import GROUP
 
@@ -13,10 +14,12 @@ from tidemark.sources.fixtures import GROUP
 def with_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """A gapless row index in a total order: a range sort, one count a partition, no single-task window.
 
-    Only the partition counts, which the driver sums, leave the executors.
+    The sorted rows are materialised first, since Spark may cut the ranges elsewhere when it runs again; counts
+    and index come from that one table.  Only the partition counts, which the driver sums, leave the executors.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     placed = placed.withColumn("__row", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    placed = common.cut(placed)
     counts = placed.groupBy("__part").count().orderBy("__part").collect()
     starts, at = {}, 0
     for r in counts:
@@ -30,7 +33,7 @@ def with_index(df: DataFrame, order: list[str], name: str = "index") -> DataFram
 def chronological_split(rows: DataFrame, validation: float = 0.2, order: list[str] | None = None) -> DataFrame:
     """``part``: the first int(n x (1 - validation)) rows train, the rest valid."""
     indexed = with_index(rows, order or [*GROUP, "seq"])
-    cut = int(rows.count() * (1 - validation))
+    cut = int(indexed.count() * (1 - validation))
     return indexed.withColumn("part", F.when(F.col("index") < cut, "train").otherwise("valid"))
 
 
@@ -65,7 +68,7 @@ def balanced_sample(rows: DataFrame, draws: int, order: list[str], seed: int = 7
     spark = rows.sparkSession
     indexed = with_index(rows, [label, *order])
     classes = indexed.groupBy(label).agg(F.min("index").alias("first"), F.count(F.lit(1)).alias("n"))
-    weighted = classes.join(class_weights(rows, label).select(label, "weight"), label).withColumn("chance", F.col("weight") * F.col("n"))
+    weighted = classes.join(class_weights(indexed, label).select(label, "weight"), label).withColumn("chance", F.col("weight") * F.col("n"))
     upto = F.sum("chance").over(W.orderBy(label)) / F.sum("chance").over(W.partitionBy())
     bounds = weighted.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag(upto).over(W.orderBy(label)), F.lit(0.0)))
     point = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40))
