@@ -96,6 +96,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
+def test_links_between_short_texts_are_all_compared(spark):
+    draw = random.Random(11)
+    texts = []
+    for k in range(600):  # 8 words and the same with a ninth: 4 of 5 shingles, 0.8 exactly
+        words = [f"w{k}x{draw.randrange(10**6)}" for _ in range(9)]
+        texts += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(texts, "node long, text string")
+    bands = {int(r.fp): r.bands for r in neardup.banded(docs.select(F.col("node").cast("string").alias("fp"), "text")).collect()}
+    shared = {k: [x for x, y in zip(bands[2 * k], bands[2 * k + 1]) if x == y] for k in range(600)}
+    rows = [(keys[0], 2, 2 * k + i, 2 * k + i, bands[2 * k + i]) for k, keys in shared.items() if keys for i in (0, 1)]
+    members = spark.createDataFrame(rows, "key long, n long, node long, comp long, bands array<long>").join(neardup.sketches(docs), "node")
+    got = {(r.a, r.b) for r in neardup.across(members).collect()}
+    assert len(rows) > 1190 and got == {(r[2], r[2] + 1) for r in rows if r[2] % 2 == 0}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c k l m n o p"
     data = np.frombuffer((a + b).encode(), np.uint8)
