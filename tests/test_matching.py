@@ -139,6 +139,13 @@ def test_balanced_sample(spark):
     assert abs(cheap[0] - 500) < 120 and abs(cheap[1] - 500) < 120
 
 
+def test_poisson_sample_of_rare_classes(spark):
+    for n, rare in ((100_000, 100), (40_000, 10)):  # mean 500 and mean 2,000, where exp(-mean) is 0
+        rows = spark.range(n).select("id", F.when(F.col("id") < rare, 0).otherwise(1).alias("label"))
+        got = {r.label: (r["n"], r.ids) for r in datasets.poisson_sample(rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()}
+        assert abs(got[0][0] - n / 2) < 0.03 * n and abs(got[1][0] - n / 2) < 0.03 * n and got[0][1] == rare
+
+
 def test_thresholds_are_stored_and_stale_ones_refused(spark, tmp_path):
     path = str(tmp_path / "t")
     assert datasets.load_thresholds(spark, path, ["alpha_down"]) is None

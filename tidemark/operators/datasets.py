@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,14 +81,22 @@ def balanced_sample(rows: DataFrame, draws: int, order: list[str], seed: int = 7
 
 
 def poisson_sample(rows: DataFrame, seed: int = 7, label: str = "label") -> DataFrame:
-    """The cheap form: every row appears a Poisson number of times, on average as often as balance asks; no shuffle of rows."""
+    """The cheap form: every row appears a Poisson number of times, on average as often as balance asks; no shuffle of rows.
+
+    The number is a sum of Poisson draws, one of mean 1 for each unit of the mean and one for its fraction, so
+    that neither the terms nor exp run out, however rare the class.
+    """
     w = class_weights(rows, label)
     mean = F.broadcast(w.select(label, (F.sum("n").over(W.partitionBy()) / F.count(F.lit(1)).over(W.partitionBy()) / F.col("n")).alias("__mean")))
-    marked = rows.join(mean, label).withColumn("__u", F.rand(seed))
+    marked = rows.join(mean, label).withColumn("__u", F.rand(seed)).withColumn("__whole", F.floor("__mean")).withColumn("__rest", F.col("__mean") - F.col("__whole"))
     terms = F.sequence(F.lit(0), F.lit(40))
-    copies = F.aggregate(terms, F.struct(F.lit(0).alias("k"), F.exp(-F.col("__mean")).alias("p"), F.exp(-F.col("__mean")).alias("c")),
-        lambda s, i: F.when(s.c < F.col("__u"), F.struct((s.k + 1).alias("k"), (s.p * F.col("__mean") / (s.k + 1)).alias("p"), (s.c + s.p * F.col("__mean") / (s.k + 1)).alias("c"))).otherwise(s))["k"]
-    return marked.withColumn("__k", copies).where("__k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__mean", "__u", "__k")
+    drawn = F.aggregate(terms, F.struct(F.lit(0).alias("k"), F.exp(-F.col("__rest")).alias("p"), F.exp(-F.col("__rest")).alias("c")),
+        lambda s, i: F.when(s.c < F.col("__u"), F.struct((s.k + 1).alias("k"), (s.p * F.col("__rest") / (s.k + 1)).alias("p"), (s.c + s.p * F.col("__rest") / (s.k + 1)).alias("c"))).otherwise(s))["k"]
+    upto = F.array(*[F.lit(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(20)])
+    point = lambda i: F.pmod(F.xxhash64("__u", i), F.lit(1 << 52)) / float(1 << 52)
+    units = F.when(F.col("__whole") > 0, F.sequence(F.lit(1).cast("long"), F.col("__whole"))).otherwise(F.array().cast("array<bigint>"))
+    copies = F.aggregate(units, drawn, lambda k, i: k + F.size(F.filter(upto, lambda c: c < point(i))))
+    return marked.withColumn("__k", copies).where("__k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__mean", "__whole", "__rest", "__u", "__k")
 
 
 def epoch_order(days: DataFrame, epochs: int, seed: int = 7) -> DataFrame:
