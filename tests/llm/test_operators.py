@@ -111,6 +111,24 @@ def test_links_between_short_texts_are_all_compared(spark):
     assert len(rows) > 1190 and got == {(r[2], r[2] + 1) for r in rows if r[2] % 2 == 0}
 
 
+def test_a_stray_member_does_not_multiply_its_bucket(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([*base, f"x{i}"])) for i in range(300)]
+    docs = spark.createDataFrame(texts, "node long, text string")
+    bands = {int(r.fp): r.bands for r in neardup.banded(docs.select(F.col("node").cast("string").alias("fp"), "text")).collect()}
+    band, (key, _) = max(((k, Counter(b[k] for b in bands.values()).most_common(1)[0]) for k in range(40)), key=lambda x: x[1][1])
+    inside = sorted(n for n, b in bands.items() if b[band] == key)
+    stray, second = inside[:1], inside[1:6]
+    rows = [(key, len(inside), n, n if n in stray else 1000 if n in second else 2000, bands[n]) for n in inside]
+    members = spark.createDataFrame(rows, "key long, n long, node long, comp long, bands array<long>").join(neardup.sketches(docs), "node")
+    assert len(inside) > 150
+    assert neardup.meetings(members, 8).count() <= 3 * len(inside)
+    first = {(r.a, r.b) for r in neardup.across(members, block=8).collect()}
+    comp = {r[2]: r[3] for r in rows}
+    shares = lambda a, b: any(x == y for x, y in zip(bands[a][:band], bands[b][:band]))
+    assert first == {(a, b) for a, b in itertools.combinations(inside, 2) if comp[a] != comp[b] and not shares(a, b)}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c k l m n o p"
     data = np.frombuffer((a + b).encode(), np.uint8)

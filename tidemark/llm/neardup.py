@@ -8,7 +8,8 @@ are the connected components of the links.
 Work is done once per distinct text.  In each band bucket the most connected text leads
 and is compared with the other members, so that a bucket of n near copies costs n and not
 n x n comparisons.  Buckets whose members then still lie in different components are
-compared exhaustively between components, block of members by block of members, on finer
+compared exhaustively between components, block of members by block of members (the largest
+component only against the others), on finer
 sketches (four bits of each of 960 registers).  Registers of a pair agree independently, each with
 its probability Jaccard, and bits that agree by chance only add candidates: a pair is verified
 unless more registers differ than 5.5 standard deviations above what 0.8 gives, which loses one
@@ -91,17 +92,30 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def meetings(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``members`` with the tasks (key, lo, hi) that they are sent to, so that every two of different components meet.
+
+    The largest component of a bucket and its other members are dealt into parts of ``block`` rows on average.  Every part of
+    the others meets all parts; parts of the largest component don't meet each other.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    sides = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"))
+    sides = sides.where(F.col("all") > F.col("main.size")).select("key", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.size")) / block).cast("int").alias("others"))
+    dealt = members.join(sides, "key").withColumn("in_main", F.col("comp") == F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("part", F.when(F.col("in_main"), place("mains")).otherwise(F.col("mains") + place("others")))
+    met = F.sequence(F.when(F.col("in_main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    meets = dealt.withColumn("other", F.explode(met))
+    return meets.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "bands", "sketch")
+
+
 def across(members: DataFrame, least: float = LEAST, registers: int = FINE, block: int = BLOCK) -> DataFrame:
     """Pairs (a < b) of nodes of one bucket, but of different components, whose sketches agree nearly as ``least`` asks.
 
-    ``members`` is (key, n, node, comp, bands, sketch).  A bucket of n members is dealt into n / block
-    parts; every two parts meet in a task of their own, which holds 2 x block members at most
-    on average.  A pair is reported by the first band that it shares.
+    ``members`` is (key, n, node, comp, bands, sketch).  Every two parts of ``meetings`` meet in a task of their own,
+    which holds 2 x block members at most on average.  A pair is reported by the first band that it shares.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = meets.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "bands", "sketch")
+    meets = meetings(members, block)
     differ = (1 - least + 5.5 * np.sqrt(least * (1 - least) / registers)) * registers
 
     def run(group: pa.Table) -> pa.Table:
@@ -111,7 +125,7 @@ def across(members: DataFrame, least: float = LEAST, registers: int = FINE, bloc
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         planes = np.split(np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1), BITS, axis=1)
         band = int(np.flatnonzero((bands == key).all(axis=0))[0])
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        left, right = sorted((np.flatnonzero(part == lo), np.flatnonzero(part == hi)), key=len)
         found = []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
