@@ -479,6 +479,30 @@ def test_mix_takes_what_it_should(spark):
         assert all(abs(Counter(order[:n])[s] - n * c / len(order)) < 6 for s, c in share.items())
 
 
+def test_mix_is_written_by_slot(spark):
+    words = [50 + 7 * k for k in range(40)]
+    docs = spark.createDataFrame([(i, "abcdefgh"[i % 8], "w " * (300 + words[i % 40])) for i in range(160)], "doc_id long, source string, text string")
+    _, piece = mixing.mixed(spark, docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    slots = {}
+    for p in piece.collect():
+        slots.setdefault(p.doc_id, {}).setdefault(p.round, []).append(p.slot)
+    order = [r.doc_id for r in mixing.mixing_stage(spark, docs, "").collect()]
+    use = Counter()
+    at = []
+    for d in order:
+        rounds = sorted(min(x) for x in slots[d].values())
+        at.append(rounds[min(use[d], len(rounds) - 1)])
+        use[d] += 1
+    assert sum(x > y for x, y in zip(at, at[1:])) <= len(order) // 20
+
+
+def test_late_blocks_have_slots_of_their_own(spark):
+    plan = [(f"s{i}", 64 * (1 + i % 3)) for i in range(60)]
+    got = mixing.schedule(spark, spark.createDataFrame(plan, "source string, words long"), 64).collect()
+    assert len(got) == sum(w // 64 for _, w in plan) == len({r.slot for r in got})
+    assert len({(r.s.source, r["rank"]) for r in got}) == len(got) and max(r.slot for r in got) > len(got)
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     size = mixing.word_count(F.col("text"))
     placed, piece = mixing.mixed(spark, odd.select("doc_id", "source", size.alias("size")))

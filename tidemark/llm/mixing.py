@@ -85,8 +85,10 @@ def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_WORDS) ->
     ranked = ranked.select("slot", "s", (F.col("before") + F.col("at")).alias("rank"), "blocks").where("rank < blocks").drop("blocks")
     got = runs.groupBy("s").agg(F.sum("n").alias("got"))
     short = sources.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < blocks")
-    late = short.select("s", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank"))
-    return ranked.unionByName(late.select(F.lit(slots).cast("long").alias("slot"), "s", "rank"))
+    open_ = F.col("blocks") - F.col("got")
+    short = short.withColumn("at", slots + F.sum(open_).over(W.orderBy("s")) - open_)  # one row a source
+    late = short.select("s", "got", "at", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank"))
+    return ranked.unionByName(late.select((F.col("at") + F.col("rank") - F.col("got")).cast("long").alias("slot"), "s", "rank"))
 
 
 def mixed(spark: SparkSession, rows: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -134,13 +136,13 @@ FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix uses at least half of its words."""
+    """Each document as often as the mix uses at least half of its words, by the first slot of each use."""
     names = docs.columns
     marked = docs.withColumn("__size", word_count(F.col("text")))
     _, pieces = mixed(spark, marked.select("doc_id", "source", F.col("__size").alias("size")))
-    uses = pieces.groupBy("doc_id", "source", "size", "copy", "round").agg(F.sum("words").alias("w")).where("2 * w >= size")
-    uses = uses.select(F.struct("doc_id", "source", "size", "copy").alias("__k"))
+    uses = pieces.groupBy("doc_id", "source", "size", "copy", "round").agg(F.sum("words").alias("w"), F.min("slot").alias("__slot")).where("2 * w >= size")
+    uses = uses.select(F.struct("doc_id", "source", "size", "copy").alias("__k"), "__slot", F.col("round").alias("__round"))
     copy = F.row_number().over(W.partitionBy("doc_id", "source", "__size").orderBy("text")) - 1
     marked = marked.withColumn("__copy", copy.cast("long"))
     marked = marked.withColumn("__k", F.struct("doc_id", "source", F.col("__size").alias("size"), F.col("__copy").alias("copy")))
-    return marked.join(uses, "__k").select(*names)
+    return marked.join(uses, "__k").orderBy("__slot", "__k", "__round").select(*names)
