@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
 from tidemark.operators import features, labels
+from tidemark.operators.materialise import cut
 from tidemark.sources.fixtures import GROUP
 
 
@@ -21,7 +21,7 @@ def with_index(df: DataFrame, order: list[str], name: str = "index") -> DataFram
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     placed = placed.withColumn("__row", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    placed = common.cut(placed)
+    placed = cut(placed)
     counts = placed.groupBy("__part").count().orderBy("__part").collect()
     starts, at = {}, 0
     for r in counts:
