@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.fixtures import GROUP
 
+HALF_HOUR = 1_800_000_000
+
 
 def monotone(df: DataFrame, keys: list[str], time: str, seq: str) -> DataFrame:
     """Time that never moves back in file order: the running maximum."""
@@ -15,26 +17,38 @@ def monotone(df: DataFrame, keys: list[str], time: str, seq: str) -> DataFrame:
     return df.withColumn(time, F.max(time).over(run))
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] = GROUP, time: str = "ts_us", left_seq: str = "seq", right_seq: str = "tseq", clamp: bool = True, in_order: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] = GROUP, time: str = "ts_us", left_seq: str = "seq", right_seq: str = "tseq", clamp: bool = True, in_order: bool = False, bucket_us: int | None = HALF_HOUR) -> DataFrame:
     """Every left row with ``columns`` of the last right row of its key at or before its time.
 
     Of right rows at one time the last in file order counts.  Before the first right row the first
     one is taken with ``clamp``, else nulls.  Keys without right rows get nulls.  ``in_order`` makes
-    times monotone on both sides first.  One sort of both tables by key and time, no range join.
+    times monotone on both sides first.
+
+    One sort of both tables by key, time bucket and time; no range join.  Each bucket of ``bucket_us`` opens
+    with the last right row of the buckets before it, so that a long day is spread over tasks.  Left rows
+    outside the buckets of the right table count to its first or last one.  The right table is read three times;
+    with ``bucket_us=None`` a key is one bucket and it is read twice.
     """
     if in_order:
         left, right = monotone(left, keys, time, left_seq), monotone(right, keys, time, right_seq)
-    found = F.struct(*[F.col(c) for c in columns])
-    rows = left.select(*keys, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.col(left_seq).alias("__seq"), F.struct(*left.columns).alias("__left"))
-    quotes = right.select(*keys, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(right_seq).alias("__seq"), found.alias("__right"))
-    both = rows.unionByName(quotes, allowMissingColumns=True)
-    group = W.partitionBy(*keys)
-    order = group.orderBy("__t", "__side", "__seq")
-    hit = F.last("__right", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    bucket = F.floor(F.col(time) / bucket_us) if bucket_us else F.lit(0).cast("long")
+    quotes = right.select(*keys, F.col(time).alias("__t"), F.col(right_seq).alias("__seq"), bucket.alias("__bucket"), F.struct(*columns).alias("__right"))
+    order = F.struct("__t", "__seq")
+    ends = quotes.groupBy(*keys, "__bucket").agg(F.max_by("__right", order).alias("__last"), F.min_by("__right", order).alias("__first"))
+    span = ends.groupBy(*keys).agg(F.min("__bucket").alias("__lo"), F.max("__bucket").alias("__hi"), F.min_by("__first", "__bucket").alias("__first"))
+    by_bucket = W.partitionBy(*keys).orderBy("__bucket")
+    later = ends.withColumn("__next", F.lead("__bucket").over(by_bucket)).where("__next is not null")
+    carried = later.select(*keys, F.explode(F.sequence(F.col("__bucket") + 1, F.col("__next"))).alias("__bucket"), F.col("__last").alias("__right"))
     if clamp:
-        first = F.first("__right", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-        hit = F.coalesce(hit, first)
-    matched = both.withColumn("__hit", hit).where("__side = 1")
+        carried = carried.unionByName(span.select(*keys, F.col("__lo").alias("__bucket"), F.col("__first").alias("__right")))
+    none = F.lit(None).cast("long")
+    carried = carried.select(*keys, "__bucket", none.alias("__t"), F.lit(0).alias("__side"), none.alias("__seq"), "__right")  # a null time sorts first
+    place = F.greatest("__lo", F.least("__hi", bucket))
+    rows = left.select(*keys, F.struct(*left.columns).alias("__left"), time, F.col(left_seq).alias("__seq"))
+    rows = rows.join(span.drop("__first"), keys, "left").select(*keys, place.alias("__bucket"), F.col(time).alias("__t"), F.lit(1).alias("__side"), "__seq", "__left")
+    both = rows.unionByName(quotes.withColumn("__side", F.lit(0)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    run = W.partitionBy(*keys, "__bucket").orderBy("__t", "__side", "__seq").rowsBetween(W.unboundedPreceding, 0)
+    matched = both.withColumn("__hit", F.last("__right", ignorenulls=True).over(run)).where("__side = 1")
     return matched.select("__left.*", "__hit.*")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators import folds
 from tidemark.sources.fixtures import GROUP
 
 DEPTH = 10
@@ -37,40 +40,20 @@ def zscore(snaps: DataFrame, size: int = WINDOW, causal: bool = False, keys: lis
     """Each feature less its rolling mean over its rolling deviation, variance 1e-8 at least.
 
     The frame is rows i - size/2 .. i + size - size/2 - 1, or the last ``size`` rows if ``causal``; beyond the ends
-    the first and last rows repeat.  Sums come from running sums of integers less the group's first
-    row, so the frame's width costs nothing and no digits cancel.
+    the first and last rows repeat.  Sums are running sums of integers less the group's first row, in one
+    streamed pass, so the frame's width costs nothing and no digits cancel.
     """
     back = size - 1 if causal else size // 2
-    ahead = size - 1 - back
-    order = W.partitionBy(*keys).orderBy("seq")
-    run = order.rowsBetween(W.unboundedPreceding, 0)
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    unit = np.where(np.arange(WIDTH) % 4 < 2, 10_000.0, 1.0)
     raw = snaps.select(*keys, "seq", "ts_us", integer_features().alias("f"))
-    raw = raw.withColumns({"first": F.first("f").over(run), "last": F.last("f").over(whole), "i": F.row_number().over(order).cast("long") - 1, "n": F.count(F.lit(1)).over(whole)})
-    names = range(WIDTH)
-    raw = raw.select(*keys, "seq", "ts_us", "i", "n", *[(F.col("f")[k] - F.col("first")[k]).alias(f"x{k}") for k in names], *[(F.col("last")[k] - F.col("first")[k]).alias(f"e{k}") for k in names])
-    raw = raw.withColumns({f"{p}{k}": F.sum(F.col(f"x{k}") * (F.col(f"x{k}") if p == "q" else 1)).over(run) for k in names for p in ("p", "q")})
-    sums = {}
-    for k in names:
-        for p in ("p", "q"):
-            c = f"{p}{k}"
-            upper = F.coalesce(F.lead(c, ahead).over(order), F.last(c).over(whole)) if ahead else F.col(c)
-            sums[f"s{c}"] = upper - F.coalesce(F.lag(c, back + 1).over(order), F.lit(0))
-    raw = raw.withColumns(sums)
-    right = F.greatest(F.lit(0), F.col("i") + ahead - (F.col("n") - 1))  # the first row is 0 once centred, so repeating it adds nothing
-    z = []
-    for k in names:
-        unit = 10_000.0 if k % 4 < 2 else 1.0
-        s1, s2 = F.col(f"sp{k}") + right * F.col(f"e{k}"), F.col(f"sq{k}") + right * F.col(f"e{k}") * F.col(f"e{k}")
-        var = (s2 * size - s1 * s1).cast("double") / (size * size) / (unit * unit)
-        z.append((F.col(f"x{k}") * size - s1) / (size * unit) / F.sqrt(F.greatest(var, F.lit(1e-8))))
-    return raw.select(*keys, "seq", "ts_us", F.array(*z).alias("z"))
-
-
-def interarrival(ts: Column) -> Column:
-    """Differences of an array of times, 0 first, over their maximum plus 1e-8 s; times in microseconds."""
-    gaps = F.transform(ts, lambda x, i: F.when(i == 0, 0.0).otherwise((x - F.get(ts, i - 1)) / 1e6))
-    return F.transform(gaps, lambda g: g / (F.array_max(gaps) + 1e-8))
+    return folds.folded(raw, keys, ["seq"], lambda: folds.Rolling("f", unit, back, size - 1 - back), [("z", T.ArrayType(T.DoubleType()))], ["f"])
+
+
+def interarrival(rows: DataFrame, keys: list[str], order: list[str] = ["ts_us", "seq"]) -> DataFrame:
+    """``gap``: the time since the row before, 0 for the first, over the greatest of its group plus 1e-8 s; times in microseconds."""
+    group = W.partitionBy(*keys)
+    gap = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(group.orderBy(*order))) / 1e6, F.lit(0.0))
+    return rows.withColumn("__gap", gap).withColumn("gap", F.col("__gap") / (F.max("__gap").over(group) + 1e-8)).drop("__gap")
 
 
 def sliding_windows(rows: DataFrame, columns: list[str], size: int = WINDOW, stride: int = STRIDE, label: str | None = None, keys: list[str] = GROUP) -> DataFrame:

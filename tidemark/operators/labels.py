@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators import folds
 from tidemark.sources.fixtures import GROUP
 
 HORIZON_US = 100_000
@@ -45,10 +47,10 @@ def large_enough(rows: DataFrame, least: int, keys: list[str] = GROUP) -> DataFr
 def forward_return(rows: DataFrame, horizon_us: int = HORIZON_US, keys: list[str] = GROUP) -> DataFrame:
     """``ret``: the mean mid in [t + H, t + 2H) over the mid now, less 1; null without such rows or a mid.
 
-    Sums run on integers, so the frame can slide without error, and one division ends it.
+    Sums run on integers in one streamed pass, so the horizon costs nothing, and one division ends it.
     """
-    ahead = W.partitionBy(*keys).orderBy("ts_us").rangeBetween(horizon_us, 2 * horizon_us - 1)
-    rows = rows.withColumns({"__s": F.sum(mid2()).over(ahead), "__c": F.count(F.lit(1)).over(ahead)})
+    ahead = lambda: folds.Ahead("ts_us", "__m", horizon_us, 2 * horizon_us)
+    rows = folds.folded(rows.withColumn("__m", mid2().cast("long")), keys, ["ts_us", "seq"], ahead, [("__s", T.LongType()), ("__c", T.LongType())], ["__m"])
     base = F.col("__c") * mid2()
     ret = F.when((F.col("__c") > 0) & (mid2() > 0), (F.col("__s") - base) / base)
     return rows.withColumn("ret", ret).drop("__s", "__c")
@@ -58,28 +60,43 @@ def asymmetry(down: Column, up: Column, mean_abs: Column) -> Column:
     return F.abs(down - up) / mean_abs
 
 
-def thresholds(returns: DataFrame, tails: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(tail, alpha_down, alpha_up, n, asymmetry) of pooled returns, or by ``keys``: exact interpolated percentiles."""
-    points = sorted({p for t in tails for p in (t, 1 - t)})
-    pooled = returns.where("ret is not null").groupBy(*(keys or [])).agg(
-        F.percentile("ret", F.array(*map(F.lit, points))).alias("q"), F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("ret") != 0, F.abs("ret"))).alias("mean_abs"))
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tail"), F.lit(points.index(t)).alias("lo"), F.lit(points.index(1 - t)).alias("hi")) for t in tails])).alias("t")
-    out = pooled.select(*(keys or []), "q", "n", "mean_abs", each).withColumns({"alpha_down": F.abs(F.col("q")[F.col("t.lo")]), "alpha_up": F.col("q")[F.col("t.hi")]})
-    return out.select(*(keys or []), "t.tail", "alpha_down", "alpha_up", "n", asymmetry(F.col("alpha_down"), F.col("alpha_up"), F.col("mean_abs")).alias("asymmetry"))
+def quantiles(values: DataFrame, column: str, points: list[float], keys: list[str] = ()) -> DataFrame:
+    """(keys, p, value, n): exact interpolated percentiles of the values that aren't null.
+
+    A range sort by key and value numbers the rows; the two ranks around each point are joined back.  No
+    reducer holds all values, however many differ; the driver sees one count a partition.
+    """
+    from tidemark.operators.datasets import with_index
 
+    keys = list(keys)
+    ranked = with_index(values.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v")), [*keys, "__v"], "__rank")
+    sizes = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, points)))).withColumn("__at", F.col("p") * (F.col("n") - 1))
+    two = wanted.withColumn("__side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__rank", F.col("__first") + F.least(F.floor("__at") + F.col("__side"), F.col("n") - 1))
+    met = two.select("__rank", "__side", "p", "n", "__at").join(ranked, "__rank")
+    at = lambda side: F.max(F.when(F.col("__side") == side, F.col("__v")))
+    out = met.groupBy(*keys, "p", "n", "__at").agg(at(0).alias("__lo"), at(1).alias("__hi"))
+    return out.select(*keys, "p", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at"))).alias("value"), "n")
 
-def percentile_at_scale(values: DataFrame, column: str, p: float) -> DataFrame:
-    """The same percentile for many distinct values: a range sort, counts of the partitions, and the two ranks around it.
 
-    No reducer holds a map of all values; the driver only sees one count a partition.
+def thresholds(returns: DataFrame, tails: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(tail, alpha_down, alpha_up, n, asymmetry) of pooled returns, or by ``keys``: exact interpolated percentiles.
+
+    Without a return the pooled thresholds are one row a tail of nulls with n 0.
     """
-    from tidemark.operators.datasets import with_index
+    keys = keys or []
+    points = sorted({p for t in tails for p in (t, 1 - t)})
+    values = quantiles(returns, "ret", points, keys)
+    mean = returns.where("ret is not null").groupBy(*keys).agg(F.avg(F.when(F.col("ret") != 0, F.abs("ret"))).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
+    value = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    named = values.groupBy(*keys).agg(F.array(*[F.struct(F.lit(t).alias("tail"), F.abs(value(t)).alias("alpha_down"), value(1 - t).alias("alpha_up")) for t in tails]).alias("q"))
+    out = (mean.join(named, keys) if keys else mean.join(named)).withColumn("t", F.explode("q"))
+    return out.select(*keys, "t.tail", "t.alpha_down", "t.alpha_up", "n", asymmetry(F.col("t.alpha_down"), F.col("t.alpha_up"), F.col("mean_abs")).alias("asymmetry"))
+
 
-    ranked = with_index(values.where(F.col(column).isNotNull()).select(column), [column], "rank")
-    n = ranked.count()
-    at = p * (n - 1)
-    two = ranked.where(F.col("rank").isin(int(at), min(int(at) + 1, max(n - 1, 0)))).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    return two.select((F.col("lo") + (F.col("hi") - F.col("lo")) * (at - int(at))).alias("value"))
+def percentile_at_scale(values: DataFrame, column: str, p: float) -> DataFrame:
+    """(value): one exact percentile of a column, null where it has no value."""
+    return quantiles(values, column, [p]).agg(F.max("value").alias("value"))
 
 
 def label_fixed(rows: DataFrame, alphas: DataFrame) -> DataFrame:
@@ -95,26 +112,16 @@ def label_atr(rows: DataFrame, window_us: int = 60_000_000, sample_us: int = 10_
     The mids of [t - window, t) are thinned to every k-th, k = max(1, int(sample x rows / window)); fewer
     than ``least_rows`` rows or ``least_diffs`` changes give -1, as does a missing return (column ``ret``).
     ``label`` compares the return with the change in price units, ``label_rel`` with the change relative to the mid.
-    Where every window holds fewer rows than window / sample x 2, k is 1 and sums do; else the
-    mids of the window are gathered in an array.
+    One streamed pass with running sums for each k, whatever the window holds.
     """
-    order = W.partitionBy(*keys).orderBy("ts_us")
-    back = order.rangeBetween(-window_us, -1)
-    n = F.count(F.lit(1)).over(back)
-    rows = rows.withColumn("__n", n).withColumn("__most", F.max("__n").over(W.partitionBy(*keys)))
-    step = F.greatest(F.lit(1), F.floor(F.col("__n") * float(sample_us) / window_us).cast("int"))
-    rows = rows.withColumn("__d", F.abs(mid2() - F.lag(mid2()).over(W.partitionBy(*keys).orderBy("ts_us", "seq"))))
-    total = F.sum("__d").over(back) - F.coalesce(F.first("__d").over(back), F.lit(0))
-    mids = F.when(F.col("__most") * sample_us >= 2 * window_us, F.sort_array(F.collect_list(F.when(F.col("__most") * sample_us >= 2 * window_us, F.struct("ts_us", "seq", mid2().alias("m")))).over(back)))
-    rows = rows.withColumns({"__total": total, "__k": step, "__mids": mids})
-    thin = F.filter("__mids", lambda x, i: i % F.col("__k") == 0)
-    changes = F.aggregate(F.sequence(F.lit(1), F.size(thin) - 1), F.lit(0).cast("long"), lambda s, i: s + F.abs(thin[i]["m"] - thin[i - 1]["m"]))
-    diffs = F.when(F.col("__k") == 1, F.col("__n") - 1).otherwise(F.ceil(F.col("__n") / F.col("__k")) - 1)
-    summed = F.when(F.col("__k") == 1, F.col("__total")).otherwise(F.when(diffs >= 1, changes))
-    mean = summed / diffs
+    behind = lambda: folds.Behind("ts_us", "__m", window_us, sample_us)
+    added = [("__n", T.LongType()), ("__k", T.LongType()), ("__total", T.LongType())]
+    rows = folds.folded(rows.withColumn("__m", mid2().cast("long")), keys, ["ts_us", "seq"], behind, added, ["__m"])
+    diffs = F.ceil(F.col("__n") / F.col("__k")) - 1
+    mean = F.col("__total") / F.when(diffs >= 1, diffs)
     valid = F.col("ret").isNotNull() & (F.col("__n") >= least_rows) & (diffs >= least_diffs)
     label = lambda bound: F.when(~valid, INVALID).when(F.col("ret") < -bound, DOWN).when(F.col("ret") > bound, UP).otherwise(FLAT)
-    return rows.withColumns({"label": label(mean / 20_000.0), "label_rel": label(mean / mid2())}).drop("__n", "__most", "__d", "__total", "__k", "__mids")
+    return rows.withColumns({"label": label(mean / 20_000.0), "label_rel": label(mean / mid2())}).drop("__n", "__total", "__k")
 
 
 def label_distribution(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:

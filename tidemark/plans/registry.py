@@ -392,9 +392,7 @@ def zscore(spark, d):
 
 @register("interarrival_norm", o.query([*o.given("snap"), f"g AS (SELECT {G}, seq, ts_us, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY {G} ORDER BY ts_us, seq), 0) / 1e6 AS gap FROM snap)"], f"SELECT {G}, seq, round(gap / (max(gap) OVER (PARTITION BY {G}) + 1e-8), 9) AS gap FROM g"))
 def interarrival_norm(spark, d):
-    rows = snap(spark, d).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("ts_us", "seq"))).alias("r"))
-    gaps = features.interarrival(F.col("r.ts_us"))
-    return rows.select(*GROUP, F.inline(F.arrays_zip(F.col("r.seq").alias("seq"), gaps.alias("gap")))).withColumn("gap", F.round("gap", 9))
+    return features.interarrival(snap(spark, d), GROUP).select(*GROUP, "seq", F.round("gap", 9).alias("gap"))
 
 
 @register("sliding_windows", o.query([*LABELLED, f"vr AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY {G}) AS n FROM lb WHERE label <> -1)", f"wn AS (SELECT DISTINCT {G}, k AS win, n FROM vr, range(0, 1000000) r(k) WHERE k * 4 + 10 <= n AND k <= i)"],
