@@ -195,10 +195,10 @@ def snapshots(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = SL
     return dealt.mapInArrow(fold, schema)
 
 
-def bbo(snaps: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    """Best bid and ask of snapshots."""
+def bbo(snaps: DataFrame, keys: list[str] = GROUP, time: str = "ts_us") -> DataFrame:
+    """Best bid and ask of snapshots, at the message's time or, with ``time="snap_us"``, at the time that the snapshot carries."""
     best = lambda c: F.col(c)[0]
-    return snaps.select(*keys, "seq", "ts_us", best("bid_px").alias("bid_px"), best("bid_sz").alias("bid_sz"), best("ask_px").alias("ask_px"), best("ask_sz").alias("ask_sz"))
+    return snaps.select(*keys, "seq", F.col(time).alias("ts_us"), best("bid_px").alias("bid_px"), best("bid_sz").alias("bid_sz"), best("ask_px").alias("ask_px"), best("ask_sz").alias("ask_sz"))
 
 
 def exploded(snaps: DataFrame, keys: list[str] = GROUP) -> DataFrame:

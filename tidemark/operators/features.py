@@ -17,8 +17,9 @@ WINDOW, STRIDE = 100, 4
 
 
 def integer_features() -> Column:
-    """ask_px, bid_px, ask_sz, bid_sz of each level in turn, as stored (prices in 1e-4 units)."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda i: F.array(*[F.get(F.col(c), i).cast("long") for c in ("ask_px", "bid_px", "ask_sz", "bid_sz")])))
+    """ask_px, bid_px, ask_sz, bid_sz of each of the ten levels in turn, as stored (prices in 1e-4 units)."""
+    names = ("ask_px", "bid_px", "ask_sz", "bid_sz")
+    return F.flatten(F.transform(F.arrays_zip(*names), lambda level: F.array(*[level[c].cast("long") for c in names])))
 
 
 def scaled(features: Column) -> Column:

@@ -111,7 +111,7 @@ def label_atr(rows: DataFrame, window_us: int = 60_000_000, sample_us: int = 10_
 
     The mids of [t - window, t) are thinned to every k-th, k = max(1, int(sample x rows / window)); fewer
     than ``least_rows`` rows or ``least_diffs`` changes give -1, as does a missing return (column ``ret``).
-    ``label`` compares the return with the change in price units, ``label_rel`` with the change relative to the mid.
+    ``step`` is k; ``label`` compares the return with the change in price units, ``label_rel`` with the change relative to the mid.
     One streamed pass with running sums for each k, whatever the window holds.
     """
     behind = lambda: folds.Behind("ts_us", "__m", window_us, sample_us)
@@ -121,7 +121,7 @@ def label_atr(rows: DataFrame, window_us: int = 60_000_000, sample_us: int = 10_
     mean = F.col("__total") / F.when(diffs >= 1, diffs)
     valid = F.col("ret").isNotNull() & (F.col("__n") >= least_rows) & (diffs >= least_diffs)
     label = lambda bound: F.when(~valid, INVALID).when(F.col("ret") < -bound, DOWN).when(F.col("ret") > bound, UP).otherwise(FLAT)
-    return rows.withColumns({"label": label(mean / 20_000.0), "label_rel": label(mean / mid2())}).drop("__n", "__total", "__k")
+    return rows.withColumns({"label": label(mean / 20_000.0), "label_rel": label(mean / mid2()), "step": F.col("__k")}).drop("__n", "__total", "__k")
 
 
 def label_distribution(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:

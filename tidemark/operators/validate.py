@@ -39,10 +39,14 @@ def latch(rows: DataFrame, ready: Column, keys: list[str] = GROUP, seq: str = "s
     return rows.withColumn("__on", F.max(ready.cast("int")).over(run)).where("__on = 1").drop("__on")
 
 
-def compared(snaps: DataFrame, truth: DataFrame, keys: list[str] = GROUP, in_order: bool = True) -> DataFrame:
-    """Each snapshot's best prices with those of the quote at its time (t_bid, t_ask, t_us, tseq)."""
+def compared(snaps: DataFrame, truth: DataFrame, keys: list[str] = GROUP, in_order: bool = True, time: str = "ts_us") -> DataFrame:
+    """Each snapshot's best prices with those of the quote at its time (t_bid, t_ask, t_us, tseq).
+
+    Validators of a running book compare at the message's time; those of a stored data set only have the
+    time in the snapshot (``time="snap_us"``), which stays behind on messages that leave the book alone.
+    """
     quotes = truth.select(*keys, "tseq", "ts_us", F.col("ts_us").alias("t_us"), F.col("bid_px").alias("t_bid"), F.col("bid_sz").alias("t_bid_sz"), F.col("ask_px").alias("t_ask"), F.col("ask_sz").alias("t_ask_sz"))
-    return asof.asof(book.bbo(snaps, keys), quotes, ["tseq", "t_us", "t_bid", "t_bid_sz", "t_ask", "t_ask_sz"], keys, in_order=in_order)
+    return asof.asof(book.bbo(snaps, keys, time), quotes, ["tseq", "t_us", "t_bid", "t_bid_sz", "t_ask", "t_ask_sz"], keys, in_order=in_order)
 
 
 def hit() -> Column:
@@ -102,6 +106,12 @@ def suite_summary(expected: DataFrame, orders: DataFrame, accuracies: DataFrame,
     return rows.withColumn("verdict", F.when(good_enough, "PASS").otherwise("FAIL"))
 
 
+def offline(snaps: DataFrame, truth: DataFrame, tolerance_us: int = 5000, keys: list[str] = GROUP) -> DataFrame:
+    """Stored snapshots compared with the positive quotes, where these are near enough in time."""
+    quotes = positive(truth)
+    return gated(compared(snaps, quotes, keys, time="snap_us").where("t_bid is not null"), quotes, tolerance_us, keys=keys)
+
+
 def gated(rows: DataFrame, truth: DataFrame, tolerance_us: int = 5000, margin_us: int = SECOND, keys: list[str] = GROUP) -> DataFrame:
     """Compared rows near enough to their quote, in the quotes' range widened by the margin."""
     near = rows.where(F.col("ts_us") >= SECOND).join(F.broadcast(bounds(truth, keys)), keys).where(F.col("ts_us") >= F.col("open_us") - margin_us)
@@ -113,15 +123,16 @@ def positive(truth: DataFrame) -> DataFrame:
     return truth.where("bid_px > 0 and ask_px > 0")
 
 
-def tolerance_accuracy(rows: DataFrame, truth: DataFrame, tolerance_us: int = 5000, keys: list[str] = GROUP) -> DataFrame:
-    out = gated(rows, truth, tolerance_us, keys=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("checked"), F.count_if(hit()).alias("matched"))
+def tolerance_accuracy(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """(keys, checked, matched, accuracy) of ``offline`` rows."""
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("checked"), F.count_if(hit()).alias("matched"))
     return out.withColumn("accuracy", accuracy(F.col("matched"), F.col("checked")))
 
 
 def truth_driven(snaps: DataFrame, truth: DataFrame, tolerance_us: int = 1000, keys: list[str] = GROUP) -> DataFrame:
-    """Each quote with the snapshot at its time, where that is nearer than the tolerance."""
-    books = book.bbo(snaps, keys).select(*keys, "seq", "ts_us", F.col("ts_us").alias("s_us"), F.col("bid_px").alias("s_bid"), F.col("ask_px").alias("s_ask"))
-    out = asof.asof(truth, books, ["seq", "s_us", "s_bid", "s_ask"], keys, left_seq="tseq", right_seq="seq")
+    """Each quote with the stored snapshot at its time, by the snapshots' own times, where that is nearer than the tolerance."""
+    books = book.bbo(snaps, keys, "snap_us").select(*keys, "seq", "ts_us", F.col("ts_us").alias("s_us"), F.col("bid_px").alias("s_bid"), F.col("ask_px").alias("s_ask"))
+    out = asof.asof(truth, books, ["seq", "s_us", "s_bid", "s_ask"], keys, left_seq="tseq", right_seq="seq", in_order=True, bucket_us=None)
     return out.where(asof.within(F.col("ts_us") - F.col("s_us"), tolerance_us)).withColumn("hit", (F.col("bid_px") == F.col("s_bid")) & (F.col("ask_px") == F.col("s_ask")))
 
 
@@ -153,5 +164,6 @@ def running_accuracy(rows: DataFrame, every: int = 50_000, keys: list[str] = GRO
     return out.select(*keys, "seq", "processed", "matched", "accuracy", tier(F.col("accuracy"), 98.0, 90.0).alias("tier"))
 
 
-def timestamp_counts(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ts_us") > SECOND).alias("valid"))
+def timestamp_counts(snaps: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """Stored snapshots, and those whose own time is over 1 s."""
+    return snaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("snap_us") > SECOND).alias("valid"))

@@ -18,6 +18,8 @@ def given(*names: str) -> list[str]:
         sql = fixtures.ORACLE[name]
         if "mbo" in names:
             sql = sql.replace(f"({fixtures.MBO}) mbo", "mbo")
+        if "truth" in names and name != "truth":
+            sql = sql.replace(f"({fixtures.TRUTH}) truth", "truth")
         if "mbo_raw" in names:
             sql = sql.replace(f"({fixtures.MBO_RAW}) raw", "mbo_raw")
         out.append(f"{name} AS MATERIALIZED ({sql})")
@@ -72,9 +74,16 @@ ACC = [
     round(100.0::DOUBLE * count(*) FILTER (WHERE {HIT}) / count(*), 9) AS accuracy
     FROM cmp JOIN bd ON {same('cmp', 'bd')} WHERE cmp.ts_us BETWEEN open_us AND close_us GROUP BY cmp.ticker_id, cmp.day_id)""",
 ]
+SNAP_TIME = f"""tm AS (SELECT {G}, seq, coalesce(last_value(CASE WHEN NOT (price >= 10000000 OR (event_type = 1 AND price = 0)) THEN ts_us END IGNORE NULLS) OVER (PARTITION BY {G} ORDER BY seq), 0) AS snap_us FROM feed)"""
+STORED = [f"""sb AS MATERIALIZED (SELECT bb.*, CAST(max(snap_us) OVER (PARTITION BY bb.ticker_id, bb.day_id ORDER BY bb.seq) AS BIGINT) AS snap_us FROM bb JOIN tm ON {same('bb', 'tm')} AND bb.seq = tm.seq)"""]
 NEAR = [
-    *GATED, *COMPARED,
-    f"""nr AS (SELECT cmp.* FROM cmp JOIN bd ON {same('cmp', 'bd')} WHERE cmp.ts_us >= open_us - 1000000 AND cmp.ts_us <= close_us + 1000000 AND abs(cmp.ts_us - t_us) < 5000)""",
+    *GATED, *BBO, SNAP_TIME, *STORED,
+    "tz AS MATERIALIZED (SELECT * FROM truth_zero WHERE bid_px > 0 AND ask_px > 0)",
+    f"bz AS (SELECT {G}, min(ts_us) AS open_us, max(ts_us) AS close_us FROM tz GROUP BY {G})",
+    f"""nr AS (SELECT sb.* EXCLUDE (ts_us), sb.snap_us AS ts_us, t.tseq, t.ts_us AS t_us, t.bid_px AS t_bid, t.ask_px AS t_ask FROM sb ASOF JOIN tz t ON {same('sb', 't')} AND sb.snap_us >= t.ts_us
+    JOIN bz ON {same('sb', 'bz')} WHERE sb.snap_us >= open_us - 1000000 AND sb.snap_us <= close_us + 1000000 AND sb.snap_us - t.ts_us < 5000
+    UNION ALL SELECT sb.* EXCLUDE (ts_us), sb.snap_us AS ts_us, t.tseq, t.ts_us, t.bid_px, t.ask_px FROM sb JOIN bz ON {same('sb', 'bz')} JOIN tz t ON {same('sb', 't')} AND t.ts_us = open_us
+    WHERE sb.snap_us < open_us AND sb.snap_us >= open_us - 1000000 AND open_us - sb.snap_us < 5000)""",
 ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, book, datasets, features, labels, models, normalise, reports, validate
+from tidemark.operators.materialise import staged
 from tidemark.plans import oracles as o
 from tidemark.sources import fixedrec
 from tidemark.sources.fixtures import GROUP, fixture, levels
@@ -32,23 +33,38 @@ def register(name: str, sql: str | None = None):
 
 
 def mbo(spark, d):
-    return fixture(spark, d, "mbo")
+    """The messages, written once a query: the operators read them several times."""
+    return staged(fixture(spark, d, "mbo"), "mbo")
 
 
 def truth(spark, d):
     return fixture(spark, d, "truth")
 
 
-def gate(spark, d):
-    return validate.session_gate(mbo(spark, d), truth(spark, d))
+def feeds(spark, d, quotes="truth"):
+    m = mbo(spark, d)
+    return m, fixture(spark, d, quotes, m)
 
 
 def compared(spark, d):
-    return validate.compared(book.snapshots(gate(spark, d)), truth(spark, d)).where("t_bid is not null")
+    m, t = feeds(spark, d)
+    return validate.compared(book.snapshots(validate.session_gate(m, t)), t).where("t_bid is not null")
+
+
+def stored(spark, d):
+    """The data set of gated snapshots as a validator finds it, and the quotes."""
+    m, t = feeds(spark, d)
+    return book.snapshots(validate.session_gate(m, t)), t
+
+
+def offline(spark, d):
+    """Stored snapshots against quotes of which some lack a side."""
+    m, t = feeds(spark, d)
+    return validate.offline(book.snapshots(validate.session_gate(m, t)), fixture(spark, d, "truth_zero", m))
 
 
 def day_accuracy(spark, d):
-    return validate.day_book(mbo(spark, d), truth(spark, d))[1]
+    return validate.day_book(*feeds(spark, d))[1]
 
 
 def snap(spark, d):
@@ -67,6 +83,7 @@ def labelled(spark, d):
     return labels.label_fixed(returned(spark, d), pooled_alphas(spark, d))
 
 
+MZ = o.given("mbo", "truth", "truth_zero")
 MT, MTG = o.given("mbo", "truth"), [*o.given("mbo", "truth"), *o.GATED]
 SNAP = [*o.given("snap"), *o.returns(H)]
 LABELLED = [*SNAP, o.alphas([0.22]), "lb AS MATERIALIZED (SELECT fr.*, CAST(CASE WHEN ret IS NULL THEN -1 WHEN ret < -alpha_down THEN 0 WHEN ret > alpha_up THEN 2 ELSE 1 END AS INT) AS label FROM fr, al)"]
@@ -111,9 +128,9 @@ def snapshots_top10(spark, d):
     return book.exploded(book.snapshots(mbo(spark, d), slice_rows=4096))
 
 
-@register("snapshots_emit_all", o.query([*MTG, *o.BBO, f"tm AS (SELECT {G}, seq, coalesce(last_value(CASE WHEN NOT (price >= 10000000 OR (event_type = 1 AND price = 0)) THEN ts_us END IGNORE NULLS) OVER (PARTITION BY {G} ORDER BY seq), 0) AS snap_us FROM feed)"], f"SELECT bb.ticker_id, bb.day_id, bb.seq, ts_us, snap_us, bid_px, ask_px FROM bb JOIN tm ON {o.same('bb', 'tm')} AND bb.seq = tm.seq"))
+@register("snapshots_emit_all", o.query([*MTG, *o.BBO, o.SNAP_TIME], f"SELECT bb.ticker_id, bb.day_id, bb.seq, ts_us, snap_us, bid_px, ask_px FROM bb JOIN tm ON {o.same('bb', 'tm')} AND bb.seq = tm.seq"))
 def snapshots_emit_all(spark, d):
-    snaps = book.snapshots(gate(spark, d))
+    snaps = stored(spark, d)[0]
     return snaps.select(*GROUP, "seq", "ts_us", "snap_us", F.col("bid_px")[0].alias("bid_px"), F.col("ask_px")[0].alias("ask_px"))
 
 
@@ -134,17 +151,18 @@ def book_accuracy(spark, d):
 
 @register("asof_truth", o.query([*MT, *o.ALL, f"ft AS (SELECT {G}, min(tseq) AS s0 FROM truth GROUP BY {G})"], f"SELECT m.ticker_id, m.day_id, m.seq, coalesce(t.tseq, s0) AS tseq FROM mbo m ASOF LEFT JOIN truth t ON {o.same('m', 't')} AND m.ts_us >= t.ts_us LEFT JOIN ft ON {o.same('m', 'ft')}"))
 def asof_truth(spark, d):
-    return asof.asof(mbo(spark, d).select(*GROUP, "seq", "ts_us"), truth(spark, d), ["tseq"]).select(*GROUP, "seq", "tseq")
+    m, t = feeds(spark, d)
+    return asof.asof(m.select(*GROUP, "seq", "ts_us"), t, ["tseq"]).select(*GROUP, "seq", "tseq")
 
 
-@register("asof_truth_driven", o.query([*MTG, *o.BBO], f"SELECT t.ticker_id, t.day_id, tseq, b.seq, t.bid_px = b.bid_px AND t.ask_px = b.ask_px AS hit FROM truth t ASOF JOIN bb b ON {o.same('t', 'b')} AND t.ts_us >= b.ts_us WHERE abs(t.ts_us - b.ts_us) < 1000"))
+@register("asof_truth_driven", o.query([*MTG, *o.BBO, o.SNAP_TIME, *o.STORED], f"SELECT t.ticker_id, t.day_id, tseq, b.seq, t.bid_px = b.bid_px AND t.ask_px = b.ask_px AS hit FROM truth t ASOF JOIN sb b ON {o.same('t', 'b')} AND t.ts_us >= b.snap_us WHERE abs(t.ts_us - b.snap_us) < 1000"))
 def asof_truth_driven(spark, d):
-    return validate.truth_driven(book.snapshots(gate(spark, d)), truth(spark, d)).select(*GROUP, "tseq", "seq", "hit")
+    return validate.truth_driven(*stored(spark, d)).select(*GROUP, "tseq", "seq", "hit")
 
 
-@register("tolerance_accuracy", o.query([*MT, *o.NEAR], f"SELECT {G}, count(*) AS checked, count(*) FILTER (WHERE {o.HIT}) AS matched, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM nr GROUP BY {G}"))
+@register("tolerance_accuracy", o.query([*MZ, *o.NEAR], f"SELECT {G}, count(*) AS checked, count(*) FILTER (WHERE {o.HIT}) AS matched, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM nr GROUP BY {G}"))
 def tolerance_accuracy(spark, d):
-    return validate.tolerance_accuracy(compared(spark, d), validate.positive(truth(spark, d)))
+    return validate.tolerance_accuracy(offline(spark, d))
 
 
 @register("accuracy_tiers", o.query([*MT, *o.ACC], f"SELECT {G}, accuracy, CASE WHEN accuracy >= {PASS} THEN 'PASS' WHEN accuracy >= {MARGINAL} THEN 'MARGINAL' ELSE 'FAIL' END AS tier FROM acc"))
@@ -174,7 +192,7 @@ def _suite(policy: str) -> None:
     @register(f"suite_summary_{policy}", o.query(parts, f"SELECT ticker_id, total, passed, skipped, missing, failed, rate, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s2"))
     def suite(spark, d):
         expected = fixture(spark, d, "instruments").select("ticker_id").where(tickers).crossJoin(fixture(spark, d, "calendar").select("day_id"))
-        m, t = mbo(spark, d), truth(spark, d)
+        m, t = feeds(spark, d)
         if policy == "all":
             acc = validate.group_accuracy(validate.compared(book.snapshots(validate.valid_time(m)), t).where("t_bid is not null"))
         else:
@@ -190,17 +208,17 @@ def _share(c: str) -> str:
     return f"round(100.0::DOUBLE * {c} / nullif(checked - matched, 0), 9) AS {c}_share"
 
 
-@register("mismatch_breakdown", o.query([*MT, *o.NEAR, f"""mm AS (SELECT {G}, count(*) AS checked, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE bid_px <> t_bid AND ask_px = t_ask) AS bid_only,
+@register("mismatch_breakdown", o.query([*MZ, *o.NEAR, f"""mm AS (SELECT {G}, count(*) AS checked, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE bid_px <> t_bid AND ask_px = t_ask) AS bid_only,
     count(*) FILTER (WHERE bid_px = t_bid AND ask_px <> t_ask) AS ask_only, count(*) FILTER (WHERE bid_px <> t_bid AND ask_px <> t_ask) AS both_, count(*) FILTER (WHERE bid_px > t_bid) AS bid_high, count(*) FILTER (WHERE bid_px < t_bid) AS bid_low,
     count(*) FILTER (WHERE ask_px > t_ask) AS ask_high, count(*) FILTER (WHERE ask_px < t_ask) AS ask_low FROM nr GROUP BY {G})"""],
     f"SELECT * EXCLUDE (both_), both_ AS \"both\", {_share('bid_only')}, {_share('ask_only')}, {_share('both_').replace('both__share', 'both_share')} FROM mm"))
 def mismatch_breakdown(spark, d):
-    return validate.mismatch_breakdown(validate.gated(compared(spark, d), truth(spark, d)))
+    return validate.mismatch_breakdown(offline(spark, d))
 
 
-@register("mismatch_first20", o.query([*MT, *o.NEAR], f"SELECT * FROM (SELECT {G}, row_number() OVER (PARTITION BY {G} ORDER BY seq) AS place, seq, bid_px, ask_px, t_bid, t_ask, bid_px - t_bid AS bid_delta, ask_px - t_ask AS ask_delta FROM nr WHERE NOT {o.HIT}) WHERE place <= 20"))
+@register("mismatch_first20", o.query([*MZ, *o.NEAR], f"SELECT * FROM (SELECT {G}, row_number() OVER (PARTITION BY {G} ORDER BY seq) AS place, seq, bid_px, ask_px, t_bid, t_ask, bid_px - t_bid AS bid_delta, ask_px - t_ask AS ask_delta FROM nr WHERE NOT {o.HIT}) WHERE place <= 20"))
 def mismatch_first20(spark, d):
-    return validate.first_mismatches(validate.gated(compared(spark, d), truth(spark, d)))
+    return validate.first_mismatches(offline(spark, d))
 
 
 @register("running_accuracy", o.query([*MTG, *o.COMPARED], f"""SELECT {G}, seq, processed, matched, round(100.0::DOUBLE * matched / processed, 9) AS accuracy, CASE WHEN 100.0::DOUBLE * matched / processed >= 98 THEN 'PASS' WHEN 100.0::DOUBLE * matched / processed >= 90 THEN 'MARGINAL' ELSE 'FAIL' END AS tier
@@ -211,7 +229,7 @@ def running_accuracy(spark, d):
 
 @register("session_gate", o.query(MTG, f"SELECT {G}, seq, ts_us >= open_us AND ts_us <= close_us AS inside FROM feed"))
 def session_gate(spark, d):
-    return gate(spark, d).select(*GROUP, "seq", F.col("ts_us").between(F.col("open_us"), F.col("close_us")).alias("inside"))
+    return validate.session_gate(*feeds(spark, d)).select(*GROUP, "seq", F.col("ts_us").between(F.col("open_us"), F.col("close_us")).alias("inside"))
 
 
 @register("prefix_cut", o.query(o.given("mbo"), f"SELECT {G}, seq FROM (SELECT {G}, seq, max(CAST(price >= 10000000 AS INT)) OVER (PARTITION BY {G} ORDER BY seq) AS x FROM mbo) WHERE x = 0"))
@@ -224,9 +242,9 @@ def latch(spark, d):
     return validate.latch(mbo(spark, d), F.col("price") >= book.MAX_PRICE).select(*GROUP, "seq")
 
 
-@register("timestamp_counts", o.query(o.given("mbo"), f"SELECT {G}, count(*) AS total, count(*) FILTER (WHERE ts_us > 1000000) AS valid FROM mbo GROUP BY {G}"))
+@register("timestamp_counts", o.query([*MTG, o.SNAP_TIME], f"SELECT {G}, count(*) AS total, count(*) FILTER (WHERE snap_us > 1000000) AS valid FROM tm GROUP BY {G}"))
 def timestamp_counts(spark, d):
-    return validate.timestamp_counts(mbo(spark, d))
+    return validate.timestamp_counts(stored(spark, d)[0])
 
 
 # --- feeds and reports ---------------------------------------------------------------------------
@@ -253,16 +271,18 @@ def truth_valid(spark, d):
     return q.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ask_px") - F.col("bid_px")).alias("least_spread"))
 
 
-@register("manifest_missing", o.query([*MT, *o.given("instruments", "calendar"), f"a AS (SELECT {G}, count(*) AS n FROM mbo GROUP BY {G})", f"b AS (SELECT {G}, count(*) AS n FROM truth WHERE day_id <> 2 GROUP BY {G})"], """SELECT i.ticker_id, c.day_id, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS quotes, concat_ws(',', CASE WHEN a.n IS NULL THEN 'orders' END, CASE WHEN b.n IS NULL THEN 'quotes' END) AS missing
+@register("manifest_missing", o.query([*o.given("mbo", "truth", "truth_gap"), *o.given("instruments", "calendar"), f"a AS (SELECT {G}, count(*) AS n FROM mbo GROUP BY {G})", f"b AS (SELECT {G}, count(*) AS n FROM truth_gap GROUP BY {G})"], """SELECT i.ticker_id, c.day_id, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS quotes, concat_ws(',', CASE WHEN a.n IS NULL THEN 'orders' END, CASE WHEN b.n IS NULL THEN 'quotes' END) AS missing
     FROM instruments i CROSS JOIN calendar c LEFT JOIN a ON a.ticker_id = i.ticker_id AND a.day_id = c.day_id LEFT JOIN b ON b.ticker_id = i.ticker_id AND b.day_id = c.day_id WHERE a.n IS NULL OR b.n IS NULL"""))
 def manifest_missing(spark, d):
     expected = fixture(spark, d, "instruments").select("ticker_id").crossJoin(fixture(spark, d, "calendar").select("day_id"))
-    return reports.manifest_missing(expected, {"orders": mbo(spark, d), "quotes": truth(spark, d).where("day_id <> 2")})
+    m, t = feeds(spark, d, "truth_gap")
+    return reports.manifest_missing(expected, {"orders": m, "quotes": t})
 
 
 @register("counts_rollup", o.query(MT, f"SELECT {G}, count(*) FILTER (WHERE k = 'orders') AS orders, count(*) FILTER (WHERE k = 'quotes') AS quotes FROM (SELECT {G}, 'orders' AS k FROM mbo UNION ALL SELECT {G}, 'quotes' FROM truth) GROUP BY ROLLUP ({G})"))
 def counts_rollup(spark, d):
-    return reports.counts_rollup({"orders": mbo(spark, d), "quotes": truth(spark, d)})
+    m, t = feeds(spark, d)
+    return reports.counts_rollup({"orders": m, "quotes": t})
 
 
 @register("duration_rate", o.query(o.given("mbo"), f"SELECT {G}, n, span_us, round(n * 1e6 / span_us, 9) AS rate, CAST(floor(n * 1e6 / span_us) AS BIGINT) AS rows_1s, round(5000.0::DOUBLE / (n * 1e6 / span_us), 6) AS seconds_5000 FROM (SELECT {G}, count(*) AS n, max(ts_us) - min(ts_us) AS span_us FROM mbo GROUP BY {G})"))
@@ -360,6 +380,19 @@ def labels_atr(spark, d):
     return labels.label_atr(returned(spark, d), window_us=ATR).select(*GROUP, "seq", "label", "label_rel")
 
 
+THIN = 900_000_000  # so long a sample that windows of over 23 rows are thinned
+
+
+@register("labels_atr_thinned", o.query([*SNAP, f"""aw AS (SELECT a.ticker_id, a.day_id, a.seq, a.ret, a.m2, list(b.m2 ORDER BY b.ts_us, b.seq) FILTER (WHERE b.m2 IS NOT NULL) AS w
+    FROM fr a LEFT JOIN fr b ON {o.same('a', 'b')} AND b.ts_us >= a.ts_us - {ATR} AND b.ts_us < a.ts_us GROUP BY a.ticker_id, a.day_id, a.seq, a.ret, a.m2)""",
+    f"ak AS (SELECT *, coalesce(len(w), 0) AS n, CAST(greatest(1, floor(coalesce(len(w), 0) * {THIN}::DOUBLE / {ATR})) AS BIGINT) AS k FROM aw)",
+    "at AS (SELECT *, list_filter(w, lambda x, i: (i - 1) % k = 0) AS u FROM ak)",
+    "am AS (SELECT *, CASE WHEN ret IS NOT NULL AND n >= 10 AND len(u) > 5 THEN CAST(list_sum(list_transform(u[2:], lambda x, i: abs(x - u[i]))) AS DOUBLE) / (len(u) - 1) END AS mean FROM at)"],
+    f"SELECT {G}, seq, k AS step, " + ", ".join(f"CAST(CASE WHEN mean IS NULL THEN -1 WHEN ret < -mean / {by} THEN 0 WHEN ret > mean / {by} THEN 2 ELSE 1 END AS INT) AS {name}" for by, name in (("20000.0::DOUBLE", "label"), ("m2", "label_rel"))) + " FROM am"))
+def labels_atr_thinned(spark, d):
+    return labels.label_atr(returned(spark, d), window_us=ATR, sample_us=THIN).select(*GROUP, "seq", F.col("step"), "label", "label_rel")
+
+
 # --- features ------------------------------------------------------------------------------------
 
 FEATURES = f"""ft AS MATERIALIZED (SELECT {G}, seq, ts_us, CAST(l AS INT) * 4 + c AS f, CASE c WHEN 0 THEN a0 + l WHEN 1 THEN b0 - l WHEN 2 THEN 100 + (seq*11 + l*17) % 500 ELSE 100 + (seq*7 + l*13) % 500 END AS x,
@@ -489,7 +522,7 @@ def live_book(spark, d):
 
 @register("live_accuracy", o.query([*MT, *o.ALL, *o.COMPARED], f"SELECT {G}, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE NOT {o.HIT}) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM cmp GROUP BY {G}"))
 def live_accuracy(spark, d):
-    return live.live_accuracy(mbo(spark, d), truth(spark, d))
+    return live.live_accuracy(*feeds(spark, d))
 
 
 @register("recorder", o.query(o.given("mbo"), f"SELECT {G}, count(*) AS n, max(seq) AS last FROM (SELECT {G}, seq, coalesce(last_value(CASE WHEN NOT (price >= 10000000 OR (event_type = 1 AND price = 0)) THEN ts_us END IGNORE NULLS) OVER (PARTITION BY {G} ORDER BY seq), 0) AS s FROM mbo) WHERE s >= 1000000 GROUP BY {G}"))

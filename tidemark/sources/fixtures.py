@@ -26,6 +26,9 @@ TRUTH = f"""SELECT ticker_id, day_id, seq AS tseq,
  CAST(10010+CASE WHEN seq%8=0 THEN 1 ELSE 0 END AS BIGINT) AS ask_px, 100 AS ask_sz
 FROM ({MBO}) mbo WHERE seq>100 AND seq%7=0"""
 
+TRUTH_ZERO = f"SELECT ticker_id, day_id, tseq, ts_us, CASE WHEN tseq%35=0 THEN 0 ELSE bid_px END AS bid_px, bid_sz, CASE WHEN tseq%91=0 THEN 0 ELSE ask_px END AS ask_px, ask_sz FROM ({TRUTH}) truth"
+TRUTH_GAP = f"SELECT * FROM ({TRUTH}) truth WHERE day_id <> 2"
+
 _SNAP = """SELECT CAST(user_id%2 AS INT) AS ticker_id, CAST(FLOOR({US}/86400000000) AS INT) AS day_id, event_id AS seq, {US} AS ts_us,
  1000000+CAST(ROUND(value*10) AS BIGINT) AS b0, 1000001+CAST(ROUND(value*10) AS BIGINT)+event_id%3 AS a0 FROM events"""
 _SPARK_US, _DUCK_US = "unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"
@@ -48,16 +51,18 @@ INSTRUMENTS = "SELECT * FROM (VALUES (0,'nvda',11667),(1,'spy',15144),(2,'tsla',
 CALENDAR = "SELECT * FROM (VALUES (0,'train'),(1,'train'),(2,'valid'),(3,'test'),(4,'test')) AS t(day_id,split)"
 
 ORACLE = {
-    "mbo": MBO, "truth": TRUTH, "snap_all": _SNAP.format(US=_DUCK_US), "mbo_raw": MBO_RAW, "mbp_raw": MBP_RAW, "preds": PREDS,
+    "mbo": MBO, "truth": TRUTH, "truth_zero": TRUTH_ZERO, "truth_gap": TRUTH_GAP, "snap_all": _SNAP.format(US=_DUCK_US), "mbo_raw": MBO_RAW, "mbp_raw": MBP_RAW, "preds": PREDS,
     "instruments": INSTRUMENTS, "calendar": CALENDAR,
     "snap": f"SELECT * FROM ({_SNAP.format(US=_DUCK_US)}) WHERE (CAST(FLOOR(ts_us/1000000) AS BIGINT)-18000)%86400 >= 34200 AND (CAST(FLOOR(ts_us/1000000) AS BIGINT)-18000)%86400 < 57600",
 }
-_SOURCE = {"mbo": "lineitem", "truth": "lineitem", "snap_all": "events", "mbo_raw": "lineitem", "mbp_raw": "lineitem", "preds": "embeddings"}
+_SOURCE = {"mbo": "lineitem", "truth": "lineitem", "truth_zero": "lineitem", "truth_gap": "lineitem", "snap_all": "events", "mbo_raw": "lineitem", "mbp_raw": "lineitem", "preds": "embeddings"}
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a DataFrame."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, mbo: DataFrame | None = None) -> DataFrame:
+    """A fixture as a DataFrame; quotes may be derived from messages ``mbo`` that are there already."""
     sql = _SNAP.format(US=_SPARK_US) if name == "snap_all" else ORACLE[name]
+    if mbo is not None:
+        return spark.sql(sql.replace(f"({MBO}) mbo", "{mbo}"), mbo=mbo)
     if name not in _SOURCE:
         return spark.sql(sql)
     source = _SOURCE[name]
