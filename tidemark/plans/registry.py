@@ -386,8 +386,8 @@ THIN = 900_000_000  # so long a sample that windows of over 23 rows are thinned
 @register("labels_atr_thinned", o.query([*SNAP, f"""aw AS (SELECT a.ticker_id, a.day_id, a.seq, a.ret, a.m2, list(b.m2 ORDER BY b.ts_us, b.seq) FILTER (WHERE b.m2 IS NOT NULL) AS w
     FROM fr a LEFT JOIN fr b ON {o.same('a', 'b')} AND b.ts_us >= a.ts_us - {ATR} AND b.ts_us < a.ts_us GROUP BY a.ticker_id, a.day_id, a.seq, a.ret, a.m2)""",
     f"ak AS (SELECT *, coalesce(len(w), 0) AS n, CAST(greatest(1, floor(coalesce(len(w), 0) * {THIN}::DOUBLE / {ATR})) AS BIGINT) AS k FROM aw)",
-    "at AS (SELECT *, list_filter(w, lambda x, i: (i - 1) % k = 0) AS u FROM ak)",
-    "am AS (SELECT *, CASE WHEN ret IS NOT NULL AND n >= 10 AND len(u) > 5 THEN CAST(list_sum(list_transform(u[2:], lambda x, i: abs(x - u[i]))) AS DOUBLE) / (len(u) - 1) END AS mean FROM at)"],
+    "au AS (SELECT *, list_filter(w, lambda x, i: (i - 1) % k = 0) AS u FROM ak)",
+    "am AS (SELECT *, CASE WHEN ret IS NOT NULL AND n >= 10 AND len(u) > 5 THEN CAST(list_sum(list_transform(u[2:], lambda x, i: abs(x - u[i]))) AS DOUBLE) / (len(u) - 1) END AS mean FROM au)"],
     f"SELECT {G}, seq, k AS step, " + ", ".join(f"CAST(CASE WHEN mean IS NULL THEN -1 WHEN ret < -mean / {by} THEN 0 WHEN ret > mean / {by} THEN 2 ELSE 1 END AS INT) AS {name}" for by, name in (("20000.0::DOUBLE", "label"), ("m2", "label_rel"))) + " FROM am"))
 def labels_atr_thinned(spark, d):
     return labels.label_atr(returned(spark, d), window_us=ATR, sample_us=THIN).select(*GROUP, "seq", F.col("step"), "label", "label_rel")
