@@ -333,10 +333,38 @@ def test_neighbours_of_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit("x"), "v": F.lit("y"), "block": F.lit(0)})
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 5 == 0, 3).collect())
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 9), (10, 1, 9), (10, 2, 0), (10, 3, 1)]
+    more = df.select("vec_id", "embedding").unionByName(spark.createDataFrame([(15, [1.0, 2.0, 4.0]), (0, [5.0, 4.5]), (9, [0.0, 1.0])], "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(more, F.col("id") % 5 == 0, 3).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 10, 0.5), (10, 1, 0, 0.5), (10, 2, 9, 1.0), (10, 3, 1, 5.656854), (15, 1, 8, 1.0)]  # two vectors of 0 and 9; 8 and 15 have a dimension of their own
     assert count(neighbours.nearest(df.where("false"), F.col("id") % 5 == 0, 3)) == 0
     assert count(neighbours.nearest(df.where("vec_id = 0"), F.col("id") % 5 == 0, 3)) == 0
 
 
+def test_a_very_common_vector_is_searched_once(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(400, 8))
+    x[100:300] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 10 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(100, 300, 10):
+        assert [v for _, v in sorted(got[q])] == [i for i in (0, *range(100, 300)) if i != q][:5]
+    assert len(got) == 40
+
+
+def test_collision_counting_verifies_few():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(6000, 24))
+    index, hits, verified = neighbours.Index(x, np.arange(6000)), 0, 0
+    for q in x[:40]:
+        places, far, n = index.nearest(q, 10)
+        exact = np.argsort(((x - q) ** 2).sum(axis=1), kind="stable")[:10]
+        hits += len(set(places[np.argsort(far, kind="stable")[:10]].tolist()) & set(exact.tolist()))
+        verified += n
+    assert hits / 400 >= 0.9 and verified / 40 / len(x) < 0.2
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 

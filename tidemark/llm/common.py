@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,18 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from tidemark.operators.materialise import cut, fresh_folder, remove_folder, staged  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +57,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
