@@ -16,9 +16,14 @@ unless more registers differ than 5.5 standard deviations above what 0.8 gives,
 link in 20 million at exactly 0.8, however short the texts.
 
 With 40 bands of 6 registers a pair at exactly 0.8 shares no band with a chance of 5 in a
-million.  Null, empty and blank texts have no shingles: each is a group of its own.
-Equal texts, repeated rows included, are always one group.  An empty table gives an
-empty result.  Other columns of the input are ignored, whatever their names.
+million.  ``sketched=False`` verifies every pair of a bucket that lies in two components, without sketches.
+
+Texts that are equal and have a word are always one group, repeated rows included.  Null, empty and blank
+texts have no shingles: each such doc_id is a group of its own.  A doc_id may repeat with other texts: classes are those
+of texts, so its rows may lie in several classes, and no class depends on it.  Very long texts are read whole, a block of texts at a
+time; a text counts as one row of its own block.  Of ties for a bucket's lead the greater node leads, which changes no group.
+An empty table gives an empty result.  Other columns of the input, maps included, are ignored, whatever
+their names; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common, shingles
 
@@ -109,14 +115,14 @@ def meetings(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return meets.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "bands", "sketch")
 
 
-def across(members: DataFrame, least: float = LEAST, registers: int = FINE, block: int = BLOCK) -> DataFrame:
-    """Pairs (a < b) of nodes of one bucket, but of different components, whose sketches agree nearly as ``least`` asks.
+def across(members: DataFrame, least: float = LEAST, registers: int = FINE, block: int = BLOCK, sketched: bool = True) -> DataFrame:
+    """Pairs (a < b) of nodes of one bucket, but of different components, whose sketches agree nearly as ``least`` asks (all, unless ``sketched``).
 
     ``members`` is (key, n, node, comp, bands, sketch).  Every two parts of ``meetings`` meet in a task of their own,
     which holds 2 x block members at most on average.  A pair is reported by the first band that it shares.
     """
     meets = meetings(members, block)
-    differ = (1 - least + 5.5 * np.sqrt(least * (1 - least) / registers)) * registers
+    differ = (1 - least + 5.5 * np.sqrt(least * (1 - least) / registers)) * registers if sketched else registers
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -167,8 +173,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, texts, links): fp and class of every distinct text, (node, text), and the verified links."""
+def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, rows: int = ROWS, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): node, fp and class of every distinct text that has a word, and the links that were verified.
+
+    The links connect every class; pairs inside a class that other links join already aren't all tried.
+    """
+    spark = docs.sparkSession
     source = docs.select(F.md5(F.col("text").cast("binary")).alias("fp"), "text").where(F.col("text").isNotNull())
     reps = banded(source, registers, rows).groupBy("fp").agg(F.first("bands").alias("bands"))
     reps = common.cut(reps.select(F.monotonically_increasing_id().alias("node"), "fp", "bands"))
@@ -180,7 +190,9 @@ def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, ro
     tried = common.cut(buckets.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     used = buckets.select("node").distinct().join(reps.select("node", "fp"), "node")
     texts = source.join(used, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")).join(used, "fp")
-    texts = common.staged(texts.select("node", "text"), "texts")
+    folder = common.fresh_folder(spark, "texts")
+    texts.select("node", "text").write.parquet(folder)
+    texts = spark.read.parquet(folder)
     links = common.cut(verified(tried, texts, least))
     labels = components(links)
     # Buckets that still hold more than one component.
@@ -191,38 +203,53 @@ def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, ro
     fine = common.cut(sketches(texts.join(nodes, "node")))
     open_ = open_.join(reps.select("node", "bands"), "node").join(fine, "node")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.cut(across(open_, least).distinct().join(done, ["a", "b"], "left_anti"))
+    rest = common.cut(across(open_, least, sketched=sketched).distinct().join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = common.cut(links.unionByName(verified(rest, texts, least)))
         labels = components(links)
+    common.remove_folder(spark, folder)
     classes = reps.select("node", "fp").join(labels, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp"))
-    return classes, texts, links
+    return classes, links
 
 
-def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def classified(docs: DataFrame, least: float = LEAST, sketched: bool = True) -> DataFrame:
     """doc_id, fp and comp of every row; comp is null where the text has no word."""
-    classes, _, _ = groups(docs, least)
+    classes, _ = groups(docs, least, sketched=sketched)
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("fp"))
     return rows.join(classes.select("fp", "comp"), "fp", "left")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and class_id, the least doc_id of its group, of every document."""
+    """doc_id and class_id of every document, with the class's least doc_id and its rows.
+
+    A class_id is the number of a text of the class; below 0, -1 - doc_id, where the text has no word.
+    """
     rows = common.cut(classified(common.table(spark, sf_dir, "documents")))
     heads = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("class_size"))
     out = rows.join(heads, "comp", "left")
-    return out.select("doc_id", F.coalesce("head", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    alone = F.lit(-1) - F.pmod(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.lit((1 << 63) - 1))
+    return out.select("doc_id", F.coalesce("comp", alone).alias("class_id"), F.coalesce("head", "doc_id").alias("head_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark can order values of this type."""
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the least doc_id; of repeated rows the first by all columns."""
+    """One document of each group, the one with the least doc_id; of rows that share it the first by all columns that have an order."""
     names = docs.columns
-    classes, _, _ = groups(docs)
+    classes, _ = groups(docs)
     marked = docs.withColumn("__fp", F.md5(F.col("text").cast("binary")))
     members = marked.select("__fp", "doc_id").join(classes.select(F.col("fp").alias("__fp"), "comp"), "__fp")
     heads = members.groupBy("comp").agg(F.min(F.struct("doc_id", "__fp")).alias("h")).select("h.doc_id", "h.__fp")
     kept = marked.alias("d").join(heads.alias("h"), (F.col("d.__fp") == F.col("h.__fp")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
-    one = kept.groupBy("__fp").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    by = [f.name for f in docs.schema.fields if orderable(f.dataType)]
+    one = kept.groupBy("__fp").agg(F.min_by(F.struct(*names), F.struct(*by)).alias("row")).select("row.*")
     return one.unionByName(blank(docs)).select(*names)
 
 
