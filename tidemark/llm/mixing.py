@@ -1,15 +1,18 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot t of the mix draws the golden-ratio point frac(t x phi); the cumulative weights map it
-to a source, and its rank among the slots of that source says which block of the source it
-takes.  A source's documents are shuffled by a hash, laid end to end and cut into blocks of
+Point t of the schedule is the golden-ratio point frac(t x phi); the cumulative weights map it
+to a source, and its rank among the points of that source says which block of the source it
+takes.  Points beyond a source's last block are left out, blocks without a point come last, and what remains is
+numbered without gaps: the slots.  So every stretch of slots holds the sources in about their shares.  A source's documents are shuffled by a hash, laid end to end and cut into blocks of
 equal words; the stream starts again when it is used up, and its last block ends exactly at
 the source's target.
 
 Targets share 150 % of all words by weight (5, 2, 1 and again, by source in code-point order,
 null last); none exceeds twice its source's words, and what it would have more is reshared.
-Null and blank texts have no words and take no part (taken 0).  Repeated rows are documents
-of their own.  An empty table gives an empty result.  Nothing depends on the partitioning.
+Null and blank texts have no words and take no part (taken 0, no slot).  Repeated rows are documents
+of their own, which tie for their places: equal rows may swap theirs.  Sources whose caps tie fill up in code-point
+order.  Of very long texts only the number of words matters; they span several blocks.  An empty table gives an
+empty result.  Nothing depends on the partitioning.  Other columns are ignored, whatever their names; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def streamed(rows: DataFrame) -> DataFrame:
 
 
 def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, s, rank): which block of which source each slot of the mix takes.  ``plan`` has source and words."""
+    """(slot, s, rank): which block of which source each slot of the mix takes, slots from 0 without gaps.  ``plan`` has source and words."""
     sources = common.cut(plan.where("words > 0").select(F.struct("source").alias("s"), F.ceil(F.col("words") / block).alias("blocks")))
     slots = int(sources.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])
     upto = F.sum("blocks").over(W.orderBy("s"))
@@ -88,7 +91,12 @@ def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_WORDS) ->
     open_ = F.col("blocks") - F.col("got")
     short = short.withColumn("at", slots + F.sum(open_).over(W.orderBy("s")) - open_)  # one row a source
     late = short.select("s", "got", "at", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank"))
-    return ranked.unionByName(late.select((F.col("at") + F.col("rank") - F.col("got")).cast("long").alias("slot"), "s", "rank"))
+    all_ = ranked.unionByName(late.select((F.col("at") + F.col("rank") - F.col("got")).cast("long").alias("slot"), "s", "rank"))
+    all_ = common.cut(all_.withColumn("run", F.floor(F.col("slot") / RUN)))
+    runs = all_.groupBy("run").agg(F.count(F.lit(1)).alias("n"))  # one row for 65,536 slots
+    before = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("run").orderBy("slot")) - 1
+    return all_.withColumn("at", place).join(before, "run").select((F.col("before") + F.col("at")).alias("slot"), "s", "rank")
 
 
 def mixed(spark: SparkSession, rows: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -110,13 +118,14 @@ def mixed(spark: SparkSession, rows: DataFrame, block: int = BLOCK_WORDS) -> tup
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's figures, the words that the mix takes of it and the first and last slot that it fills."""
     rows = common.table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     placed, pieces = mixed(spark, rows)
     names = ["doc_id", "source", "size", "copy", "start"]
-    all_ = pieces.groupBy(*names).agg(F.sum("words").alias("taken"))
+    all_ = pieces.groupBy(*names).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     key = F.struct(*names).alias("k")
-    out = placed.select("size", "source_size", "target", key).join(all_.select("taken", key), "k", "left")
-    return out.select("k.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = placed.select("size", "source_size", "target", key).join(all_.select("taken", "first_slot", "last_slot", key), "k", "left")
+    return out.select("k.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "last_slot")
 
 
 ORACLE = """
@@ -128,10 +137,23 @@ s2 AS (SELECT *, sum(cap) OVER f - cap AS before, sum(w) OVER (ORDER BY cap / w,
     FROM s1 WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 s3 AS (SELECT *, max(CASE WHEN (total * 1.5::DOUBLE - before) / after <= cap / w THEN (total * 1.5::DOUBLE - before) / after END) OVER () AS level FROM s2),
 s4 AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM s3),
-p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM d)
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a, row_number() OVER () AS r FROM d),
+b0 AS (SELECT source, CAST(ceil(round(target) / 1024.0::DOUBLE) AS BIGINT) AS blocks FROM s4 WHERE round(target) > 0),
+b1 AS (SELECT *, CAST(sum(blocks) OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS upto, CAST(sum(blocks) OVER () AS BIGINT) AS points FROM b0),
+b2 AS (SELECT *, floor((upto - blocks) * 4294967296.0::DOUBLE / points) AS lo, floor(upto * 4294967296.0::DOUBLE / points) AS hi FROM b1),
+pt AS (SELECT i, (i * 2654435769) % 4294967296 AS u FROM (SELECT unnest(range((SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) FROM b0))) AS i)),
+pr AS (SELECT source, blocks, i, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM pt JOIN b2 ON u >= lo AND u < hi),
+gt AS (SELECT b2.source, b2.blocks, count(i) AS got FROM b2 LEFT JOIN pr ON pr.source IS NOT DISTINCT FROM b2.source GROUP BY b2.source, b2.blocks),
+lt AS (SELECT source, unnest(range(got, blocks)) AS rank FROM gt WHERE got < blocks),
+sl AS (SELECT source, rank, row_number() OVER (ORDER BY late, i, source NULLS FIRST, rank) - 1 AS slot
+    FROM (SELECT source, rank, i, 0 AS late FROM pr WHERE rank < blocks UNION ALL SELECT source, rank, 0, 1 FROM lt)),
+us AS (SELECT r, p.source, unnest(range(CAST(f // 1024 AS BIGINT), CAST((t - 1) // 1024 + 1 AS BIGINT))) AS rank
+    FROM (SELECT r, p.source, CAST(a + round_ * source_size AS BIGINT) AS f, CAST(least(a + round_ * source_size + size, round(target)) AS BIGINT) AS t
+        FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source, (VALUES (0), (1)) x(round_)) p WHERE f < t),
+ps AS (SELECT r, CAST(min(slot) AS BIGINT) AS first_slot, CAST(max(slot) AS BIGINT) AS last_slot FROM us JOIN sl ON us.source IS NOT DISTINCT FROM sl.source AND us.rank = sl.rank GROUP BY r)
 SELECT doc_id, size, source_size, target,
-    CAST(greatest(0, least(a + size, round(target)) - a) + greatest(0, least(a + size + source_size, round(target)) - a - source_size) AS BIGINT) AS taken
-FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source
+    CAST(greatest(0, least(a + size, round(target)) - a) + greatest(0, least(a + size + source_size, round(target)) - a - source_size) AS BIGINT) AS taken, first_slot, last_slot
+FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source LEFT JOIN ps ON ps.r = p.r
 """
 
 
@@ -142,7 +164,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _, pieces = mixed(spark, marked.select("doc_id", "source", F.col("__size").alias("size")))
     uses = pieces.groupBy("doc_id", "source", "size", "copy", "round").agg(F.sum("words").alias("w"), F.min("slot").alias("__slot")).where("2 * w >= size")
     uses = uses.select(F.struct("doc_id", "source", "size", "copy").alias("__k"), "__slot", F.col("round").alias("__round"))
-    copy = F.row_number().over(W.partitionBy("doc_id", "source", "__size").orderBy("text")) - 1
-    marked = marked.withColumn("__copy", copy.cast("long"))
-    marked = marked.withColumn("__k", F.struct("doc_id", "source", F.col("__size").alias("size"), F.col("__copy").alias("copy")))
+    # Rows that share id, source and size are copies 0, 1, ... by a hash of their text, numbered within hash buckets.
+    key = F.struct("doc_id", "source", F.col("__size").alias("size"))
+    marked = marked.withColumns({"__id": key, "__hash": F.xxhash64("text")}).withColumn("__cell", F.pmod("__hash", F.lit(1024)))
+    cells = marked.groupBy("__id", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = cells.select("__id", "__cell", (F.sum("__n").over(W.partitionBy("__id").orderBy("__cell")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__id", "__cell").orderBy("__hash")) - 1
+    marked = marked.join(before, ["__id", "__cell"]).withColumn("__copy", F.col("__before") + place)
+    marked = marked.withColumn("__k", F.struct("__id.doc_id", "__id.source", "__id.size", F.col("__copy").alias("copy")))
     return marked.join(uses, "__k").orderBy("__slot", "__k", "__round").select(*names)
