@@ -217,6 +217,9 @@ def test_tool_calls(spark):
     assert got[(1, 3, "result")].line == '{"id":"zz","result":null,"status":"orphan"}'
     assert got[(1, 0, "message")].line == '{"role":"system","text":"hé\\n\\"q\\""}' and got[(3, 0, "message")].line == '{"role":null,"text":null}'
     assert len(out) == 13 + 1 + 2
+    places = {k[:2]: r.position for k, r in got.items() if k[2] == "call"}
+    assert [t for c, t in sorted((k for k in places if k[0] == 1), key=places.get)] == [0, 6, 7, 8, 9, 2, 4, 5]
+    assert sorted(p for k, p in places.items() if k[0] == 2) == [0, 1, 2, 3] and {places[(2, 0)], places[(2, 1)]} == {2, 3}
     empty = chat.linked(calls.where("false"), results.where("false"), messages.where("false"))
     assert count(empty) == 0
 
@@ -302,6 +305,12 @@ def test_url_parts_and_rules(spark):
     assert [tuple(r) for r in df.select("host", "path", rule).collect()] == [tuple(r[1:]) for r in rows]
 
 
+def test_registered_domains(spark):
+    rows = [("a.b.co.uk", "co.uk", "b.co.uk"), ("b.co.uk:80", "co.uk", "b.co.uk"), ("10.0.0.1:8080", "ip", "10.0.0.1"), ("[::1]:80", "ip", "[::1]"), ("u:p@x.com:", "com", "x.com"), ("m.x.com", "com", "x.com"), ("localhost", "localhost", "localhost"), ("", "", ""), ("co.uk", "co.uk", "co.uk")]
+    df = spark.createDataFrame([(h,) for h, *_ in rows], "host string").select("host", urls.site_of(F.col("host")).alias("site"))
+    assert [tuple(r) for r in df.select("host", urls.suffix_of(F.col("site")), urls.domain_of(F.col("site"))).collect()] == rows
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.a.com", 1)] * 60 + [("good.a.com", 0)] * 60 + [("few.a.com", 1)] * 1 + [("other.b.org", 0)] * 200 + [("unseen.b.org", None)] * 3 + [("", 1)]
     got = {r.host: r for r in urls.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}

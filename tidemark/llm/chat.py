@@ -2,7 +2,8 @@
 
 Calls and results meet by (conversation, identifier).  A call may name one earlier call that it
 depends on; its level is the length of that chain, found by pointer doubling, so that a chain of n
-calls takes log2(n) joins.  Ordering a conversation by (level, turn) is topological.  Arguments
+calls takes log2(n) joins.  ``position`` numbers a conversation's calls by (level, turn), which is a topological order,
+those of a cycle last.  The joins are shuffled hash joins whose hashed side has one row an identifier.  Arguments
 are JSON, checked against the schema of the tool named.  Every call, every result without a
 call and every plain message becomes one line of canonical JSON: sorted keys, no blanks.
 
@@ -10,7 +11,9 @@ Status, the first that holds: duplicate (an earlier call has the identifier), in
 arguments break the schema, or aren't JSON), dangling (it depends on a call that doesn't exist),
 cycle, no_result, ok.  Of several results of a call the earliest, then the least text, counts;
 a result is an orphan where no call has its identifier.  Null texts are missing arguments or
-null results; an empty table gives an empty result; repeated rows are duplicates.
+null results; an empty table gives an empty result; repeated rows are duplicates.  Null conversations
+and identifiers are values like others, equal to each other.  Calls that tie in level and turn go by identifier, name and arguments; equal rows may swap
+places.  Very long texts are read whole.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.operators.datasets import with_index
 
 #: tool: {argument: (type, required, least, most)}; least and most bound lengths or numbers.
 SCHEMAS = {
@@ -46,6 +50,21 @@ def errors(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
     return found
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """The side of a join that is hashed: one row a key."""
+    return rows.hint("shuffle_hash")
+
+
+def positioned(calls: DataFrame) -> DataFrame:
+    """``calls`` with ``position``, their place in their conversation by level and turn, from a range sort: a conversation of
+    very many calls is spread over tasks."""
+    last = F.coalesce("level", F.lit((1 << 63) - 1))
+    order = ["__conv", "__level", "turn", "call_id", "name", "arguments"]
+    rows = with_index(calls.withColumns({"__conv": F.struct("conv_id"), "__level": last}), order, "__index")
+    first = rows.groupBy("__conv").agg(F.min("__index").alias("__first"))
+    return rows.join(hashed(first), "__conv").withColumn("position", F.col("__index") - F.col("__first")).drop("__conv", "__level", "__index", "__first")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(key, level, cyclic) from (key, parent): how many calls a call rests on, by pointer doubling."""
     state = common.cut(calls.select("key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")))
@@ -54,12 +73,12 @@ def levels(calls: DataFrame) -> DataFrame:
         if state.where("up is not null").isEmpty():
             break
         above = state.select(F.col("key").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"))
-        state = common.cut(state.join(above, "up", "left").select("key", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        state = common.cut(state.join(hashed(above), "up", "left").select("key", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
     return state.select("key", F.when(F.col("up").isNull(), F.col("level")).alias("level"), F.col("up").isNotNull().alias("cyclic"))
 
 
 def linked(calls: DataFrame, results: DataFrame, messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, kind, call_id, level, status, line).
+    """(conv_id, turn, kind, call_id, level, position, status, line).
 
     calls: conv_id, turn, call_id, name, arguments, depends_on; results: conv_id, turn, call_id, text;
     messages: conv_id, turn, role, text.
@@ -68,27 +87,28 @@ def linked(calls: DataFrame, results: DataFrame, messages: DataFrame) -> DataFra
     calls = common.cut(calls.withColumn("order", F.struct("turn", "name", "arguments", F.monotonically_increasing_id())).withColumn("key", key))
     first = calls.groupBy("key").agg(F.min("order").alias("first"))
     parent = F.when(F.col("depends_on").isNotNull(), F.struct("conv_id", F.col("depends_on").alias("call_id")))
-    heads = calls.join(first, "key").where(F.col("order") == F.col("first")).withColumn("parent", parent)
+    heads = calls.join(hashed(first), "key").where(F.col("order") == F.col("first")).withColumn("parent", parent)
     known = heads.select(F.col("key").alias("parent"), F.lit(True).alias("there"))
-    heads = common.cut(heads.join(known, "parent", "left").select("key", "order", F.when(F.col("there"), F.col("parent")).alias("parent"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("dangling")))
-    graph = heads.join(levels(heads), "key").select("key", F.col("order").alias("head"), "dangling", "level", "cyclic")
+    heads = common.cut(heads.join(hashed(known), "parent", "left").select("key", "order", F.when(F.col("there"), F.col("parent")).alias("parent"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("dangling")))
+    graph = heads.join(hashed(levels(heads)), "key").select("key", F.col("order").alias("head"), "dangling", "level", "cyclic")
     replies = results.groupBy(key).agg(F.min(F.struct("turn", "text")).alias("reply"))
-    both = calls.join(graph, "key").join(replies, "key", "left").withColumn("errors", errors(F.col("name"), F.col("arguments")))
+    both = calls.join(hashed(graph), "key").join(hashed(replies), "key", "left").withColumn("errors", errors(F.col("name"), F.col("arguments")))
     status = (
         F.when(F.col("order") != F.col("head"), "duplicate").when(F.size("errors") > 0, "invalid").when(F.col("dangling"), "dangling")
         .when(F.col("cyclic"), "cycle").when(F.col("reply").isNull(), "no_result").otherwise("ok")
     )
-    both = both.withColumn("status", status).withColumn("result", F.col("reply.text"))
+    both = both.select("conv_id", "turn", "call_id", "name", "arguments", "level", "errors", status.alias("status"), F.col("reply.text").alias("result"))
+    both = positioned(both)
     keep_nulls = {"ignoreNullFields": "false"}
     call_line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "errors", F.col("call_id").alias("id"), "level", "name", "result", "status"), keep_nulls)
-    shape = lambda kind, level, state, line: ["conv_id", "turn", F.lit(kind).alias("kind"), "call_id", level.cast("long").alias("level"), state.alias("status"), line.alias("line")]
-    out = both.select(*shape("call", F.col("level"), F.col("status"), call_line))
-    lost = results.withColumn("key", key).join(first, "key", "left_anti")
+    shape = lambda kind, level, place, state, line: ["conv_id", "turn", F.lit(kind).alias("kind"), "call_id", level.cast("long").alias("level"), place.alias("position"), state.alias("status"), line.alias("line")]
+    out = both.select(*shape("call", F.col("level"), F.col("position"), F.col("status"), call_line))
+    lost = results.withColumn("key", key).join(hashed(first), "key", "left_anti")
     lost_line = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("text").alias("result"), F.lit("orphan").alias("status")), keep_nulls)
     plain_line = F.to_json(F.struct("role", "text"), keep_nulls)
     plain = messages.withColumn("call_id", F.lit(None).cast("string"))
     none = F.lit(None).cast("long")
-    return out.unionByName(lost.select(*shape("result", none, F.lit("orphan"), lost_line))).unionByName(plain.select(*shape("message", none, F.lit("plain"), plain_line)))
+    return out.unionByName(lost.select(*shape("result", none, none, F.lit("orphan"), lost_line))).unionByName(plain.select(*shape("message", none, none, F.lit("plain"), plain_line)))
 
 
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,11 +139,11 @@ e AS (SELECT c.*, level, a.text AS reply, a.id IS NOT NULL AS got, turn >= 2 AND
     list_filter([CASE WHEN c.text IS NULL THEN 'query:missing' WHEN name = 'search' AND (length(c.text) < 1 OR length(c.text) > 1000) OR name = 'compose' AND (length(c.text) < 200 OR length(c.text) > 100000) THEN 'query' END], lambda x: x IS NOT NULL) AS errors
     FROM c JOIN l USING (conv_id, turn) LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1),
 s AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'invalid' WHEN dangling THEN 'dangling' WHEN NOT got THEN 'no_result' ELSE 'ok' END AS status FROM e)
-SELECT conv_id, turn, 'call' AS kind, id AS call_id, CAST(level AS BIGINT) AS level, status,
+SELECT conv_id, turn, 'call' AS kind, id AS call_id, CAST(level AS BIGINT) AS level, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) - 1 AS position, status,
     '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"query":' || to_json(text) || ',' END || '"turn":' || turn || '},"errors":' || to_json(errors) || ',"id":"' || id || '","level":' || level
     || ',"name":"' || name || '","result":' || coalesce(to_json(reply), 'null') || ',"status":"' || status || '"}' AS line FROM s
-UNION ALL SELECT conv_id, turn, 'result', id, NULL, 'orphan', '{"id":"' || id || '","result":' || coalesce(to_json(text), 'null') || ',"status":"orphan"}'
+UNION ALL SELECT conv_id, turn, 'result', id, NULL, NULL, 'orphan', '{"id":"' || id || '","result":' || coalesce(to_json(text), 'null') || ',"status":"orphan"}'
     FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)
-UNION ALL SELECT conv_id, turn, 'message', NULL, NULL, 'plain', '{"role":' || coalesce(to_json(role), 'null') || ',"text":' || coalesce(to_json(text), 'null') || '}'
+UNION ALL SELECT conv_id, turn, 'message', NULL, NULL, NULL, 'plain', '{"role":' || coalesce(to_json(role), 'null') || ',"text":' || coalesce(to_json(text), 'null') || '}'
     FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
