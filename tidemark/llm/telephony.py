@@ -2,10 +2,13 @@
 
 Mu-law and A-law expand by 256-entry tables built from their formulas.  ADPCM blocks are
 decoded together: each step of the predictor runs in numpy across all blocks of a batch.
-Decoded sound is resampled from 8 to 16 kHz by linear interpolation, as 16-bit PCM.
+Decoded sound is resampled from 8 to 16 kHz by linear interpolation, as 16-bit PCM, which ``sounds``
+stores beside the WAVE file.
 
 Null and empty texts are one unit of blanks.  Equal texts give equal values.  Repeated rows
-each give a row; an empty table gives an empty result.
+each give a row; ties don't arise, since rows don't meet; an empty table gives an empty result.  Very long texts are decoded
+and described piece by piece, so that beside the sound itself memory stays bounded.  Other columns are
+ignored, whatever their names, unless they are asked for.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from tidemark.llm import common
 
 UNIT = 192
 RATE = 8000
+LONG = 1 << 20
 CODECS = ("mulaw", "alaw", "ima")
 TAGS = {"mulaw": 7, "alaw": 6, "ima": 17}
 # Fixed values of the IMA ADPCM format.
@@ -109,10 +113,45 @@ def doubled(pcm: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def telephone(docs: DataFrame, keep: list[str], with_pcm: bool = False) -> DataFrame:
-    """Store every text as a sound, read it back, decode, resample and describe it; ``with_pcm`` adds media and PCM."""
+class Summary:
+    """Figures of a 16 kHz sound that comes in pieces."""
+
+    def __init__(self) -> None:
+        self.samples = self.peak = self.power = self.turns = self.crc = 0
+        self.hash, self.sign = hashlib.sha256(), None
+
+    def add(self, pcm: np.ndarray) -> None:
+        wide, sign, raw = pcm.astype(np.int64), pcm < 0, pcm.tobytes()
+        self.samples += len(pcm)
+        self.peak = max(self.peak, int(np.abs(wide).max(initial=0)))
+        self.power += int((wide * wide).sum())
+        self.turns += int((sign[1:] != sign[:-1]).sum()) + int(self.sign is not None and bool(sign[0]) != self.sign)
+        self.sign, self.crc = bool(sign[-1]), zlib.crc32(raw, self.crc)
+        self.hash.update(raw)
+
+
+def resampled(codec: str, payload: bytes, piece: int) -> Iterator[np.ndarray]:
+    """The 16 kHz samples of a payload, ``piece`` payload bytes (whole units) at a time."""
+    held = np.zeros(0, np.int16)
+    for at in range(0, len(payload), piece):
+        pcm = np.concatenate([held, decode(codec, np.frombuffer(payload[at : at + piece], np.uint8))])
+        last = at + piece >= len(payload)
+        out = doubled(pcm, np.array([len(pcm)]))
+        yield out if last else out[:-2]
+        held = pcm[-1:]
+
+
+def line_of(codec: str, samples: int, peak: int, power: int, turns: int, crc: int) -> str:
+    return f"{codec} samples={samples} peak={peak} power={power} crossings={turns} crc={crc:08x}"
+
+
+def telephone(docs: DataFrame, keep: list[str], with_pcm: bool = False, piece: int = LONG) -> DataFrame:
+    """Store every text as a sound, read it back, decode, resample and describe it; ``with_pcm`` adds media and PCM.
+
+    Texts of up to ``piece`` bytes are decoded together, longer ones in pieces of that size.
+    """
     source = docs.select(*keep, "text")
-    columns = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+    columns = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("pcm_bytes", "long"), ("pcm_sha256", "string")]
     columns += [("media", "binary"), ("pcm", "binary")] * with_pcm
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + [f"{n} {t}" for n, t in columns])
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -120,15 +159,26 @@ def telephone(docs: DataFrame, keep: list[str], with_pcm: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, max_bytes=1 << 20):
             data, offsets = common.text_bytes(batch.column("text"))
-            flat, rows = data.tobytes(), [None] * batch.num_rows
+            rows = [None] * batch.num_rows
             groups: dict[str, list[tuple[int, bytes]]] = {c: [] for c in CODECS}
             for i in range(batch.num_rows):
-                raw = flat[offsets[i] : offsets[i + 1]]
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 payload = raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, b" ")
                 media = store(CODECS[zlib.crc32(payload) % len(CODECS)], payload)
                 codec, back = read(media)
-                groups[codec].append((i, back))
-                rows[i] = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), "", *[media] * with_pcm]
+                rows[i] = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()]
+                if len(back) <= piece:
+                    groups[codec].append((i, back))
+                    found, pcm = None, None
+                else:
+                    found, pcm = Summary(), []
+                    for part in resampled(codec, back, piece // UNIT * UNIT):
+                        found.add(part)
+                        pcm += [part.tobytes()] * with_pcm
+                    rows[i] += [line_of(codec, found.samples, found.peak, found.power // found.samples, found.turns, found.crc), 2 * found.samples, found.hash.hexdigest()]
+                    rows[i] += [media, b"".join(pcm)] * with_pcm
+                if found is None and with_pcm:
+                    rows[i].append(media)
             for codec, members in groups.items():
                 if not members:
                     continue
@@ -144,15 +194,21 @@ def telephone(docs: DataFrame, keep: list[str], with_pcm: bool = False) -> DataF
                 turns[cuts[1:] - 1] = False
                 crossings = np.add.reduceat(turns.astype(np.int64), cuts[:-1])
                 for k, (i, _) in enumerate(members):
-                    sound = pcm[cuts[k] : cuts[k + 1]]
-                    rows[i][6] = f"{codec} samples={len(sound)} peak={peak[k]} power={power[k]} crossings={crossings[k]} crc={zlib.crc32(sound.tobytes()):08x}"
-                    if with_pcm:
-                        rows[i].append(sound.tobytes())
+                    sound = pcm[cuts[k] : cuts[k + 1]].tobytes()
+                    media = [rows[i].pop()] if with_pcm else []
+                    rows[i] += [line_of(codec, len(sound) // 2, peak[k], power[k], crossings[k], zlib.crc32(sound)), len(sound), hashlib.sha256(sound).hexdigest(), *media, *[sound] * with_pcm]
             made = [pa.array([r[c] for r in rows], kinds[t]) for c, (_, t) in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, *[n for n, _ in columns]])
 
     return source.mapInArrow(run, schema)
 
 
+def sounds(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
+    """Write media and resampled PCM of every text as Parquet at ``path``, and return the table."""
+    telephone(docs, keep, with_pcm=True).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``sounds`` would store of every document, by lengths, hashes and features."""
     return telephone(common.table(spark, sf_dir, "documents").select("doc_id", F.col("text")), ["doc_id"])
