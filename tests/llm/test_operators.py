@@ -428,6 +428,14 @@ def test_pieces_round_trip(odd, none, vocabulary):
     assert pieces.encode(texts, vocabulary, {}) == pieces.encode(texts, vocabulary, cache)
 
 
+def test_long_words_are_segmented_alike(vocabulary, monkeypatch):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abeinrst_é😀") for _ in range(draw.randrange(1, 400))) for _ in range(40)]
+    want = pieces.encode(texts, vocabulary, {})
+    monkeypatch.setattr(pieces, "LONG_CHARS", 8)
+    assert pieces.encode(texts, vocabulary, {}) == want and [pieces.decode(i, vocabulary) for i in want] == texts
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
@@ -454,7 +462,7 @@ def test_adpcm_equals_a_scalar_decoder():
     assert telephony.adpcm(blocks).tolist() == [scalar_adpcm(b.tolist()) for b in blocks]
 
 
-def test_telephone(odd, none):
+def test_telephone(odd, none, tmp_path):
     rows = telephony.telephone(odd, ["doc_id"], with_pcm=True).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
     for r in rows:
@@ -468,7 +476,11 @@ def test_telephone(odd, none):
         flat = telephony.decode(codec, np.frombuffer(payload, np.uint8))
         assert (pcm[0::2] == flat).all() and (pcm[1:-1:2] == (flat[:-1].astype(int) + flat[1:]) >> 1).all() and pcm[-1] == flat[-1]
         assert r.feature.startswith(f"{codec} samples={len(pcm)} peak={np.abs(pcm.astype(int)).max()} ")
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(r.pcm), hashlib.sha256(r.pcm).hexdigest())
     assert len({r.feature for r in rows if r.doc_id in (1, None)}) == 1
+    assert sorted(map(str, telephony.telephone(odd, ["doc_id"], True, piece=400).collect())) == sorted(map(str, rows))  # long texts in pieces
+    path = str(tmp_path / "sounds")
+    assert sorted(str((r.doc_id, r.media, r.pcm)) for r in telephony.sounds(odd, ["doc_id"], path).collect()) == sorted(str((r.doc_id, r.media, r.pcm)) for r in rows)
     assert count(telephony.telephone(none, ["doc_id"])) == 0
     assert {telephony.read(telephony.store(c, b"x" * 384)) for c in telephony.CODECS} == {(c, b"x" * 384) for c in telephony.CODECS}
 

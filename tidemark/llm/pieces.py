@@ -11,12 +11,17 @@ last piece wins.  A unigram model has them as scores.  A BPE model only ranks it
 
 Decoding joins pieces and bytes and drops the dummy prefix: every text comes back exactly,
 literal U+2581 included (it is written as bytes).  Null stays null; the empty text has no pieces.
-Words over 64 characters aren't cached, so memory is bounded by the batch.
+Words over 64 characters aren't cached.  Words over 4,096, such as very long texts without blanks, are walked alone and
+keep a score, a length and an id for each character, 16 bytes, instead of shared nodes.
+
+Ties go to the longest last piece.  Repeated rows each get a row.  An empty table gives an empty result.  Other
+columns are ignored, whatever their names, unless they are asked for; the stage hands them on.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,7 +36,7 @@ from tidemark.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(" *[^ ]+| +$")
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS, LONG_CHARS = 400_000, 64, 4096
 
 
 @dataclass
@@ -127,6 +132,39 @@ def segment(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, lis
         yield word, ids
 
 
+def segment_long(word: str, vocabulary: Vocabulary) -> array:
+    """The same segmentation of one long word, in arrays."""
+    first, unknown, byte_ids = vocabulary.trie[0], vocabulary.unknown, vocabulary.byte_ids
+    best, size, ident, nodes = array("d", [0.0]), array("i", [0]), array("i", [0]), []
+    for i, c in enumerate(word):
+        alive, top, at, piece = [], -1e300, i, -1
+        for start, node in nodes:
+            node = node[0].get(c)
+            if node is not None:
+                alive.append((start, node))
+                if node[1] >= 0 and best[start] + node[2] > top:
+                    top, at, piece = best[start] + node[2], start, node[1]
+        node = first.get(c)
+        if node is not None:
+            alive.append((i, node))
+        score, one = (best[i] + unknown, -1) if node is None or node[1] < 0 else (best[i] + node[2], node[1])
+        if score > top:
+            top, at, piece = score, i, one
+        best.append(top)
+        size.append(i + 1 - at)
+        ident.append(piece)
+        nodes = alive
+    ids, end = array("i"), len(word)
+    while end:
+        if ident[end] >= 0:
+            ids.append(ident[end])
+        else:
+            ids.extend(byte_ids[b] for b in reversed(word[end - 1].encode()))
+        end -= size[end]
+    ids.reverse()
+    return ids
+
+
 def encode(texts: list[str | None], vocabulary: Vocabulary, cache: dict[str, list[int]]) -> list[list[int] | None]:
     """Ids of every text; ``cache`` keeps words between calls and is bounded."""
     if vocabulary.trie is None:
@@ -136,7 +174,9 @@ def encode(texts: list[str | None], vocabulary: Vocabulary, cache: dict[str, lis
     if len(cache) + len(fresh) > CACHE_WORDS:
         cache.clear()
         fresh = set(chain.from_iterable(cut))
-    cache.update(segment(sorted(fresh), vocabulary))
+    long = {w for w in fresh if len(w) > LONG_CHARS}
+    cache.update(segment(sorted(fresh - long), vocabulary))
+    cache.update((w, segment_long(w, vocabulary)) for w in long)
     out = [None if t is None else list(chain.from_iterable(map(cache.__getitem__, words))) for t, words in zip(texts, cut)]
     for word in fresh:
         if len(word) > CACHE_CHARS:
