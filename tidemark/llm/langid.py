@@ -7,8 +7,9 @@ rows kept out of the descent, calibrates the probability; a text is rejected whe
 calibrated probability lies under a bound that only ``reject_share`` of those rows miss.
 
 Null texts, empty texts and texts without a letter are ``und`` with score 0 and rejected.
-Repeated rows each get their own, equal, prediction.  An empty table gives an empty
-result.  Texts of any length are read whole, in blocks of bounded memory.
+Repeated rows each get their own, equal, prediction.  Of languages that tie in probability the first by name is taken.  An empty table gives an empty
+result.  Texts of any length are read whole, in blocks of bounded memory.  Other columns are ignored, whatever their
+names, unless they are asked for; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,23 +104,26 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 14, dim: int = 16, epoc
     return LanguageModel(labels, logits, bias, temperature, least)
 
 
-def training_rows(docs: DataFrame, usable: Column, per_label: int) -> list[tuple[str, str]]:
-    """About ``per_label`` rows of each label, chosen by a hash of the row: the documented bound of the sample."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().collect()
+def training_rows(docs: DataFrame, usable: Column, per_label: int, longest: int = 1 << 15, labels: int = 1000) -> list[tuple[str, str]]:
+    """At most ``per_label`` rows of at most ``longest`` bytes of each of the ``labels`` commonest labels, chosen by a hash
+    of the row: the documented bounds of the sample."""
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
     if not sizes:
         return []
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_label / r["count"]))])
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.2 * per_label / r["count"]))])
     point = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(point < shares[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id", "lang", "text").alias("h"))
-    return [(r["text"], r["lang"]) for r in picked.orderBy("h").limit(2 * per_label * len(sizes)).collect()]
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    return [(r["text"], r["lang"]) for r in picked.withColumn("place", place).where(F.col("place") <= per_label).orderBy("h", "text").collect()]
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """The columns ``keep`` with the predicted language, its calibrated probability and whether it is rejected."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x labels numbers: a fixed size
-    source = docs.select(*keep, *([] if "text" in keep else ["text"]), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letters"))
+    letters_in = common.fresh(docs, "__letters")
+    source = docs.select(*keep, *([] if "text" in keep else ["text"]), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias(letters_in))
     kept = [f for f in source.schema.fields if f.name in keep]
     schema = T.StructType([*kept, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
 
@@ -127,7 +132,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], out: tuple[s
         rows = m.logits.astype(np.float32)
         for batch in common.small_batches(batches):
             data, offsets = common.text_bytes(batch.column("text"))
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column(letters_in).to_numpy(zero_copy_only=False).astype(bool)
             if m.labels:
                 mean, _ = grams.mean_rows(FOLD[data], offsets, ORDERS, rows)
                 p = softmax((mean + m.bias) / m.temperature)
@@ -156,4 +161,5 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = docs.columns
     held = common.key_bucket(F.col("doc_id"), 5) == 0
     model = fit(training_rows(docs.select("doc_id", "text", "lang"), ~held, 600))
-    return predict(docs, model, names, ("__lang", "__score", "__rejected")).where(~F.col("__rejected")).select(*names)
+    lang, score, rejected = (common.fresh(docs, n) for n in ("__lang", "__score", "__rejected"))
+    return predict(docs, model, names, (lang, score, rejected)).where(~F.col(rejected)).select(*names)
