@@ -159,17 +159,16 @@ FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source LEFT JOIN ps ON ps.r =
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix uses at least half of its words, by the first slot of each use."""
-    names = docs.columns
-    marked = docs.withColumn("__size", word_count(F.col("text")))
-    _, pieces = mixed(spark, marked.select("doc_id", "source", F.col("__size").alias("size")))
-    uses = pieces.groupBy("doc_id", "source", "size", "copy", "round").agg(F.sum("words").alias("w"), F.min("slot").alias("__slot")).where("2 * w >= size")
-    uses = uses.select(F.struct("doc_id", "source", "size", "copy").alias("__k"), "__slot", F.col("round").alias("__round"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("size"))
+    marked = whole.select("row", F.struct("row.doc_id", "row.source", "size").alias("id"), F.xxhash64("row.text").alias("hash"))
+    _, pieces = mixed(spark, marked.select("id.*"))
+    uses = pieces.groupBy("doc_id", "source", "size", "copy", "round").agg(F.sum("words").alias("w"), F.min("slot").alias("slot")).where("2 * w >= size")
+    uses = uses.select(F.struct("doc_id", "source", "size", "copy").alias("k"), "slot", "round")
     # Rows that share id, source and size are copies 0, 1, ... by a hash of their text, numbered within hash buckets.
-    key = F.struct("doc_id", "source", F.col("__size").alias("size"))
-    marked = marked.withColumns({"__id": key, "__hash": F.xxhash64("text")}).withColumn("__cell", F.pmod("__hash", F.lit(1024)))
-    cells = marked.groupBy("__id", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = cells.select("__id", "__cell", (F.sum("__n").over(W.partitionBy("__id").orderBy("__cell")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(W.partitionBy("__id", "__cell").orderBy("__hash")) - 1
-    marked = marked.join(before, ["__id", "__cell"]).withColumn("__copy", F.col("__before") + place)
-    marked = marked.withColumn("__k", F.struct("__id.doc_id", "__id.source", "__id.size", F.col("__copy").alias("copy")))
-    return marked.join(uses, "__k").orderBy("__slot", "__k", "__round").select(*names)
+    marked = marked.withColumn("cell", F.pmod("hash", F.lit(1024)))
+    cells = marked.groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = cells.select("id", "cell", (F.sum("n").over(W.partitionBy("id").orderBy("cell")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("id", "cell").orderBy("hash")) - 1
+    marked = marked.join(before, ["id", "cell"]).withColumn("copy", F.col("before") + place)
+    marked = marked.select("row", F.struct("id.doc_id", "id.source", "id.size", "copy").alias("k"))
+    return marked.join(uses, "k").orderBy("slot", "k", "round").select("row.*")

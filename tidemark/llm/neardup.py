@@ -242,14 +242,14 @@ def orderable(kind: T.DataType) -> bool:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the least doc_id; of rows that share it the first by all columns that have an order."""
-    names = docs.columns
+    names, fp = docs.columns, common.fresh(docs, "__fp")
     classes, _ = groups(docs)
-    marked = docs.withColumn("__fp", F.md5(F.col("text").cast("binary")))
-    members = marked.select("__fp", "doc_id").join(classes.select(F.col("fp").alias("__fp"), "comp"), "__fp")
-    heads = members.groupBy("comp").agg(F.min(F.struct("doc_id", "__fp")).alias("h")).select("h.doc_id", "h.__fp")
-    kept = marked.alias("d").join(heads.alias("h"), (F.col("d.__fp") == F.col("h.__fp")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    marked = docs.withColumn(fp, F.md5(F.col("text").cast("binary")))
+    members = marked.select(F.col(fp).alias("fp"), "doc_id").join(classes.select("fp", "comp"), "fp")
+    heads = members.groupBy("comp").agg(F.min(F.struct("doc_id", "fp")).alias("h")).select("h.doc_id", "h.fp")
+    kept = marked.alias("d").join(heads.alias("h"), (F.col(f"d.{fp}") == F.col("h.fp")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
     by = [f.name for f in docs.schema.fields if orderable(f.dataType)]
-    one = kept.groupBy("__fp").agg(F.min_by(F.struct(*names), F.struct(*by)).alias("row")).select("row.*")
+    one = kept.groupBy(fp).agg(F.min_by(F.struct(*names), F.struct(*by)).alias("row")).select("row.*")
     return one.unionByName(blank(docs)).select(*names)
 
 

@@ -15,7 +15,8 @@ Words over 64 characters aren't cached.  Words over 4,096, such as very long tex
 keep a score, a length and an id for each character, 16 bytes, instead of shared nodes.
 
 Ties go to the longest last piece.  Repeated rows each get a row.  An empty table gives an empty result.  Other
-columns are ignored, whatever their names, unless they are asked for; the stage hands them on.
+columns are ignored, whatever their names, unless they are asked for; the stage hands them on, but for ``ids`` and
+``exact``, which it writes anew.
 """
 
 from __future__ import annotations
@@ -215,4 +216,4 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Every document with its ids."""
-    return pieced(docs, load(model), docs.columns)
+    return pieced(docs, load(model), [c for c in docs.columns if c not in ("ids", "exact")])
