@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, validate
+from tidemark.sources.fixtures import message_stream
 from tidemark.streaming import live
 
 SCHEMA = "ticker_id int, day_id int, seq long, ts_us long, event_type int, order_id long, size int, price long, direction int"
@@ -117,9 +118,11 @@ def test_options(spark):
 
 
 @pytest.mark.parametrize("files", [1, 3])
-def test_live_equals_batch(spark, files):
+def test_live_equals_batch(spark, files, tmp_path):
     rows = feed(6)
-    snaps, best = live.live_book(spark.createDataFrame(rows, SCHEMA), files)
+    folder = str(tmp_path)
+    snaps, best = live.live_book(message_stream(spark.createDataFrame(rows, SCHEMA), folder, files), folder)
+    assert {r.late for r in live.late_counts(snaps).collect()} == {0}
     assert as_twin(snaps) == twin(rows) and best.count() == len(rows)
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, book, datasets, features, labels, models, normalise, reports, validate
-from tidemark.operators.materialise import staged
+from tidemark.operators.materialise import fresh_folder, staged
 from tidemark.plans import oracles as o
 from tidemark.sources import fixedrec
-from tidemark.sources.fixtures import GROUP, fixture, levels
+from tidemark.sources.fixtures import GROUP, fixture, levels, message_stream
 from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,20 +517,42 @@ def epoch_order(spark, d):
 
 @register("live_book", BBO_SQL)
 def live_book(spark, d):
-    return live.live_book(mbo(spark, d))[1].select(*GROUP, "seq", "bid_px", "ask_px")
+    folder = fresh_folder(spark, "live")
+    return live.live_book(message_stream(mbo(spark, d), folder), folder)[1].select(*GROUP, "seq", "bid_px", "ask_px")
 
 
 @register("live_accuracy", o.query([*MT, *o.ALL, *o.COMPARED], f"SELECT {G}, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE NOT {o.HIT}) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM cmp GROUP BY {G}"))
 def live_accuracy(spark, d):
-    return live.live_accuracy(*feeds(spark, d))
+    folder, (m, t) = fresh_folder(spark, "check"), feeds(spark, d)
+    return live.live_accuracy(message_stream(m, folder), t, folder)
 
 
 @register("recorder", o.query(o.given("mbo"), f"SELECT {G}, count(*) AS n, max(seq) AS last FROM (SELECT {G}, seq, coalesce(last_value(CASE WHEN NOT (price >= 10000000 OR (event_type = 1 AND price = 0)) THEN ts_us END IGNORE NULLS) OVER (PARTITION BY {G} ORDER BY seq), 0) AS s FROM mbo) WHERE s >= 1000000 GROUP BY {G}"))
 def recorder(spark, d):
-    snaps, _ = live.live_book(mbo(spark, d), files=2)
+    folder = fresh_folder(spark, "record")
+    snaps, _ = live.live_book(message_stream(mbo(spark, d), folder, 2), folder)
     return live.recorded(snaps).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
+@register("late_messages", o.query(o.given("mbo"), f"""SELECT {G}, CAST(count(*) FILTER (WHERE seq < top) AS BIGINT) AS late FROM (SELECT *, max(CASE WHEN seq % 4 <> 0 THEN seq END) OVER (PARTITION BY {G}) AS top FROM mbo)
+    WHERE seq % 4 = 0 GROUP BY {G}"""))
+def late_messages(spark, d):
+    """Every fourth message comes after all others, with their numbers."""
+    m, folder = mbo(spark, d), fresh_folder(spark, "late")
+    for part in ("seq % 4 <> 0", "seq % 4 = 0"):
+        m.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return live.late_counts(live.live_book(stream, folder, "apply")[0])
+
+
+@register("fixedrec_files", o.query(o.given("mbo"), f"SELECT 'mbo_' || ticker_id || '_' || day_id || '.bin' AS file, seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))
+def fixedrec_files(spark, d):
+    """One file of records a group, written to the shared folder and read by Spark's own record reader."""
+    folder = fresh_folder(spark, "records")
+    fixedrec.write_records(mbo(spark, d), folder.removeprefix("file:").replace("///", "/", 1), "orders", GROUP, "mbo_{}_{}.bin")
+    return fixedrec.read_binary_records(spark, folder, "orders")
+
+
 @register("fixedrec_roundtrip", o.query(o.given("mbo"), f"SELECT CAST(ticker_id AS BIGINT) * 1000000000 + CAST(day_id AS BIGINT) * 100000000 + seq AS seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))
 def fixedrec_roundtrip(spark, d):
     rows = mbo(spark, d).withColumn("seq", F.col("ticker_id") * F.lit(1_000_000_000).cast("long") + F.col("day_id") * 100_000_000 + F.col("seq"))

@@ -4,13 +4,14 @@
 ``bbo`` (32) and ``snapshots`` (248).  A file is cut at record bounds into partitions of about
 ``partition_bytes``; each is read as one numpy array a chunk and handed over as Arrow.  The path must
 be readable from the executors; for stores that only Spark reads, ``read_binary_records`` uses
-Spark's own binary record reader instead.  A last, incomplete record is an error.
+Spark's own fixed-length reader instead, with the same columns.  A last, incomplete record is an error.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,42 +96,96 @@ def read_fixed(spark: SparkSession, path: str, kind: str, **options) -> DataFram
     return spark.read.format("fixedrec").option("kind", kind).options(**options).load(path)
 
 
+def _records(batch: pa.RecordBatch, dtype: np.dtype, names: list[str]) -> np.ndarray:
+    out = np.zeros(batch.num_rows, dtype)
+    out["time"] = batch.column("ts_us").to_numpy() / 1e6
+    for name in names:
+        column = batch.column(name)
+        out[name] = column.flatten().to_numpy().reshape(batch.num_rows, -1) if dtype[name].shape else column.to_numpy()
+    return out
+
+
 def encoded(rows: DataFrame, kind: str) -> DataFrame:
-    """(keys.., record binary) from rows with the columns of the layout and ts_us."""
+    """(seq, record binary) from rows with the columns of the layout and ts_us."""
     dtype = LAYOUTS[kind]
     names = list(dtype.names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype)
-            out["time"] = batch.column("ts_us").to_numpy() / 1e6
-            for name in names:
-                column = batch.column(name)
-                out[name] = column.flatten().to_numpy().reshape(batch.num_rows, -1) if dtype[name].shape else column.to_numpy()
-            raw = out.tobytes()
-            size = dtype.itemsize
+            raw, size = _records(batch, dtype, names).tobytes(), dtype.itemsize
             yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())], names=["seq", "record"])
 
     return rows.select("seq", "ts_us", *names).mapInArrow(run, "seq long, record binary")
 
 
-def decoded(records: DataFrame, kind: str) -> DataFrame:
-    """The columns of the layout from (seq, record)."""
+def decoded(records: DataFrame, kind: str, keep: list[str] = ()) -> DataFrame:
+    """The columns of the layout from (keep.., seq, record)."""
     dtype = LAYOUTS[kind]
-    schema = _schema(kind).removeprefix("file string, ")
+    schema = ", ".join([f"{c} {records.schema[c].dataType.simpleString()}" for c in keep] + [_schema(kind).removeprefix("file string, ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = _batch(np.frombuffer(b"".join(batch.column("record").to_pylist()), dtype), "", 0)
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), *got.columns[2:]], names=["seq", *got.schema.names[2:]])
+            kept = [batch.column(c) for c in [*keep, "seq"]]
+            yield pa.RecordBatch.from_arrays([*kept, *got.columns[2:]], names=[*keep, "seq", *got.schema.names[2:]])
 
-    return records.select("seq", "record").mapInArrow(run, schema)
+    return records.select(*keep, "seq", "record").mapInArrow(run, schema)
 
 
 def read_binary_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The same records by Spark's binary record reader, which reads any store that Spark does; seq follows the file order within a partition."""
-    raw = spark.sparkContext.binaryRecords(path, LAYOUTS[kind].itemsize).map(lambda r: (bytearray(r),)).toDF("record binary")
-    return decoded(raw.withColumn("seq", F.monotonically_increasing_id() + 1), kind)
+    """The same columns by Spark's fixed-length record reader, for any store that Spark reads; ``path`` may be a glob.
+
+    seq is the record's place in its file, from 1, as the reader gives it, so that it has no gaps between partitions.
+    """
+    from pyspark.sql import types as T
+
+    size = LAYOUTS[kind].itemsize
+    lengths = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") % size != 0)
+    bad = lengths.first()  # lengths only: no content is read
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: not a multiple of {size} bytes")
+    raw = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size)},
+    )
+    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("record", T.BinaryType())])
+    rows = spark.createDataFrame(raw.map(lambda r: (r[0] + 1, r[1])), schema).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+    return decoded(rows, kind, ["file"])
+
+
+def write_records(rows: DataFrame, path: str, kind: str, keys: list[str], name: str = "{}.bin") -> None:
+    """One file of records a group of ``keys``, in seq order, in a folder that the executors share; ``name`` takes the keys.
+
+    Rows are dealt by group and streamed into the group's file, which is moved into place when it is complete.
+    """
+    dtype = LAYOUTS[kind]
+    names = list(dtype.names[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tidemark.operators.folds import runs
+
+        here, out, n = None, None, 0
+        os.makedirs(path, exist_ok=True)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(path, name.format(*here)))
+                yield pa.RecordBatch.from_arrays([pa.array([name.format(*here)]), pa.array([n])], names=["file", "records"])
+
+        for batch in batches:
+            for part in runs(batch, keys):
+                key = tuple(part.column(k)[0].as_py() for k in keys)
+                if key != here:
+                    yield from close()
+                    here, n = key, 0
+                    out = open(os.path.join(path, f".{uuid.uuid4().hex}"), "wb")
+                out.write(_records(part, dtype, names).tobytes())
+                n += part.num_rows
+        yield from close()
+
+    dealt = rows.select(*keys, "seq", "ts_us", *names).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    dealt.mapInArrow(run, "file string, records long").write.format("noop").mode("overwrite").save()
 
 
 def group_of(file):

@@ -76,3 +76,15 @@ def levels(snaps: DataFrame) -> DataFrame:
         "ask_px": "transform(sequence(0, 9), i -> a0 + i)", "ask_sz": "transform(sequence(0, 9), i -> 100 + (seq*11 + i*17) % 500)",
     }
     return snaps.selectExpr("ticker_id", "day_id", "seq", "ts_us", *[f"{sql} AS {name}" for name, sql in made.items()])
+
+
+def message_stream(messages: DataFrame, folder: str, files: int = 4) -> DataFrame:
+    """Messages of a table as a file stream of ``files`` pieces of rising seq, one a micro-batch.
+
+    The pieces are written one after the other, since a file stream goes by age.
+    """
+    spark = messages.sparkSession
+    top = messages.selectExpr("max(seq)").first()[0] or 0
+    for i in range(files):
+        messages.where(f"seq > {top * i // files} and seq <= {top * (i + 1) // files}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")

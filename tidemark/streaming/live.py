@@ -1,28 +1,29 @@
 """The live book: messages in, snapshots out, with the same results as the batch fold.
 
 State per group holds the orders, the levels and the last snapshot.  A micro-batch of a group is
-sorted by seq and folded; across micro-batches arrival order counts, and a message whose seq is
-not after the last one folded is late: it is dropped and counted.
+sorted by seq and folded; across micro-batches arrival order counts.  A message whose seq is not after the
+last one folded is late: with ``late="drop"`` it is left out, with ``late="apply"`` it is folded where it arrives; either
+way it is counted, and every snapshot carries the group's count so far.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, validate
 from tidemark.sources.fixtures import GROUP
 
-OUT = "ticker_id int, day_id int, seq long, ts_us long, snap_us long, bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>"
+OUT = "ticker_id int, day_id int, seq long, ts_us long, snap_us long, bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>, late long"
 STATE = "orders string, snap_us long, last_seq long, on boolean, late long"
 
 
-def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def fold(key: tuple, batches: Iterator[pd.DataFrame], state, drop: bool = True) -> Iterator[pd.DataFrame]:
     """One micro-batch of one group; emits from the first message with a time over 1 s on."""
     rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
     orders, snap_us, last_seq, on, late = {}, 0, -1, False, 0
@@ -39,8 +40,9 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
     for seq, ts, event, oid, size, price, direction in zip(*(rows[c].tolist() for c in ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction"))):
         if seq <= last_seq:
             late += 1
-            continue
-        last_seq = seq
+            if drop:
+                continue
+        last_seq = max(seq, last_seq)
         if not (price >= book.MAX_PRICE or (event == book.ADD and price == 0)):
             held = orders.get(oid)
             if event == book.ADD:
@@ -59,14 +61,16 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
             ask.rebuild()
         on = on or ts > validate.SECOND
         if on:
-            out.append((*key, seq, ts, snap_us, bid.px, bid.sz, ask.px, ask.sz))
+            out.append((*key, seq, ts, snap_us, bid.px, bid.sz, ask.px, ask.sz, late))
     state.update((json.dumps(orders), snap_us, last_seq, on, late))
-    yield pd.DataFrame(out, columns=["ticker_id", "day_id", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"])
+    yield pd.DataFrame(out, columns=["ticker_id", "day_id", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz", "late"])
 
 
-def live_snapshots(messages: DataFrame) -> DataFrame:
+def live_snapshots(messages: DataFrame, late: str = "drop") -> DataFrame:
     """Streaming snapshots of streaming messages, by group."""
-    return messages.groupBy(*GROUP).applyInPandasWithState(fold, OUT, STATE, "append", "NoTimeout")
+    if late not in ("drop", "apply"):
+        raise ValueError(late)
+    return messages.groupBy(*GROUP).applyInPandasWithState(partial(fold, drop=late == "drop"), OUT, STATE, "append", "NoTimeout")
 
 
 def recorded(snaps: DataFrame) -> DataFrame:
@@ -74,12 +78,9 @@ def recorded(snaps: DataFrame) -> DataFrame:
     return snaps.where(F.col("snap_us") >= validate.SECOND)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: the checkpoint folder's, or a temporary one where none is set."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def late_counts(snaps: DataFrame) -> DataFrame:
+    """(keys, late): the late messages of each group, as of its last snapshot."""
+    return snaps.groupBy(*GROUP).agg(F.max("late").alias("late"))
 
 
 def run_to_end(stream: DataFrame, folder: str, each) -> None:
@@ -90,20 +91,9 @@ def run_to_end(stream: DataFrame, folder: str, each) -> None:
         raise query.exception()
 
 
-def replay(messages: DataFrame, folder: str, files: int) -> DataFrame:
-    """Messages as a file stream of ``files`` pieces of rising seq, written one after the other, since a file stream goes by age."""
-    spark = messages.sparkSession
-    top = messages.agg(F.max("seq")).first()[0] or 0
-    for i in range(files):
-        piece = messages.where((F.col("seq") > top * i // files) & (F.col("seq") <= top * (i + 1) // files))
-        piece.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-
-
-def live_book(messages: DataFrame, files: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, best prices) written by one stateful query over a replay of the messages: the recorder and the monitor."""
-    spark = messages.sparkSession
-    folder = shared_folder(spark, "live")
+def live_book(stream: DataFrame, folder: str, late: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(snapshots, best prices) of a stream of messages, written under ``folder`` by one stateful query: the recorder and the monitor."""
+    spark = stream.sparkSession
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -111,20 +101,19 @@ def live_book(messages: DataFrame, files: int = 4) -> tuple[DataFrame, DataFrame
         book.bbo(batch).write.mode("overwrite").parquet(f"{folder}/bbo/batch={batch_id}")
         batch.unpersist()
 
-    run_to_end(live_snapshots(replay(messages, folder, files)), folder, both)
+    run_to_end(live_snapshots(stream, late), folder, both)
     return spark.read.parquet(f"{folder}/snapshots").drop("batch"), spark.read.parquet(f"{folder}/bbo").drop("batch")
 
 
-def live_accuracy(messages: DataFrame, truth: DataFrame, files: int = 4) -> DataFrame:
-    """(keys, matched, failed, accuracy) of a live replay: each micro-batch is matched with the static quotes and counted."""
-    spark = messages.sparkSession
-    folder = shared_folder(spark, "check")
+def live_accuracy(stream: DataFrame, truth: DataFrame, folder: str) -> DataFrame:
+    """(keys, matched, failed, accuracy) of a stream of messages: each micro-batch is matched with the static quotes and counted."""
+    spark = stream.sparkSession
 
     def count(batch: DataFrame, batch_id: int) -> None:
         rows = validate.compared(batch, truth, in_order=False)
         rows.where("t_bid is not null").groupBy(*GROUP).agg(F.count_if(validate.hit()).alias("m"), F.count_if(~validate.hit()).alias("f")).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
 
-    run_to_end(live_snapshots(replay(messages, folder, files)), folder, count)
+    run_to_end(live_snapshots(stream), folder, count)
     out = spark.read.parquet(f"{folder}/counts").groupBy(*GROUP).agg(F.sum("m").alias("matched"), F.sum("f").alias("failed"))
     return out.withColumn("accuracy", validate.accuracy(F.col("matched"), F.col("matched") + F.col("failed")))
 
