@@ -1,8 +1,13 @@
 import math
+import os
+import random
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, datasets, features, labels, normalise, validate
+from tidemark.operators import asof, datasets, features, labels, models, normalise, validate
+from tidemark.sources import exports, sinks
 
 LEFT = "ticker_id int, day_id int, seq long, ts_us long"
 RIGHT = "ticker_id int, day_id int, tseq long, ts_us long"
@@ -154,6 +159,135 @@ def test_thresholds_are_stored_and_stale_ones_refused(spark, tmp_path):
     assert datasets.load_thresholds(spark, path, ["alpha_down", "alpha_up"]) is None
 
 
+def test_stale_thresholds_are_fitted_again(spark, tmp_path):
+    path, calls = str(tmp_path / "t"), []
+
+    def fit(columns):
+        calls.append(columns)
+        return spark.createDataFrame([tuple(0.5 for _ in columns)], ", ".join(f"{c} double" for c in columns))
+
+    assert datasets.fitted_thresholds(spark, path, lambda: fit(["alpha_down"])).first().alpha_down == 0.5
+    first = os.listdir(path)
+    assert datasets.fitted_thresholds(spark, path, lambda: fit(["alpha_down"])).columns == ["alpha_down"] and os.listdir(path) == first
+    assert datasets.fitted_thresholds(spark, path, lambda: fit(["alpha_down", "alpha_up"])).first().alpha_up == 0.5
+
+
+def test_index_of_three_million_rows(spark):
+    rows = spark.range(0, 3_000_000, 1, 8).select((F.col("id") * 7919 % 3_000_000).alias("v"))
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            got = datasets.with_index(rows, ["v"])
+            for _ in range(2):
+                one = got.agg(F.count_distinct("index").alias("n"), F.max("index").alias("most"), F.count_if(F.col("v") != F.col("index")).alias("wrong")).first()
+                assert one.asDict() == {"n": 3_000_000, "most": 2_999_999, "wrong": 0}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_asof_grows_with_its_rows(spark):
+    import time
+
+    def took(n):
+        left = spark.range(n).select(F.lit(0).alias("ticker_id"), F.lit(0).alias("day_id"), F.col("id").alias("seq"), (F.col("id") * 1000).alias("ts_us"))
+        right = left.where("seq % 7 = 3").withColumnRenamed("seq", "tseq")
+        began = time.time()
+        bad = asof.asof(left, right, ["tseq"]).where("tseq <> greatest(3, seq - pmod(seq - 3, 7))").count()
+        assert bad == 0
+        return time.time() - began
+
+    took(1000)
+    assert took(160_000) < 16 * took(10_000) + 5
+
+
+def test_asof_with_and_without_buckets(spark):
+    draw = random.Random(4)
+    left = spark.createDataFrame([(g, 0, i, draw.randrange(1000)) for g in range(3) for i in range(200)], LEFT)
+    right = spark.createDataFrame([(g, 0, i, draw.randrange(300, 700)) for g in range(2) for i in range(20)], RIGHT)
+    for clamp in (True, False):
+        want = {(r.ticker_id, r.seq): r.tseq for r in asof.asof(left, right, ["tseq"], clamp=clamp, bucket_us=None).collect()}
+        quotes = {g: sorted((r.ts_us, r.tseq) for r in right.collect() if r.ticker_id == g) for g in range(2)}
+        for r in left.collect():
+            past = [q for q in quotes.get(r.ticker_id, []) if q[0] <= r.ts_us]
+            first = min(quotes[r.ticker_id]) if clamp and r.ticker_id in quotes else (None, None)
+            assert want[(r.ticker_id, r.seq)] == (past[-1][1] if past else first[1])
+        assert {(r.ticker_id, r.seq): r.tseq for r in asof.asof(left, right, ["tseq"], clamp=clamp, bucket_us=50).collect()} == want
+
+
+def test_folds_do_not_depend_on_batches(spark):
+    draw = random.Random(6)
+    rows = [(g, 0, i, i * 700 + draw.randrange(600), 1000 + draw.randrange(50), 1010 + draw.randrange(50)) for g in range(3) for i in range(90)]
+    df = spark.createDataFrame(rows, LEFT + ", b0 long, a0 long")
+
+    def results():
+        out = labels.label_atr(labels.forward_return(df, 3000), 9000, 2000)
+        return sorted(map(str, out.collect()))
+
+    want = results()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        assert results() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, 1, [3], [4]), (1, 6, 2, [5], [6])], "ticker_id int, day_id int, seq long, bid_px array<long>, ask_px array<long>")
+    sinks.write_partitioned(sinks.with_top_columns(rows), str(tmp_path / "a"))
+    got = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted((r.day_id, r.b0, r.a0) for r in got.collect()) == [(5, 3, 4), (6, 5, 6)] and (tmp_path / "a" / "ticker_id=1" / "day_id=5").is_dir()
+    calendar = spark.createDataFrame([(5, "train"), (6, "test")], "day_id int, split string")
+    datasets.concatenated(rows, calendar, str(tmp_path / "b"))
+    assert {r.split: r.seq for r in spark.read.parquet(str(tmp_path / "b")).collect()} == {"train": 1, "test": 2}
+    for _ in range(2):
+        models.append_metrics(spark.createDataFrame([(0.5,)], "accuracy double"), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    doubled = models.map_groups(rows.select("day_id", "seq"), ["day_id"], lambda t: t.append_column("twice", pc.multiply(t["seq"], 2)), "day_id int, seq long, twice long")
+    assert sorted(r.twice for r in doubled.collect()) == [2, 4]
+
+
+def test_windows_train_and_score(spark):
+    draw = random.Random(3)
+    rows = []
+    for g in range(2):
+        for i in range(120):
+            px = 1_000_000 + (i % 30) * 200 * (1 if (i // 30) % 2 else -1)
+            rows.append((g, 0, i, i * 1000, [px - k for k in range(10)], [10] * 10, [px + 1 + k for k in range(10)], [10 + draw.randrange(5)] * 10, px, px + 1))
+    df = spark.createDataFrame(rows, LEFT + ", bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>, b0 long, a0 long").withColumn("ts_us", F.col("ts_us") + 18_000_000_000 + 40_000_000_000)
+    alphas = spark.createDataFrame([(1e-5, 1e-5)], "alpha_down double, alpha_up double")
+    made = datasets.windows_dataset(df, alphas, 2000, 10, 10, 4, 20)
+    valid = {(r.ticker_id, r.seq): r.label for r in labels.label_fixed(labels.forward_return(df, 2000), alphas).where("label <> -1").collect()}
+    z = {(r.ticker_id, r.seq): r.z for r in features.zscore(df, 10).collect()}
+    want = {}
+    for g in range(2):
+        seqs = sorted(s for t, s in valid if t == g)
+        for w in range((len(seqs) - 10) // 4 + 1):
+            part = seqs[4 * w : 4 * w + 10]
+            want[(g, w)] = ([z[(g, s)] for s in part], valid[(g, part[-1])])
+    assert {(r.ticker_id, r.window): (r.x, r.y) for r in made.collect()} == want and len(want) > 40
+    summed = models.summarised(made, ["ticker_id", "day_id"])
+    model = models.train(summed)
+    got = models.scored(model, summed, ["ticker_id", "day_id"]).collect()
+    assert len(got) == len(want) and sum(r.label == r.pred for r in got) / len(got) > 0.5
+    b, c = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    vectors = {(r.ticker_id, r.window): r.features.toArray() for r in summed.collect()}
+    for r in got:
+        logits = b @ vectors[(r.ticker_id, r.window)] + c
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert r.pred == int(p.argmax()) and math.isclose(r.loss, -math.log(max(p[r.label], 1e-12)), rel_tol=1e-6, abs_tol=1e-9)
+    batch = models.batch_scored(made.select("window", F.element_at("x", -1).alias("last")), lambda: lambda x: np.asarray(x, float).sum(axis=1), "last", 40).collect()
+    assert all(math.isclose(r.score, sum(r["last"]), rel_tol=1e-6, abs_tol=1e-6) for r in batch)
+
+
+def test_exports(spark, tmp_path):
+    (tmp_path / "mbo.csv").write_text("ts_event,rtype,instrument_id,action,side,price,size,order_id,sequence\n1000,160,7,A,B,100000000,5,9,3\n2000,160,7,C,A,9223372036854775807,5,9,4\n")
+    (tmp_path / "mbp.csv").write_text("ts_event,instrument_id,bid_px_00,ask_px_00,bid_sz_00,ask_sz_00,bid_px_01,sequence\n1000,7,100000000,200000000,5,6,1,3\n")
+    inst = spark.createDataFrame([(0, "x", 7)], "ticker_id int, ticker string, instrument_id int")
+    got = [tuple(r) for r in normalise.orders(exports.read_mbo(spark, str(tmp_path / "mbo.csv")), inst).orderBy("seq").collect()]
+    assert got == [(0, "x", 3, 1, 1, 9, 5, 1000, 1), (0, "x", 4, 2, 2, 9, 5, 0, -1)]
+    assert [tuple(r) for r in normalise.quotes(exports.read_mbp(spark, str(tmp_path / "mbp.csv")), inst).collect()] == [(0, "x", 3, 1, 1000, 5, 2000, 6)]
+
+
 def test_negative_sizes_are_refused(spark):
     raw = spark.createDataFrame([(1000, 1, 1, "A", "B", 10**9, -1, 5)], "ts_event long, seq long, instrument_id int, action string, side string, price long, size int, order_id long")
     inst = spark.createDataFrame([(0, "x", 1)], "ticker_id int, ticker string, instrument_id int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -121,6 +122,16 @@ def load_thresholds(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return stored.select(*columns) if set(columns) <= set(stored.columns) else None
 
 
+def fitted_thresholds(spark: SparkSession, path: str, fit: Callable[[], DataFrame]) -> DataFrame:
+    """The stored thresholds; fitted and stored where there are none, or where their columns aren't those of ``fit``."""
+    wanted = fit()  # a plan, not yet run
+    stored = load_thresholds(spark, path, wanted.columns)
+    if stored is None:
+        save_thresholds(wanted, path)
+        stored = spark.read.parquet(path)
+    return stored
+
+
 def labelled_features(snaps: DataFrame, alphas: DataFrame, horizon_us: int, z_size: int, least: int, keys: list[str] = GROUP) -> DataFrame:
     """(keys, seq, ts_us, z, label): session rows, labels and z-scores; invalid labels go after the z-score."""
     rows = labels.large_enough(labels.session_filter(snaps), least, keys)

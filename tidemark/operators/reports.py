@@ -59,3 +59,19 @@ def readiness(rows: DataFrame, expected: DataFrame, least: int = 10_000, keys: l
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out = expected.join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("ready", F.col("n") > least)
+
+
+def preflight(features: DataFrame, labelled: DataFrame, expected: DataFrame, width: int = 40, least: int = 10_000, least_labels: int = 1_000, keys: list[str] = GROUP) -> DataFrame:
+    """Each expected group with what training asks of it: rows, feature rows of another length or with a null, valid labels, verdict.
+
+    ``features`` has an array column x of doubles, ``labelled`` a label, -1 where it is invalid.
+    """
+    if dict(features.dtypes).get("x") not in ("array<double>", "array<float>") or "label" not in labelled.columns:
+        raise ValueError("features need an array x of numbers, labelled rows a label")
+    bad = (F.size("x") != width) | F.exists("x", lambda v: v.isNull())
+    shape = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("misshapen"))
+    valid = labelled.groupBy(*keys).agg(F.count_if(F.col("label") != -1).alias("labels"))
+    out = expected.join(shape, keys, "left").join(valid, keys, "left")
+    out = out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "misshapen", "labels")])
+    reason = F.when(F.col("n") == 0, "missing").when(F.col("n") <= least, "rows").when(F.col("misshapen") > 0, "shape").when(F.col("labels") <= least_labels, "labels").otherwise("ready")
+    return out.withColumn("verdict", reason)

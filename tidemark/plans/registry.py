@@ -306,6 +306,15 @@ def readiness(spark, d):
     return reports.readiness(mbo(spark, d), expected, 3000)
 
 
+@register("preflight", o.query([*LABELLED, *o.given("instruments", "calendar"), f"lc AS (SELECT {G}, count(*) AS n, count(*) FILTER (WHERE label <> -1) AS labels FROM lb GROUP BY {G})", "ex AS (SELECT i.ticker_id, k AS day_id FROM instruments i, range(0, 40) r(k))"],
+    """SELECT ex.ticker_id, ex.day_id, coalesce(n, 0) AS n, CAST(0 AS BIGINT) AS misshapen, coalesce(labels, 0) AS labels,
+    CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n <= 40 THEN 'rows' WHEN labels <= 35 THEN 'labels' ELSE 'ready' END AS verdict FROM ex LEFT JOIN lc ON lc.ticker_id = ex.ticker_id AND lc.day_id = ex.day_id"""))
+def preflight(spark, d):
+    rows = labelled(spark, d)
+    expected = fixture(spark, d, "instruments").select("ticker_id").crossJoin(spark.range(40).select(F.col("id").cast("int").alias("day_id")))
+    return reports.preflight(features.features40(levels(snap(spark, d))), rows, expected, least=40, least_labels=35)
+
+
 # --- labels --------------------------------------------------------------------------------------
 
 
