@@ -74,7 +74,8 @@ def balanced_sample(rows: DataFrame, draws: int, order: list[str], seed: int = 7
     weighted = classes.join(class_weights(indexed, label).select(label, "weight"), label).withColumn("chance", F.col("weight") * F.col("n"))
     upto = F.sum("chance").over(W.orderBy(label)) / F.sum("chance").over(W.partitionBy())
     bounds = weighted.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag(upto).over(W.orderBy(label)), F.lit(0.0)))
-    point = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40))
+    digits = lambda salt: F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), "id").cast("binary")), 1, 10)
+    point = lambda salt: F.conv(digits(salt), 16, 10).cast("double") / float(1 << 40)
     drawn = spark.range(draws).select(F.col("id").alias("draw"), point(1).alias("u"), point(2).alias("v"))
     drawn = drawn.join(F.broadcast(bounds), (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | (F.col("hi") >= 1.0)))
     drawn = drawn.select("draw", (F.col("first") + F.floor(F.col("v") * F.col("n"))).alias("index"))

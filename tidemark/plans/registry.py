@@ -490,7 +490,12 @@ def sample_weights(spark, d):
     return datasets.sample_weights(labelled(spark, d).where("label <> -1")).select(*GROUP, "seq", F.round("weight", 9).alias("weight"))
 
 
-@register("balanced_sample")
+@register("balanced_sample", o.query([*LABELLED, WEIGHTS, f"bi AS (SELECT {G}, seq, label, row_number() OVER (ORDER BY label, {G}, seq) - 1 AS i FROM lb WHERE label <> -1)",
+    "bc AS (SELECT label, min(i) AS first_, any_value(weight) * count(*) AS chance, count(*) AS n FROM bi JOIN cw USING (label) GROUP BY label)",
+    "bb AS (SELECT *, sum(chance) OVER (ORDER BY label) / sum(chance) OVER () AS hi, coalesce(sum(chance) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(chance) OVER (), 0) AS lo FROM bc)",
+    "dr AS (SELECT id AS draw, CAST('0x' || substr(md5('7:1:' || id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS u, CAST('0x' || substr(md5('7:2:' || id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS v FROM (SELECT unnest(range((SELECT count(*) FROM bi))) AS id))",
+    "di AS (SELECT draw, first_ + CAST(floor(v * n) AS BIGINT) AS i FROM dr JOIN bb ON u >= lo AND (u < hi OR hi >= 1))"],
+    f"SELECT draw, {G}, seq, label FROM di JOIN bi USING (i)"))
 def balanced_sample(spark, d):
     rows = labelled(spark, d).where("label <> -1").select(*GROUP, "seq", "label")
     return datasets.balanced_sample(rows, rows.count(), [*GROUP, "seq"])
@@ -577,11 +582,11 @@ def train_classifier(spark, d):
 
 @register("score_windows")
 def score_windows(spark, d):
-    rows = windows(spark, d, "test").select(*GROUP, "window", F.element_at("x", -1).alias("last"))
+    rows = windows(spark, d, "test").select(*GROUP, "window", F.flatten("x").alias("all"))
 
     def make_model():
         import numpy as np
 
         return lambda x: np.tanh(np.asarray(x, float)).mean(axis=1)
 
-    return models.batch_scored(rows, make_model, "last", features.WIDTH).select(*GROUP, "window", "score")
+    return models.batch_scored(rows, make_model, "all", 10 * features.WIDTH).select(*GROUP, "window", "score")
