@@ -4,7 +4,9 @@ Every record key gets a score on every shard from a hash of (key, shard) and the
 weight, and goes to the shard where its score is greatest.  The key and the shards alone
 decide, so a further shard only takes records into itself, in proportion to its weight.
 
-A null key counts as the empty key.  Equal keys share a shard.  Null texts have no bytes.
+A null key counts as the empty key.  Equal keys share a shard.  Null texts have no bytes; very long ones are
+only measured and hashed.  Ties of scores go to the lower shard; rows that tie in a shard's order, repeated ones
+included, may swap slots.  A column that has the name of the result is replaced; other columns are handed on.
 An empty table gives an empty result.
 """
 
