@@ -22,10 +22,10 @@ def feed(seed, groups=2, n=120):
     return rows
 
 
-def twin(rows):
-    """(group, seq) -> (snap time, bid levels, ask levels), one message after the other."""
+def twin(rows, arrival=False):
+    """(group, seq) -> (snap time, bid levels, ask levels), one message after the other, by seq or as they arrive."""
     out, books = {}, {}
-    for g, d, seq, ts, event, oid, size, price, side in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for g, d, seq, ts, event, oid, size, price, side in sorted(rows, key=lambda r: r[:2] if arrival else r[:3]):
         orders, last = books.setdefault((g, d), ({}, [0]))
         if not (price >= 10_000_000 or (event == 1 and price == 0)):
             if event == 1:
@@ -126,6 +126,29 @@ def test_live_equals_batch(spark, files, tmp_path):
     assert as_twin(snaps) == twin(rows) and best.count() == len(rows)
 
 
+def test_late_messages_fold_where_they_arrive(spark, tmp_path):
+    rows, folder = feed(9), str(tmp_path)
+    late = [r for r in rows if r[2] % 4 == 0]
+    first = [r for r in rows if r[2] % 4 != 0]
+    for part in (first, late):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    snaps, _ = live.live_book(stream(), f"{folder}/apply", "apply")
+    tops = {}
+    for r in first:
+        tops[r[:2]] = max(tops.get(r[:2], 0), r[2])
+    assert as_twin(snaps) == twin(first + late, arrival=True)
+    assert sum(r.late for r in live.late_counts(snaps).collect()) == sum(r[2] < tops[r[:2]] for r in late)
+    on_time, _ = live.live_book(stream(), f"{folder}/drop")
+    kept = first + [r for r in late if r[2] > tops[r[:2]]]
+    assert as_twin(on_time) == twin(kept, arrival=True)
+
+
+@pytest.mark.parametrize("held,message,left", [(None, (2, 5, 9, 1), None), (None, (1, 0, 9, 1), None), ((7, 9, 1), (4, 5, 3, -1), (2, 9, 1)), ((7, 9, 1), (2, 8, 9, 1), None), ((7, 9, 1), (3, 0, 9, 1), None), ((7, 9, 1), (1, 4, 8, -1), (4, 8, -1)), ((7, 9, 1), (9, 1, 9, 1), (7, 9, 1))])
+def test_what_remains_of_an_order(held, message, left):
+    assert live.after(held, *message) == left
+
+
 def test_gates(spark):
     truth = spark.createDataFrame([(0, 0, 1, 100_000_000, 1, 1, 2, 1), (0, 0, 2, 200_000_000, 1, 1, 2, 1)], "ticker_id int, day_id int, tseq long, ts_us long, bid_px long, bid_sz int, ask_px long, ask_sz int")
     times = [500_000, 39_999_999, 40_000_000, 260_000_000, 260_000_001, 150_000_000]

@@ -131,6 +131,10 @@ class Side:
             del self.volume[key]
             del self.prices[bisect_left(self.prices, key)]
 
+    def at(self, px: int) -> int:
+        """The volume of a level, 0 if it isn't there."""
+        return self.volume.get(-px * self.sign, 0)
+
     def rebuild(self) -> None:
         top = self.prices[:DEPTH]
         pad = [0] * (DEPTH - len(top))

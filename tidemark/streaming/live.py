@@ -1,76 +1,104 @@
 """The live book: messages in, snapshots out, with the same results as the batch fold.
 
-State per group holds the orders, the levels and the last snapshot.  A micro-batch of a group is
-sorted by seq and folded; across micro-batches arrival order counts.  A message whose seq is not after the
-last one folded is late: with ``late="drop"`` it is left out, with ``late="apply"`` it is folded where it arrives; either
-way it is counted, and every snapshot carries the group's count so far.
+State per group is keyed: what remains of each order, the volume of each level, and one row of marks.  A micro-batch
+of a group is sorted by seq and folded; it reads and writes the orders that its messages name and writes the levels that
+they change, so its cost follows the messages and the levels, not the orders that rest in the book.  Across
+micro-batches arrival order counts.  A message whose seq is not after the last one folded is late: with ``late="drop"`` it
+is left out, with ``late="apply"`` it is folded where it arrives; either way it is counted, and every snapshot carries the
+group's count so far.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import book, validate
 from tidemark.sources.fixtures import GROUP
 
 OUT = "ticker_id int, day_id int, seq long, ts_us long, snap_us long, bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>, late long"
-STATE = "orders string, snap_us long, last_seq long, on boolean, late long"
-
-
-def fold(key: tuple, batches: Iterator[pd.DataFrame], state, drop: bool = True) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one group; emits from the first message with a time over 1 s on."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    orders, snap_us, last_seq, on, late = {}, 0, -1, False, 0
-    if state.exists:
-        stored, snap_us, last_seq, on, late = state.get
-        orders = {int(k): v for k, v in json.loads(stored).items()}
-    bid, ask = book.Side(1), book.Side(-1)
-    side = lambda d: bid if d == 1 else ask
-    for size, price, direction in orders.values():
-        side(direction).change(price, size)
-    bid.rebuild()
-    ask.rebuild()
-    out = []
-    for seq, ts, event, oid, size, price, direction in zip(*(rows[c].tolist() for c in ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction"))):
-        if seq <= last_seq:
-            late += 1
-            if drop:
-                continue
-        last_seq = max(seq, last_seq)
-        if not (price >= book.MAX_PRICE or (event == book.ADD and price == 0)):
-            held = orders.get(oid)
-            if event == book.ADD:
-                if held:
-                    side(held[2]).change(held[1], -held[0])
-                orders[oid] = [size, price, direction]
-                side(direction).change(price, size)
-            elif held and event in (book.CANCEL, book.FILL, book.DELETE):
-                less = held[0] if event == book.DELETE else min(size, held[0])
-                side(held[2]).change(held[1], -less)
-                held[0] -= less
-                if held[0] <= 0:
-                    del orders[oid]
-            snap_us = ts
-            bid.rebuild()
-            ask.rebuild()
-        on = on or ts > validate.SECOND
-        if on:
-            out.append((*key, seq, ts, snap_us, bid.px, bid.sz, ask.px, ask.sz, late))
-    state.update((json.dumps(orders), snap_us, last_seq, on, late))
-    yield pd.DataFrame(out, columns=["ticker_id", "day_id", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz", "late"])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def after(held: tuple | None, event: int, size: int, price: int, direction: int) -> tuple | None:
+    """What remains of an order, (size, price, direction), once a message has come; None if nothing does."""
+    if event == book.ADD:
+        held = (size, price, direction)
+    elif held is not None and event in (book.CANCEL, book.FILL, book.DELETE):
+        held = (0 if event == book.DELETE else held[0] - size, *held[1:])
+    return held if held is not None and held[0] > 0 else None
+
+
+class LiveBook(StatefulProcessor):
+    """Folds the micro-batches of a group; emits from the first message with a time over 1 s on."""
+
+    def __init__(self, drop: bool) -> None:
+        self.drop = drop
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.orders = handle.getMapState("orders", "order_id long", "size long, price long, direction int")
+        self.levels = handle.getMapState("levels", "direction int, price long", "volume long")
+        self.marks = handle.getValueState("marks", "snap_us long, last_seq long, on boolean, late long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        snap_us, last_seq, on, late = self.marks.get() or (0, -1, False, 0)
+        before = {oid: self.orders.getValue((oid,)) for oid in batch["order_id"].unique().tolist()}
+        now, sides, touched, out = dict(before), {1: book.Side(1), -1: book.Side(-1)}, set(), []
+        for (direction, price), (volume,) in self.levels.iterator():
+            sides[direction].change(price, volume)
+        bid, ask = sides[1], sides[-1]
+        bid.rebuild()
+        ask.rebuild()
+        for seq, ts, event, oid, size, price, direction in zip(*(batch[c].tolist() for c in ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction"))):
+            if seq <= last_seq:
+                late += 1
+                if self.drop:
+                    continue
+            last_seq = max(seq, last_seq)
+            if not (price >= book.MAX_PRICE or (event == book.ADD and price == 0)):
+                held, left = now[oid], after(now[oid], event, size, price, direction)
+                if held != left:
+                    for order, sign in ((held, -1), (left, 1)):
+                        if order is not None:
+                            level = (1 if order[2] == 1 else -1, order[1])
+                            sides[level[0]].change(order[1], sign * order[0])
+                            touched.add(level)
+                    now[oid] = left
+                    bid.rebuild()
+                    ask.rebuild()
+                snap_us = ts
+            on = on or ts > validate.SECOND
+            if on:
+                out.append((*key, seq, ts, snap_us, bid.px, bid.sz, ask.px, ask.sz, late))
+        for oid, left in now.items():
+            if left is None and before[oid] is not None:
+                self.orders.removeKey((oid,))
+            elif left != before[oid]:
+                self.orders.updateValue((oid,), left)
+        for direction, price in touched:
+            volume = sides[direction].at(price)
+            if volume > 0:
+                self.levels.updateValue((direction, price), (volume,))
+            elif self.levels.containsKey((direction, price)):
+                self.levels.removeKey((direction, price))
+        self.marks.update((snap_us, last_seq, on, late))
+        if out:
+            yield pd.DataFrame(out, columns=["ticker_id", "day_id", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz", "late"])
+
+    def close(self) -> None:
+        pass
 
 
 def live_snapshots(messages: DataFrame, late: str = "drop") -> DataFrame:
-    """Streaming snapshots of streaming messages, by group."""
+    """Streaming snapshots of streaming messages, by group.  Keyed state needs the RocksDB state store, which ``run_to_end`` sets."""
     if late not in ("drop", "apply"):
         raise ValueError(late)
-    return messages.groupBy(*GROUP).applyInPandasWithState(partial(fold, drop=late == "drop"), OUT, STATE, "append", "NoTimeout")
+    return messages.groupBy(*GROUP).transformWithStateInPandas(LiveBook(late == "drop"), OUT, "append", "none")
 
 
 def recorded(snaps: DataFrame) -> DataFrame:
@@ -84,8 +112,14 @@ def late_counts(snaps: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, folder: str, each) -> None:
-    """Drain a stream through ``each(batch, id)``."""
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).trigger(availableNow=True).start()
+    """Drain a stream through ``each(batch, id)``; its state is kept in RocksDB, that of other streams where it was."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    former = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, former)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
