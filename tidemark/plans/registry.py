@@ -134,11 +134,12 @@ def snapshots_emit_all(spark, d):
     return snaps.select(*GROUP, "seq", "ts_us", "snap_us", F.col("bid_px")[0].alias("bid_px"), F.col("ask_px")[0].alias("ask_px"))
 
 
-@register("depth_at", o.query([*o.given("mbo"), *o.ALL, *o.DELTAS, "q AS (SELECT ticker_id, day_id, seq AS upto FROM mbo WHERE seq % 500 = 0)"], f"""SELECT * FROM (SELECT ticker_id, day_id, upto, side, px, volume, row_number() OVER (PARTITION BY {G}, upto, side ORDER BY -px * side) AS level FROM
+@register("depth_at", o.query([*MT, *o.ALL, *o.DELTAS, "q AS (SELECT ticker_id, day_id, tseq AS upto FROM truth)"], f"""SELECT * FROM (SELECT ticker_id, day_id, upto, side, px, volume, row_number() OVER (PARTITION BY {G}, upto, side ORDER BY -px * side) AS level FROM
     (SELECT q.ticker_id, q.day_id, upto, side, px, CAST(sum(delta) AS BIGINT) AS volume FROM q JOIN d ON {o.same('q', 'd')} AND d.seq <= upto GROUP BY q.ticker_id, q.day_id, upto, side, px) WHERE volume > 0) WHERE level <= 5"""))
 def depth_at(spark, d):
-    m = mbo(spark, d)
-    return book.depth_at(book.level_deltas(m), m.where("seq % 500 = 0").select(*GROUP, F.col("seq").alias("at")), 5).withColumnRenamed("at", "upto")
+    """The book at the message of every quote."""
+    m, t = feeds(spark, d)
+    return book.depth_at(book.level_deltas(m), t.select(*GROUP, F.col("tseq").alias("at")), 5).withColumnRenamed("at", "upto")
 
 
 # --- matching and validation ---------------------------------------------------------------------
@@ -437,8 +438,8 @@ def interarrival_norm(spark, d):
     return features.interarrival(snap(spark, d), GROUP).select(*GROUP, "seq", F.round("gap", 9).alias("gap"))
 
 
-@register("sliding_windows", o.query([*LABELLED, f"vr AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY {G}) AS n FROM lb WHERE label <> -1)", f"wn AS (SELECT DISTINCT {G}, k AS win, n FROM vr, range(0, 1000000) r(k) WHERE k * 4 + 10 <= n AND k <= i)"],
-    f"SELECT w.ticker_id, w.day_id, win AS window, v.i - win * 4 AS pos, v.seq, e.label AS y FROM wn w JOIN vr v ON {o.same('w', 'v')} AND v.i >= win * 4 AND v.i < win * 4 + 10 JOIN vr e ON {o.same('w', 'e')} AND e.i = win * 4 + 9").replace("range(0, 1000000) r(k)", "range(0, 5000) r(k)"))
+@register("sliding_windows", o.query([*LABELLED, f"vr AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY {G}) AS n FROM lb WHERE label <> -1)", f"wn AS (SELECT {G}, i // 4 AS win FROM vr WHERE i % 4 = 0 AND i + 10 <= n)"],
+    f"SELECT w.ticker_id, w.day_id, win AS window, v.i - win * 4 AS pos, v.seq, e.label AS y FROM wn w JOIN vr v ON {o.same('w', 'v')} AND v.i >= win * 4 AND v.i < win * 4 + 10 JOIN vr e ON {o.same('w', 'e')} AND e.i = win * 4 + 9"))
 def sliding_windows(spark, d):
     rows = labelled(spark, d).where("label <> -1")
     out = features.sliding_windows(rows, ["seq"], 10, 4, "label")
