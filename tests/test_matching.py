@@ -64,6 +64,15 @@ def test_bounds_belong_to_flat(spark):
     assert [r.label for r in labels.label_fixed(rows, alphas).collect()] == [0, 1, 1, 2, -1]
 
 
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    rows = spark.range(3000).selectExpr("id % 3 as k", "case when id % 5 < 3 then 0D when id % 7 = 0 then null else (id % 400 - 200) / 8D end as v")
+    points = [0.0, 0.1, 0.22, 0.5, 0.78, 1.0]
+    want = {(r.k, p): (w, r.n) for r in rows.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("w"), F.count("v").alias("n")).collect() for p, w in zip(points, r.w)}
+    got = {(r.k, r.p): (r.value, r.n) for r in labels.quantiles(rows, "v", points, ["k"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k][0], want[k][0], abs_tol=1e-12) and got[k][1] == want[k][1] for k in want)
+    assert labels.quantiles(rows.where("v > 1000"), "v", points, ["k"]).count() == 0
+
+
 def test_percentile_at_scale_is_exact(spark):
     values = spark.range(101).select((F.col("id") * F.col("id")).cast("double").alias("v"))
     for p in (0.0, 0.22, 0.785, 1.0):

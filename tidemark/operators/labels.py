@@ -63,19 +63,23 @@ def asymmetry(down: Column, up: Column, mean_abs: Column) -> Column:
 def quantiles(values: DataFrame, column: str, points: list[float], keys: list[str] = ()) -> DataFrame:
     """(keys, p, value, n): exact interpolated percentiles of the values that aren't null.
 
-    A range sort by key and value numbers the rows; the two ranks around each point are joined back.  No
-    reducer holds all values, however many differ; the driver sees one count a partition.
+    Equal values are counted first, so that a value which many rows share (a return of 0) is one row; a range sort by key and
+    value then gives each the ranks that it fills, and the two ranks around each point are picked out.  No reducer holds all
+    values, however many differ; the driver sees one sum a partition.
     """
-    from tidemark.operators.datasets import with_index
+    from tidemark.operators.datasets import with_total
 
     keys = list(keys)
-    ranked = with_index(values.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v")), [*keys, "__v"], "__rank")
-    sizes = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 0")
-    wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, points)))).withColumn("__at", F.col("p") * (F.col("n") - 1))
-    two = wanted.withColumn("__side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__rank", F.col("__first") + F.least(F.floor("__at") + F.col("__side"), F.col("n") - 1))
-    met = two.select("__rank", "__side", "p", "n", "__at").join(ranked, "__rank")
-    at = lambda side: F.max(F.when(F.col("__side") == side, F.col("__v")))
-    out = met.groupBy(*keys, "p", "n", "__at").agg(at(0).alias("__lo"), at(1).alias("__hi"))
+    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = with_total(counts, [*keys, "__v"], "__c", "__to")
+    sizes = ranked.groupBy(*keys).agg(F.min(F.col("__to") - F.col("__c")).alias("__first"), F.sum("__c").alias("n")).where("n > 0")
+    at = [F.lit(p) * (F.col("n") - 1) for p in points]
+    rank = lambda x, side: F.col("__first") + F.least(F.floor(x) + side, F.col("n") - 1)
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), x.alias("__at"), F.lit(side).alias("__side"), rank(x, side).alias("__rank")) for p, x in zip(points, at) for side in (0, 1)])
+    met = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # without keys one row
+    met = met.select(*keys, "n", "__v", F.inline(F.filter(wanted, lambda w: (w["__rank"] >= F.col("__to") - F.col("__c")) & (w["__rank"] < F.col("__to")))))
+    side = lambda i: F.max(F.when(F.col("__side") == i, F.col("__v")))
+    out = met.groupBy(*keys, "p", "n", "__at").agg(side(0).alias("__lo"), side(1).alias("__hi"))
     return out.select(*keys, "p", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at"))).alias("value"), "n")
 
 
