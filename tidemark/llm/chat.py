@@ -12,8 +12,8 @@ arguments break the schema, or aren't JSON), dangling (it depends on a call that
 cycle, no_result, ok.  Of several results of a call the earliest, then the least text, counts;
 a result is an orphan where no call has its identifier.  Null texts are missing arguments or
 null results; an empty table gives an empty result; repeated rows are duplicates.  Null conversations
-and identifiers are values like others, equal to each other.  Calls that tie in level and turn go by identifier, name and arguments; equal rows may swap
-places.  Very long texts are read whole.  Other columns are ignored, whatever their names.
+and identifiers are values like others, equal to each other.  Calls that tie in level and turn go by identifier, name and the MD5 of their arguments, as do the
+calls of one identifier and turn; equal rows may swap places.  Very long texts are read whole.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,21 +59,26 @@ def positioned(calls: DataFrame) -> DataFrame:
     """``calls`` with ``position``, their place in their conversation by level and turn, from a range sort: a conversation of
     very many calls is spread over tasks."""
     last = F.coalesce("level", F.lit((1 << 63) - 1))
-    order = ["__conv", "__level", "turn", "call_id", "name", "arguments"]
+    order = ["__conv", "__level", "turn", "call_id", "name", "digest", "row"]
     rows = with_index(calls.withColumns({"__conv": F.struct("conv_id"), "__level": last}), order, "__index")
     first = rows.groupBy("__conv").agg(F.min("__index").alias("__first"))
     return rows.join(hashed(first), "__conv").withColumn("position", F.col("__index") - F.col("__first")).drop("__conv", "__level", "__index", "__first")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(key, level, cyclic) from (key, parent): how many calls a call rests on, by pointer doubling."""
-    state = common.cut(calls.select("key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")))
+    """(key, level, cyclic) from (key, parent): how many calls a call rests on, by pointer doubling.
+
+    Each round is written as Parquet; only calls whose chain goes on are joined again.
+    """
+    state = common.staged(calls.select("key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
-        if state.where("up is not null").isEmpty():
+        active = state.where("up is not null")
+        if active.isEmpty():
             break
         above = state.select(F.col("key").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"))
-        state = common.cut(state.join(hashed(above), "up", "left").select("key", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        active = active.join(hashed(above), "up", "left").select("key", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        state = common.staged(state.where("up is null").unionByName(active), "levels")
     return state.select("key", F.when(F.col("up").isNull(), F.col("level")).alias("level"), F.col("up").isNotNull().alias("cyclic"))
 
 
@@ -81,24 +86,30 @@ def linked(calls: DataFrame, results: DataFrame, messages: DataFrame) -> DataFra
     """(conv_id, turn, kind, call_id, level, position, status, line).
 
     calls: conv_id, turn, call_id, name, arguments, depends_on; results: conv_id, turn, call_id, text;
-    messages: conv_id, turn, role, text.
+    messages: conv_id, turn, role, text.  Links, levels and positions are found on rows without texts, by row number;
+    the texts join them last.
     """
     key = F.struct("conv_id", "call_id").alias("key")
-    calls = common.cut(calls.withColumn("order", F.struct("turn", "name", "arguments", F.monotonically_increasing_id())).withColumn("key", key))
-    first = calls.groupBy("key").agg(F.min("order").alias("first"))
+    digest = F.unhex(F.md5(F.col("arguments").cast("binary"))).alias("digest")
+    calls = common.staged(calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on", key, digest, F.monotonically_increasing_id().alias("row")), "calls")
+    slim = calls.drop("arguments")
+    first = slim.groupBy("key").agg(F.min(F.struct("turn", "name", "digest", "row")).getField("row").alias("head"))
     parent = F.when(F.col("depends_on").isNotNull(), F.struct("conv_id", F.col("depends_on").alias("call_id")))
-    heads = calls.join(hashed(first), "key").where(F.col("order") == F.col("first")).withColumn("parent", parent)
-    known = heads.select(F.col("key").alias("parent"), F.lit(True).alias("there"))
-    heads = common.cut(heads.join(hashed(known), "parent", "left").select("key", "order", F.when(F.col("there"), F.col("parent")).alias("parent"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("dangling")))
-    graph = heads.join(hashed(levels(heads)), "key").select("key", F.col("order").alias("head"), "dangling", "level", "cyclic")
+    heads = slim.join(hashed(first), "key").where("row = head").select("key", "row", parent.alias("parent"))
+    spread = F.when(F.col("parent").isNull(), F.col("row")).otherwise(-1).alias("salt")  # calls that rest on none meet no one task
+    known = first.select(F.col("key").alias("parent"), F.lit(-1).cast("long").alias("salt"), F.col("head").alias("up"))
+    heads = heads.select("*", spread).join(hashed(known), ["parent", "salt"], "left")
+    heads = common.staged(heads.select("key", "row", "up", (F.col("parent").isNotNull() & F.col("up").isNull()).alias("dangling")), "heads")
+    depth = levels(heads.select(F.col("row").alias("key"), F.col("up").alias("parent"))).withColumnRenamed("key", "row")
+    graph = heads.join(hashed(depth), "row").select("key", F.col("row").alias("head"), "dangling", "level", "cyclic")
+    places = positioned(slim.drop("depends_on").join(hashed(graph), "key")).select("row", "level", "dangling", "cyclic", (F.col("row") != F.col("head")).alias("duplicate"), "position")
     replies = results.groupBy(key).agg(F.min(F.struct("turn", "text")).alias("reply"))
-    both = calls.join(hashed(graph), "key").join(hashed(replies), "key", "left").withColumn("errors", errors(F.col("name"), F.col("arguments")))
+    both = calls.join(hashed(replies), "key", "left").join(hashed(places), "row").withColumn("errors", errors(F.col("name"), F.col("arguments")))
     status = (
-        F.when(F.col("order") != F.col("head"), "duplicate").when(F.size("errors") > 0, "invalid").when(F.col("dangling"), "dangling")
+        F.when(F.col("duplicate"), "duplicate").when(F.size("errors") > 0, "invalid").when(F.col("dangling"), "dangling")
         .when(F.col("cyclic"), "cycle").when(F.col("reply").isNull(), "no_result").otherwise("ok")
     )
-    both = both.select("conv_id", "turn", "call_id", "name", "arguments", "level", "errors", status.alias("status"), F.col("reply.text").alias("result"))
-    both = positioned(both)
+    both = both.select("conv_id", "turn", "call_id", "name", "arguments", "level", "position", "errors", status.alias("status"), F.col("reply.text").alias("result"))
     keep_nulls = {"ignoreNullFields": "false"}
     call_line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "errors", F.col("call_id").alias("id"), "level", "name", "result", "status"), keep_nulls)
     shape = lambda kind, level, place, state, line: ["conv_id", "turn", F.lit(kind).alias("kind"), "call_id", level.cast("long").alias("level"), place.alias("position"), state.alias("status"), line.alias("line")]
