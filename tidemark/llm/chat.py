@@ -97,7 +97,7 @@ def linked(calls: DataFrame, results: DataFrame, messages: DataFrame) -> DataFra
     parent = F.when(F.col("depends_on").isNotNull(), F.struct("conv_id", F.col("depends_on").alias("call_id")))
     heads = slim.join(hashed(first), "key").where("row = head").select("key", "row", parent.alias("parent"))
     spread = F.when(F.col("parent").isNull(), F.col("row")).otherwise(-1).alias("salt")  # calls that rest on none meet no one task
-    known = first.select(F.col("key").alias("parent"), F.lit(-1).cast("long").alias("salt"), F.col("head").alias("up"))
+    known = first.select(F.col("key").alias("parent"), F.least("head", F.lit(-1).cast("long")).alias("salt"), F.col("head").alias("up"))  # -1, but no constant, which would leave the join by parent alone
     heads = heads.select("*", spread).join(hashed(known), ["parent", "salt"], "left")
     heads = common.staged(heads.select("key", "row", "up", (F.col("parent").isNotNull() & F.col("up").isNull()).alias("dangling")), "heads")
     depth = levels(heads.select(F.col("row").alias("key"), F.col("up").alias("parent"))).withColumnRenamed("key", "row")
