@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, langid, mixing, neardup, neighbours, pieces, sharding, telephony, toxicity, urls
+from tidemark.llm import chat, collisions, collocations, langid, merkle, mixing, neardup, neighbours, pieces, sharding, telephony, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_telephony": telephony.op9_telephony,
     "op10_mixing": mixing.op10_mixing,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_linked": collisions.op12_linked,
+    "op13_manifest": merkle.op13_manifest,
 }
 
 #: The others have no SQL: hashes and models that SQL lacks.  Their tests compare with brute force.
@@ -26,4 +29,7 @@ ORACLES: dict[str, str] = {
     "op3_tool_calls": chat.ORACLE,
     "op5_url_filter": urls.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_linked": collisions.ORACLE,
+    "op13_manifest": merkle.ORACLE,
 }
