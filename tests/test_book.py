@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, validate
-from tidemark.sources.fixtures import message_stream
+from tidemark.sources import fixedrec
+from tidemark.sources.fixtures import keyed
 from tidemark.streaming import live
 
 SCHEMA = "ticker_id int, day_id int, seq long, ts_us long, event_type int, order_id long, size int, price long, direction int"
@@ -117,31 +119,169 @@ def test_options(spark):
     assert {r.seq for r in book.snapshots(m, emit="changed").collect()} == {1, 2, 4}
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_live_equals_batch(spark, files, tmp_path):
-    rows = feed(6)
-    folder = str(tmp_path)
-    snaps, best = live.live_book(message_stream(spark.createDataFrame(rows, SCHEMA), folder, files), folder)
-    assert {r.late for r in live.late_counts(snaps).collect()} == {0}
-    assert as_twin(snaps) == twin(rows) and best.count() == len(rows)
+@pytest.mark.parametrize("slice_rows", [2, 1000])
+def test_a_clear_empties_the_book(spark, slice_rows):
+    rows = [
+        (0, 0, 1, 1, 1, 1, 10, 100, 1, False), (0, 0, 2, 2, 1, 2, 5, 110, -1, False), (0, 0, 3, 3, 1, 3, 7, 100, 1, None), (0, 0, 4, 4, 2, 3, 2, 100, 1, False),
+        (0, 0, 5, 5, 3, 9, 0, 20_000_000, 1, True),  # guarded, but it clears
+        (0, 0, 6, 6, 2, 1, 1, 100, 1, False), (0, 0, 7, 7, 1, 4, 3, 99, 1, False), (0, 0, 8, 8, 1, 4, 4, 98, 1, True), (1, 0, 1, 1, 1, 1, 10, 100, 1, False),
+    ]
+    m = spark.createDataFrame(rows, SCHEMA + ", clear boolean")
+    got = as_twin(book.snapshots(m, slice_rows=slice_rows, clear_resets=True))
+    assert got[(0, 0, 4)][1:] == ([(100, 15)], [(110, 5)]) and got[(0, 0, 5)][1:] == ([], []) and got[(0, 0, 6)][1:] == ([], [])
+    assert got[(0, 0, 7)][1:] == ([(99, 3)], []) and got[(0, 0, 8)][1:] == ([(98, 4)], []) and got[(1, 0, 1)][1:] == ([(100, 10)], [])
+    assert {(r.seq, r.bid_px, r.ask_px) for r in book.bbo_stab(m.where("ticker_id = 0"), clear_resets=True).collect()} == {(s, b[0][0] if b else 0, a[0][0] if a else 0) for (t, _, s), (_, b, a) in got.items() if t == 0}
+
+
+def records(rows, folder, first=0, upto=None):
+    """Append messages ``first`` .. ``upto`` of each group to its file of records."""
+    kind = fixedrec.LAYOUTS["orders"]
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append((r[3] / 1e6, *r[4:]))
+    folder.mkdir(exist_ok=True)
+    for (ticker, day), held in groups.items():
+        with open(folder / f"mbo_{ticker}_{day}.bin", "ab") as out:
+            out.write(np.array(held[first:upto], kind).tobytes())
+
+
+def numbered(rows):
+    """Rows of each group from seq 1 on, as record files number them."""
+    at, out = {}, []
+    for r in rows:
+        at[r[:2]] = at.get(r[:2], 0) + 1
+        out.append((*r[:2], at[r[:2]], *r[3:]))
+    return out
+
+
+@pytest.mark.parametrize("rows_per_file", [None, 37])
+def test_live_equals_batch(spark, rows_per_file, tmp_path):
+    rows = numbered(feed(6))
+    records(rows, tmp_path / "in")
+    stream = keyed(fixedrec.follow_fixed(spark, f"file://{tmp_path}/in", "orders", **({"rows_per_file": rows_per_file} if rows_per_file else {}), partition_bytes=36 * 20))
+    snaps, best, late = live.live_book(stream, str(tmp_path))
+    assert late.count() == 0 and as_twin(snaps) == twin(rows) and best.count() == len(rows)
+
+
+def test_live_book_goes_on_after_a_restart(spark, tmp_path):
+    rows = numbered(feed(7))
+    for first, upto in ((0, 50), (50, 51), (51, None)):
+        records(rows, tmp_path / "in", first, upto)
+        if upto is None:
+            with open(next((tmp_path / "in").iterdir()), "ab") as out:
+                out.write(b"half a record")  # waits for its rest
+        snaps = live.live_book(keyed(fixedrec.follow_fixed(spark, str(tmp_path / "in"), "orders", rows_per_file=20)), str(tmp_path))[0]
+    assert snaps.count() == len(rows) and as_twin(snaps) == twin(rows)
 
 
 def test_late_messages_fold_where_they_arrive(spark, tmp_path):
     rows, folder = feed(9), str(tmp_path)
     late = [r for r in rows if r[2] % 4 == 0]
     first = [r for r in rows if r[2] % 4 != 0]
-    for part in (first, late):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    snaps, _ = live.live_book(stream(), f"{folder}/apply", "apply")
     tops = {}
     for r in first:
         tops[r[:2]] = max(tops.get(r[:2], 0), r[2])
-    assert as_twin(snaps) == twin(first + late, arrival=True)
-    assert sum(r.late for r in live.late_counts(snaps).collect()) == sum(r[2] < tops[r[:2]] for r in late)
-    on_time, _ = live.live_book(stream(), f"{folder}/drop")
-    kept = first + [r for r in late if r[2] > tops[r[:2]]]
-    assert as_twin(on_time) == twin(kept, arrival=True)
+    behind = sorted(r[:4] for r in late if r[2] < tops[r[:2]])
+    found = {}
+    for part in (first, late):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{folder}/in")
+        for how in ("apply", "drop"):
+            found[how] = live.live_book(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/{how}", how)
+    assert as_twin(found["apply"][0]) == twin(first + late, arrival=True)
+    assert as_twin(found["drop"][0]) == twin(first + [r for r in late if r[2] > tops[r[:2]]], arrival=True)
+    for how in found:
+        assert sorted(tuple(r) for r in found[how][2].collect()) == behind and sum(r.late for r in live.late_counts(found[how][2]).collect()) == len(behind)
+
+
+class Reads(dict):
+    """A map state that counts what is read."""
+
+    reads = 0
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def containsKey(self, key):
+        return key in self
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_a_micro_batch_reads_the_buckets_it_needs():
+    import pandas as pd
+
+    class Marks:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    fold = live.LiveBook(True)
+    fold.orders, fold.levels, fold.marks = Reads(), Reads(), Marks()
+    batch = lambda rows: pd.DataFrame(rows, columns=list(live.FIELDS))
+    many = [(i + 1, 2_000_000 + i, 1, i, 5, 100_000 - i if i % 2 else 200_000 + i, 1 if i % 2 else -1) for i in range(20_000)]
+    fold.fold(batch(many))
+    buckets = len(fold.levels)
+    assert buckets > 300
+    fold.levels.reads = fold.orders.reads = 0
+    out, _ = fold.fold(batch([(20_001, 9_000_000, 1, 50_001, 7, 99_998, 1), (20_002, 9_000_001, 3, 3, 0, 0, 1), (20_003, 9_000_002, 2, 19_999, 1, 0, 1)]))
+    assert fold.levels.reads <= 6 and fold.orders.reads == 3
+    assert out[0][3][:3] == [99_999, 99_998, 99_997] and out[0][4][:2] == [5, 7] and out[1][3][:3] == [99_999, 99_998, 99_995] and out[2][5][0] == 200_000
+
+
+def checked(messages, quotes):
+    """(matched, failed) of (ts, bid, ask): each against the last quote at or before its time, or any before it; the first quote if there is none."""
+    hits, t, stamps, top = 0, -1, [], -1
+    for ts, *_ in quotes:
+        top = max(top, ts)
+        stamps.append(top)
+    for ts, *best in messages:
+        t = max(t, ts)
+        met = [q for stamp, q in zip(stamps, quotes) if stamp <= t]
+        hits += list((met[-1] if met else quotes[0])[1:]) == best
+    return hits, len(messages) - hits
+
+
+@pytest.mark.parametrize("first", ["quotes", "messages", "both"])
+def test_live_check_keeps_its_place(spark, first, tmp_path):
+    """Whatever comes first, in pieces of any size, and after a restart."""
+    rows = numbered(feed(8))
+    books, quotes, rng = twin_bbo(rows), {}, np.random.default_rng(0)
+    for g, held in books.items():
+        quotes[g] = [(ts + int(rng.integers(-2, 3)), bid if rng.random() < 0.7 else bid + 1, ask) for ts, bid, ask in held if rng.random() < 0.4 or ts == held[0][0]]
+    def told():
+        (tmp_path / "truth").mkdir(exist_ok=True)
+        for (ticker, day), held in quotes.items():
+            (tmp_path / "truth" / f"truth_{ticker}_{day}.bin").write_bytes(np.array([(ts / 1e6, bid, 1, ask, 1) for ts, bid, ask in held], fixedrec.LAYOUTS["truth"]).tobytes())
+    (tmp_path / "in").mkdir()
+    (tmp_path / "truth").mkdir()
+    for turn in range(2):
+        if first == "both" or (turn == 0) == (first == "quotes"):
+            told()
+        if first == "both" or (turn == 0) == (first == "messages"):
+            if not any((tmp_path / "in").iterdir()):
+                records(rows, tmp_path / "in")
+        sent = keyed(fixedrec.follow_fixed(spark, str(tmp_path / "in"), "orders", rows_per_file=70))
+        said = keyed(fixedrec.follow_fixed(spark, str(tmp_path / "truth"), "truth", rows_per_file=30))
+        got = {(r.ticker_id, r.day_id): (r.matched, r.failed) for r in live.live_accuracy(sent, said, str(tmp_path)).collect()}
+    assert got == {g: checked(books[g], quotes[g]) for g in books}
+
+
+def twin_bbo(rows):
+    """(ts, bid, ask) after each message, by group."""
+    out, books = {}, twin(rows)
+    for r in rows:
+        _, bids, asks = books[r[:3]]
+        out.setdefault(r[:2], []).append((r[3], bids[0][0] if bids else 0, asks[0][0] if asks else 0))
+    return out
 
 
 @pytest.mark.parametrize("held,message,left", [(None, (2, 5, 9, 1), None), (None, (1, 0, 9, 1), None), ((7, 9, 1), (4, 5, 3, -1), (2, 9, 1)), ((7, 9, 1), (2, 8, 9, 1), None), ((7, 9, 1), (3, 0, 9, 1), None), ((7, 9, 1), (1, 4, 8, -1), (4, 8, -1)), ((7, 9, 1), (9, 1, 9, 1), (7, 9, 1))])

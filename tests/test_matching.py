@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pyarrow.compute as pc
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, datasets, features, labels, models, normalise, validate
+from tidemark.operators import asof, datasets, features, labels, models, normalise, ranks, reports, validate
 from tidemark.sources import exports, sinks
 
 LEFT = "ticker_id int, day_id int, seq long, ts_us long"
@@ -214,7 +215,7 @@ def test_asof_with_and_without_buckets(spark):
     left = spark.createDataFrame([(g, 0, i, draw.randrange(1000)) for g in range(3) for i in range(200)], LEFT)
     right = spark.createDataFrame([(g, 0, i, draw.randrange(300, 700)) for g in range(2) for i in range(20)], RIGHT)
     for clamp in (True, False):
-        want = {(r.ticker_id, r.seq): r.tseq for r in asof.asof(left, right, ["tseq"], clamp=clamp, bucket_us=None).collect()}
+        want = {(r.ticker_id, r.seq): r.tseq for r in asof.asof(left, right, ["tseq"], clamp=clamp, bucket_us=10_000).collect()}
         quotes = {g: sorted((r.ts_us, r.tseq) for r in right.collect() if r.ticker_id == g) for g in range(2)}
         for r in left.collect():
             past = [q for q in quotes.get(r.ticker_id, []) if q[0] <= r.ts_us]
@@ -240,6 +241,122 @@ def test_folds_do_not_depend_on_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_asof_over_long_gaps(spark):
+    """A stray quote at time 0 carries over decades without a row a bucket."""
+    t = 1_700_000_000_000_000
+    right = spark.createDataFrame([(0, 0, 1, 0), (0, 0, 2, t), (0, 0, 3, t + 10**12), (1, 0, 4, 5)], RIGHT)
+    times = [-5, 0, 10**9, t // 2, t - 1, t, t + 1, t + 10**11, t + 10**12 - 1, t + 10**12, t + 10**13]
+    left = spark.createDataFrame([(g, 0, i, x) for g in range(3) for i, x in enumerate(times)], LEFT)
+    out = asof.asof(left, right, ["tseq"])
+    got = {(r.ticker_id, r.seq): r.tseq for r in out.collect()}
+    assert [got[(0, i)] for i in range(len(times))] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3]
+    assert all(got[(1, i)] == 4 and got[(2, i)] is None for i in range(len(times)))
+
+
+def tasks_with_rows(df):
+    return df.groupBy(F.spark_partition_id()).agg(*[F.max(c) for c in df.columns]).count()  # all columns, so that none is pruned
+
+
+def test_scan_spreads_a_day_over_tasks(spark):
+    draw = random.Random(8)
+    rows = [(g, i, draw.choice([None, draw.randrange(50)])) for g in (0, None) for i in range(1, 2001) if draw.random() < 0.8]
+    df = spark.createDataFrame(rows, "k int, seq long, v int")
+    values = {"top": ("max", F.col("v")), "total": ("sum", F.col("v")), "kept": ("last", F.col("v")), "n": ("sum", F.lit(1).cast("long"))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for slice_rows in (1, 50, 10_000):
+            out = ranks.scan(df, ["k"], "seq", values, slice_rows)
+            if slice_rows == 50:
+                assert tasks_with_rows(out.where("k = 0")) == 4  # all tasks of the session share one day
+            got = {(r.k, r.seq): (r.top, r.total, r.kept, r.n) for r in out.collect()}
+            assert len(got) == len(rows)
+            for key in (0, None):
+                top = total = kept = None
+                for n, (_, seq, v) in enumerate(sorted(r for r in rows if r[0] == key), 1):
+                    if v is not None:
+                        top, total, kept = max(v, top or 0), v + (total or 0), v
+                    assert got[(key, seq)] == (top, total, kept, n)
+        assert ranks.scan(df.where("false"), ["k"], "seq", values).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_gates_spread_a_day_over_tasks(spark):
+    rows = spark.range(1, 400_001).select(F.lit(0).alias("ticker_id"), F.lit(0).alias("day_id"), F.col("id").alias("seq"), F.col("id").alias("ts_us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert validate.prefix_cut(rows, F.col("seq") == 399_000).count() == 398_999 and validate.latch(rows, F.col("seq") == 399_000).count() == 1001
+        assert tasks_with_rows(asof.monotone(rows, ["ticker_id", "day_id"], "ts_us", "seq")) >= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_folds_do_not_depend_on_slices(spark):
+    draw = random.Random(16)
+    rows = [(g, 0, i, None if draw.random() < 0.05 else i * 700 + draw.randrange(600), None if draw.random() < 0.1 else 1000 + draw.randrange(50), 1010 + draw.randrange(50)) for g in range(2) for i in range(200)]
+    df = spark.createDataFrame(rows, LEFT + ", b0 long, a0 long")
+    returns = {w: {(r.ticker_id, r.seq): r.ret for r in labels.forward_return(df, 3000, slice_us=w).collect()} for w in (500, 7000, 10**12)}
+    assert returns[500] == returns[7000] == returns[10**12] and len(returns[500]) == len(rows)
+    for g, _, i, t, b, a in rows:
+        near = [r[4] + r[5] for r in rows if r[0] == g and t is not None and r[3] is not None and r[4] is not None and t + 3000 <= r[3] < t + 6000]
+        want = None if t is None or b is None or not near else (sum(near) - len(near) * (b + a)) / (len(near) * (b + a))
+        assert returns[500][(g, i)] == want
+    marked = df.withColumn("ret", F.when(F.col("b0").isNotNull(), F.lit(0.001)))
+    atr = {w: sorted(str(r) for r in labels.label_atr(marked, 9000, 2000, slice_us=w).select("ticker_id", "seq", "label", "label_rel", "step").collect()) for w in (500, 7000, 10**12)}
+    assert atr[500] == atr[7000] == atr[10**12] and len(atr[500]) == len(rows)
+    by = {(r.ticker_id, r.seq): r for r in labels.label_atr(marked, 9000, 2000, slice_us=500).collect()}
+    for g, _, i, t, b, a in rows:
+        mids = [x for _, x in sorted((r[3], r[4] + r[5]) for r in rows if r[0] == g and t is not None and r[3] is not None and r[4] is not None and t - 9000 <= r[3] < t)]
+        step = max(1, int(len(mids) * 2000 / 9000))
+        thin = mids[::step]
+        mean = sum(abs(x - y) for x, y in zip(thin[1:], thin)) / max(len(thin) - 1, 1)
+        want = -1 if b is None or len(mids) < 10 or len(thin) - 1 < 5 else 2 if 0.001 > mean / 20_000 else 1
+        assert (by[(g, i)].step, by[(g, i)].label) == (step, want)
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_zscores_do_not_depend_on_slices_and_pass_nulls(spark, causal):
+    draw = random.Random(17)
+    level = lambda lo: [None if draw.random() < 0.1 else lo + draw.randrange(40) for _ in range(10)]
+    rows = [(g, 0, 3 * i, i, level(1000), level(10), level(1100)[: draw.choice([10, 7])], None if draw.random() < 0.1 else level(10)) for g in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, LEFT + ", bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>")
+    got = {s: {(r.ticker_id, r.seq): r.z for r in features.zscore(df, 8, causal, slice_rows=s).collect()} for s in (3, 50, 10_000)}
+    assert len(got[3]) == len(rows)
+    for key, z in got[3].items():
+        for other in (got[50][key], got[10_000][key]):
+            assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(z, other))
+    for g in range(2):
+        held = [r for r in rows if r[0] == g]
+        value = lambda r, f: (lambda c: None if c is None or f // 4 >= len(c) else c[f // 4])(r[(6, 4, 7, 5)[f % 4]])
+        for i, r in enumerate(held):
+            for f in range(40):
+                at = range(i - 7, i + 1) if causal else range(i - 4, i + 4)
+                x = [value(held[min(max(j, 0), 59)], f) for j in at]
+                x = [v / (1e4 if f % 4 < 2 else 1) for v in x if v is not None]
+                own, z = value(r, f), got[50][(g, r[2])][f]
+                if own is None:
+                    assert z is None
+                else:
+                    mean = sum(x) / len(x)
+                    assert abs(z - (own / (1e4 if f % 4 < 2 else 1) - mean) / max(sum((v - mean) ** 2 for v in x) / len(x), 1e-8) ** 0.5) < 1e-6
+
+
+def test_half_spread_is_the_median(spark):
+    draw = random.Random(3)
+    rows = [(g, 0, i, i, None if g == 2 or draw.random() < 0.1 else 100 + draw.randrange(9), 110 + draw.randrange(9)) for g in range(3) for i in range(101 + g)]
+    df = spark.createDataFrame(rows, LEFT + ", b0 long, a0 long")
+    want = {r.ticker_id: r.m for r in df.groupBy("ticker_id").agg((F.median(labels.relative_spread()) / 2).alias("m")).collect()}
+    got = {r.ticker_id: r.half_spread for r in labels.half_spread(df).collect()}
+    assert got.keys() == want.keys() and all((want[g] is None and got[g] is None) or math.isclose(got[g], want[g]) for g in want)
+
+
+def test_reports_are_sorted(spark):
+    rows = spark.createDataFrame([(t, d, 1, 1000 * d) for t in (3, 1, 2) for d in (5, 4, 6) for _ in range(2)], LEFT)
+    for report in (reports.counts_rollup({"orders": rows}), reports.duration_rate(rows), reports.rate_buckets(rows), reports.dataset_size(rows)):
+        keys = [(r.ticker_id is not None, r.ticker_id or 0, r.day_id is not None, r.day_id or 0) for r in report.collect()]
+        assert keys == sorted(keys) and len(keys) >= 9
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, 1, [3], [4]), (1, 6, 2, [5], [6])], "ticker_id int, day_id int, seq long, bid_px array<long>, ask_px array<long>")
     sinks.write_partitioned(sinks.with_top_columns(rows), str(tmp_path / "a"))

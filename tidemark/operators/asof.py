@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import scan
 from tidemark.sources.fixtures import GROUP
 
 HALF_HOUR = 1_800_000_000
 
 
 def monotone(df: DataFrame, keys: list[str], time: str, seq: str) -> DataFrame:
-    """Time that never moves back in file order: the running maximum."""
-    run = W.partitionBy(*keys).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(time, F.max(time).over(run))
+    """Time that never moves back in file order: the running maximum.  ``df`` is read twice."""
+    return scan(df, keys, seq, {time: ("max", F.col(time))}).select(*df.columns)
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] = GROUP, time: str = "ts_us", left_seq: str = "seq", right_seq: str = "tseq", clamp: bool = True, in_order: bool = False, bucket_us: int | None = HALF_HOUR) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] = GROUP, time: str = "ts_us", left_seq: str = "seq", right_seq: str = "tseq", clamp: bool = True, in_order: bool = False, bucket_us: int = HALF_HOUR) -> DataFrame:
     """Every left row with ``columns`` of the last right row of its key at or before its time.
 
     Of right rows at one time the last in file order counts.  Before the first right row the first
@@ -25,25 +25,26 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str]
     times monotone on both sides first.
 
     One sort of both tables by key, time bucket and time; no range join.  Each bucket of ``bucket_us`` opens
-    with the last right row of the buckets before it, so that a long day is spread over tasks.  Left rows
-    outside the buckets of the right table count to its first or last one.  The right table is read three times;
-    with ``bucket_us=None`` a key is one bucket and it is read twice.
+    with the last right row of the bucket before it, so that a long day is spread over tasks.  Left rows
+    outside the buckets of the right table count to its first or last one, and those in a gap between two of its buckets to
+    the bucket before the gap, so that a gap costs nothing, however long.  The right table is read three times, both tables twice as often ``in_order``.
     """
     if in_order:
         left, right = monotone(left, keys, time, left_seq), monotone(right, keys, time, right_seq)
-    bucket = F.floor(F.col(time) / bucket_us) if bucket_us else F.lit(0).cast("long")
+    bucket = F.floor(F.col(time) / bucket_us)
     quotes = right.select(*keys, F.col(time).alias("__t"), F.col(right_seq).alias("__seq"), bucket.alias("__bucket"), F.struct(*columns).alias("__right"))
     order = F.struct("__t", "__seq")
     ends = quotes.groupBy(*keys, "__bucket").agg(F.max_by("__right", order).alias("__last"), F.min_by("__right", order).alias("__first"))
-    span = ends.groupBy(*keys).agg(F.min("__bucket").alias("__lo"), F.max("__bucket").alias("__hi"), F.min_by("__first", "__bucket").alias("__first"))
-    by_bucket = W.partitionBy(*keys).orderBy("__bucket")
-    later = ends.withColumn("__next", F.lead("__bucket").over(by_bucket)).where("__next is not null")
-    carried = later.select(*keys, F.explode(F.sequence(F.col("__bucket") + 1, F.col("__next"))).alias("__bucket"), F.col("__last").alias("__right"))
+    ends = ends.withColumn("__next", F.lead("__bucket").over(W.partitionBy(*keys).orderBy("__bucket")))
+    gap = F.when(F.col("__next") > F.col("__bucket") + 1, F.struct(F.col("__bucket").alias("from"), F.col("__next").alias("to")))
+    span = ends.groupBy(*keys).agg(F.min("__bucket").alias("__lo"), F.max("__bucket").alias("__hi"), F.min_by("__first", "__bucket").alias("__first"), F.collect_list(gap).alias("__gaps"))
+    carried = ends.where("__next is not null").select(*keys, F.col("__next").alias("__bucket"), F.col("__last").alias("__right"))
     if clamp:
         carried = carried.unionByName(span.select(*keys, F.col("__lo").alias("__bucket"), F.col("__first").alias("__right")))
     none = F.lit(None).cast("long")
     carried = carried.select(*keys, "__bucket", none.alias("__t"), F.lit(0).alias("__side"), none.alias("__seq"), "__right")  # a null time sorts first
-    place = F.greatest("__lo", F.least("__hi", bucket))
+    in_gap = F.filter("__gaps", lambda g: (g["from"] < bucket) & (bucket < g["to"]))
+    place = F.greatest("__lo", F.least("__hi", F.coalesce(F.get(in_gap, F.lit(0))["from"], bucket)))
     rows = left.select(*keys, F.struct(*left.columns).alias("__left"), time, F.col(left_seq).alias("__seq"))
     rows = rows.join(span.drop("__first"), keys, "left").select(*keys, place.alias("__bucket"), F.col(time).alias("__t"), F.lit(1).alias("__side"), "__seq", "__left")
     both = rows.unionByName(quotes.withColumn("__side", F.lit(0)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)

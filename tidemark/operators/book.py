@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import SLICE_ROWS, scan
 from tidemark.sources.fixtures import GROUP
 
 ADD, CANCEL, DELETE, FILL = 1, 2, 3, 4
 MAX_PRICE = 10_000_000
 DEPTH = 10
-SLICE_ROWS = 100_000
 
 
 def guarded() -> Column:
@@ -30,16 +30,21 @@ def guarded() -> Column:
     return (F.col("price") >= MAX_PRICE) | ((F.col("event_type") == ADD) & (F.col("price") == 0))
 
 
+def generations(messages: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """``generation``: how many messages with a true ``clear`` have come, own row included."""
+    return scan(messages, keys, "seq", {"generation": ("sum", F.coalesce(F.col("clear"), F.lit(False)).cast("long"))})
+
+
 def lifecycle(messages: DataFrame, keys: list[str] = GROUP, fill_reduces: bool = True, clear_resets: bool = False) -> DataFrame:
     """epoch (adds so far), price0, dir0 (of the last add) and remaining, after every message that counts.
 
-    With ``clear_resets`` a message whose ``clear`` column is true starts a new generation of the book.
+    With ``clear_resets`` a message whose ``clear`` column is true, guarded or not, starts a new ``generation`` of the book, in which no
+    order is known.
     """
+    if clear_resets:
+        messages, keys = generations(messages, keys), [*keys, "generation"]
     m = messages.where(~guarded())
     reducing = [CANCEL, FILL] if fill_reduces else [CANCEL]
-    if clear_resets:
-        m = m.withColumn("generation", F.sum(F.col("clear").cast("int")).over(W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
-        keys = [*keys, "generation"]
     order = W.partitionBy(*keys, "order_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     life = W.partitionBy(*keys, "order_id", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     m = m.withColumn("epoch", F.sum((F.col("event_type") == ADD).cast("long")).over(order))
@@ -50,10 +55,14 @@ def lifecycle(messages: DataFrame, keys: list[str] = GROUP, fill_reduces: bool =
     return m.withColumns({"price0": first("price"), "dir0": first("direction"), "remaining": left.cast("long")})
 
 
-def level_deltas(messages: DataFrame, keys: list[str] = GROUP, **options) -> DataFrame:
-    """(keys, seq, side, px, delta): none, one or two changes of level volume a message."""
-    life = lifecycle(messages, keys, **options)
-    before = W.partitionBy(*keys, "order_id").orderBy("seq")
+def level_deltas(messages: DataFrame, keys: list[str] = GROUP, fill_reduces: bool = True, clear_resets: bool = False) -> DataFrame:
+    """(keys, seq, side, px, delta): none, one or two changes of level volume a message.
+
+    With ``clear_resets`` a clearing message takes off every level what rests there, besides its own change.
+    """
+    life = lifecycle(messages, keys, fill_reduces, clear_resets)
+    held = [*keys, "generation"] if clear_resets else keys
+    before = W.partitionBy(*held, "order_id").orderBy("seq")
     had = F.coalesce(F.lag("remaining").over(before), F.lit(0).cast("long"))
     life = life.withColumns({"had": had, "px1": F.lag("price0").over(before), "dir1": F.lag("dir0").over(before)})
     change = lambda side, px, delta: F.struct(side.alias("side"), px.alias("px"), delta.alias("delta"))
@@ -62,7 +71,13 @@ def level_deltas(messages: DataFrame, keys: list[str] = GROUP, **options) -> Dat
     less = change(F.col("dir0"), F.col("price0"), F.col("remaining") - F.col("had"))
     both = F.when(F.col("event_type") == ADD, F.array(out, new)).otherwise(F.array(less))
     changes = F.filter(both, lambda x: x.delta != 0)
-    return life.select(*keys, "seq", F.inline(changes))
+    deltas = life.select(*keys, "seq", F.inline(changes))
+    if not clear_resets:
+        return deltas
+    resting = life.withColumn("later", F.lead("seq").over(before)).where("later is null and remaining > 0")
+    resting = resting.groupBy(*keys, "generation", F.col("dir0").alias("side"), F.col("price0").alias("px")).agg((-F.sum("remaining")).alias("delta"))
+    cleared = generations(messages, keys).where("clear").select(*keys, "seq", (F.col("generation") - 1).alias("generation"))
+    return deltas.unionByName(resting.join(cleared, [*keys, "generation"]).select(*deltas.columns))
 
 
 def level_volumes(deltas: DataFrame, keys: list[str] = GROUP) -> DataFrame:
@@ -72,25 +87,6 @@ def level_volumes(deltas: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     return net.select(*keys, "side", "px", "seq", F.sum("delta").over(level).alias("volume"))
 
 
-def depth_at(deltas: DataFrame, instants: DataFrame, k: int, keys: list[str] = GROUP) -> DataFrame:
-    """The k best levels of each side after the messages ``instants`` (keys, at), without a fold.
-
-    The deltas between two instants are summed first; the sums run on from instant to instant.
-    """
-    point = W.partitionBy(*keys).orderBy(F.desc("seq"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
-    marks = instants.select(*keys, F.col("at").alias("seq"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("side", "int"), ("px", "long"), ("delta", "long"))])
-    rows = deltas.select(*keys, "seq", F.lit(0).alias("kind"), "side", "px", "delta").unionByName(marks)
-    rows = rows.withColumn("at", F.min(F.when(F.col("kind") == 1, F.col("seq"))).over(point)).where("kind = 0 and at is not null")
-    net = rows.groupBy(*keys, "side", "px", "at").agg(F.sum("delta").alias("delta"))
-    first = net.groupBy(*keys, "side", "px").agg(F.min("at").alias("since"))
-    grid = first.join(instants, keys).where("at >= since").drop("since")
-    full = grid.join(net, [*keys, "side", "px", "at"], "left")
-    run = W.partitionBy(*keys, "side", "px").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    full = full.withColumn("volume", F.sum(F.coalesce("delta", F.lit(0))).over(run)).where("volume > 0")
-    best = W.partitionBy(*keys, "at", "side").orderBy(-F.col("px") * F.col("side"))
-    return full.withColumn("level", F.row_number().over(best).cast("long")).where(F.col("level") <= k).select(*keys, "at", "side", "level", "px", "volume")
-
-
 def bbo_stab(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = 256, **options) -> DataFrame:
     """Best bid and ask after each message by interval stabbing: no Python, for books of few levels.
 
@@ -142,6 +138,52 @@ class Side:
         self.sz = [self.volume[p] for p in top] + pad
 
 
+CHANGE = ("side", "px", "delta")
+
+
+def slice_of(seq: Column, slice_rows: int) -> Column:
+    return F.floor((seq - 1) / slice_rows)
+
+
+def opening(deltas: DataFrame, ends: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
+    """(keys, slice, changes): the levels that a slice opens with, one row each, up to each group's last slice in ``ends`` (keys, last).
+
+    They are the sums of the deltas of the slices before.
+    """
+    net = deltas.groupBy(*keys, slice_of(F.col("seq"), slice_rows).alias("slice"), "side", "px").agg(F.sum("delta").alias("delta"))
+    level = W.partitionBy(*keys, "side", "px").orderBy("slice")
+    held = net.select(*keys, "slice", "side", "px", F.sum("delta").over(level.rowsBetween(W.unboundedPreceding, 0)).alias("delta"), F.lead("slice").over(level).alias("next"))
+    held = held.where("delta > 0").join(ends, keys).withColumn("until", F.coalesce(F.least("next", "last"), "last")).where("until > slice")
+    return held.select(*keys, F.explode(F.sequence(F.col("slice") + 1, F.col("until"))).alias("slice"), F.array(F.struct(*CHANGE)).alias("changes"))
+
+
+def changes_by_message(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    return deltas.groupBy(*keys, "seq").agg(F.collect_list(F.struct(*CHANGE)).alias("changes"))
+
+
+class Opened:
+    """The two sides of the book of a slice, and the changes of an Arrow batch that are put on them."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys, self.here = [*keys, "slice"], None
+        self.bid, self.ask = Side(1), Side(-1)
+
+    def read(self, batch: pa.RecordBatch) -> Iterator[tuple[int, bool]]:
+        """(row, whether it has changes), once they are on the book; a new slice starts with an empty one."""
+        ids = list(zip(*(batch.column(k).to_pylist() for k in self.keys)))
+        lists = batch.column("changes")
+        cuts = lists.offsets.to_pylist()
+        side, px, delta = (lists.flatten().field(c).to_pylist() for c in CHANGE)
+        base = cuts[0] if cuts else 0
+        for i, key in enumerate(ids):
+            if key != self.here:
+                self.here, self.bid, self.ask = key, Side(1), Side(-1)
+            lo, hi = cuts[i] - base, cuts[i + 1] - base
+            for j in range(lo, hi):
+                (self.bid if side[j] == 1 else self.ask).change(px[j], delta[j])
+            yield i, hi > lo
+
+
 def snapshots(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = SLICE_ROWS, emit: str = "all", **options) -> DataFrame:
     """(keys, seq, ts_us, snap_us, bid_px, bid_sz, ask_px, ask_sz): the ten-level book after every message.
 
@@ -150,51 +192,63 @@ def snapshots(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = SL
     Each slice of ``slice_rows`` messages is one fold over Arrow batches, opened with the level sums
     of the slices before it.
     """
-    slice_of = F.floor((F.col("seq") - 1) / slice_rows).alias("slice")
+    at = slice_of(F.col("seq"), slice_rows).alias("slice")
     deltas = level_deltas(messages, keys, **options)
-    net = deltas.groupBy(*keys, slice_of, "side", "px").agg(F.sum("delta").alias("delta"))
-    level = W.partitionBy(*keys, "side", "px").orderBy("slice")
-    stop = messages.groupBy(*keys).agg(F.max(slice_of).alias("last"))
-    held = net.select(*keys, "slice", "side", "px", F.sum("delta").over(level.rowsBetween(W.unboundedPreceding, 0)).alias("delta"), F.lead("slice").over(level).alias("next"))
-    held = held.where("delta > 0").join(stop, keys).withColumn("until", F.coalesce("next", "last")).where("until > slice")
-    change = F.struct("side", "px", "delta")
-    opening = held.select(*keys, F.explode(F.sequence(F.col("slice") + 1, F.col("until"))).alias("slice"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_us"), F.lit(0).cast("long").alias("snap_us"), F.array(change).alias("changes"))
-    changes = deltas.groupBy(*keys, "seq").agg(F.collect_list(change).alias("changes"))
-    time = F.last(F.when(~guarded(), F.col("ts_us")), ignorenulls=True).over(W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    rows = messages.select(*keys, slice_of, "seq", "ts_us", F.coalesce(time, F.lit(0).cast("long")).alias("snap_us")).join(changes, [*keys, "seq"], "left")
-    rows = rows.select(*keys, "slice", "seq", "ts_us", "snap_us", "changes").unionByName(opening.select(*keys, "slice", "seq", "ts_us", "snap_us", "changes"))
-    dealt = rows.repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "seq")
+    none = F.lit(0).cast("long")
+    opened = opening(deltas, messages.groupBy(*keys).agg(F.max(at).alias("last")), keys, slice_rows)
+    opened = opened.select(*keys, "slice", none.alias("seq"), none.alias("ts_us"), none.alias("snap_us"), "changes")
+    timed = scan(messages.select(*keys, "seq", "ts_us", guarded().alias("__guarded")), keys, "seq", {"snap_us": ("last", F.expr("if(__guarded, null, ts_us)"))}, slice_rows)
+    rows = timed.select(*keys, at, "seq", "ts_us", F.coalesce("snap_us", none).alias("snap_us")).join(changes_by_message(deltas, keys), [*keys, "seq"], "left")
+    dealt = rows.select(*opened.columns).unionByName(opened).repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "seq")
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq long, ts_us long, snap_us long, bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, bid, ask = None, Side(1), Side(-1)
+        book = Opened(keys)
         for batch in batches:
-            ids = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "slice"])))
-            seqs = batch.column("seq").to_pylist()
-            lists = batch.column("changes")
-            cuts = lists.offsets.to_pylist()
-            flat = lists.flatten()
-            side, px, delta = (flat.field(c).to_pylist() for c in ("side", "px", "delta"))
-            base, keep, books = cuts[0] if cuts else 0, [], ([], [], [], [])
-            for i, seq in enumerate(seqs):
-                if ids[i] != here:
-                    here, bid, ask = ids[i], Side(1), Side(-1)
-                lo, hi = cuts[i] - base, cuts[i + 1] - base
-                for j in range(lo, hi):
-                    (bid if side[j] == 1 else ask).change(px[j], delta[j])
-                if seq and (emit == "all" or hi > lo):
-                    if hi > lo or not bid.px[0] or not ask.px[0]:
-                        bid.rebuild()
-                        ask.rebuild()
+            seqs, keep, books = batch.column("seq").to_pylist(), [], ([], [], [], [])
+            for i, changed in book.read(batch):
+                bid, ask = book.bid, book.ask
+                if changed:
+                    bid.rebuild()
+                    ask.rebuild()
+                if seqs[i] and (emit == "all" or changed):
                     keep.append(i)
                     for out, value in zip(books, (bid.px, bid.sz, ask.px, ask.sz)):
                         out.append(value)
-                elif hi > lo:
-                    bid.rebuild()
-                    ask.rebuild()
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in [*keys, "seq", "ts_us", "snap_us"]], *[pa.array(b, pa.list_(pa.int64())) for b in books]], names=[*keys, "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in [*keys, "seq", "ts_us", "snap_us"]], *[pa.array(b, pa.list_(pa.int64())) for b in books]], names=[*keys, "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"])
+
+    return dealt.mapInArrow(fold, schema)
+
+
+def depth_at(deltas: DataFrame, instants: DataFrame, k: int, keys: list[str] = GROUP, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(keys, at, side, level, px, volume): the k best levels of each side after the messages ``instants`` (keys, at).
+
+    Instants are rows of the fold over slices: each is answered from the ordered levels of its slice as they are then, so
+    the cost is that of the deltas, of the levels that slices open with and of k levels an instant.
+    """
+    none, asks = F.lit(0).cast("long"), F.col("at").alias("seq")
+    last = instants.groupBy(*keys).agg(F.max(slice_of(F.col("at"), slice_rows)).alias("last"))
+    opened = opening(deltas, last, keys, slice_rows).select(*keys, "slice", none.alias("seq"), F.lit(0).alias("kind"), "changes")
+    changed = changes_by_message(deltas, keys).select(*keys, slice_of(F.col("seq"), slice_rows).alias("slice"), "seq", F.lit(0).alias("kind"), "changes")
+    asked = instants.select(*keys, slice_of(F.col("at"), slice_rows).alias("slice"), asks, F.lit(1).alias("kind"), F.lit(None).cast("array<struct<side: int, px: bigint, delta: bigint>>").alias("changes"))
+    dealt = asked.unionByName(changed.unionByName(opened)).repartition(*keys, "slice").sortWithinPartitions(*keys, "slice", "seq", "kind")
+    kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", at long, side int, level long, px long, volume long"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = Opened(keys)
+        for batch in batches:
+            kind, keep, found = batch.column("kind").to_pylist(), [], []
+            for i, _ in book.read(batch):
+                if kind[i]:
+                    levels = [(side.sign, n, -p * side.sign, side.volume[p]) for side in (book.bid, book.ask) for n, p in enumerate(side.prices[:k], 1)]
+                    keep += [i] * len(levels)
+                    found += levels
+            rows, columns = pa.array(keep, pa.int64()), list(zip(*found)) or [[], [], [], []]
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in [*keys, "seq"]], *made], names=[*keys, "at", "side", "level", "px", "volume"])
 
     return dealt.mapInArrow(fold, schema)
 

@@ -5,46 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, labels
-from tidemark.operators.materialise import cut
+from tidemark.operators.ranks import with_index
 from tidemark.sources.fixtures import GROUP
 
 
-def placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows in a total order, ``__part`` by ``__part``, and by ``__row`` within one.
-
-    They are materialised, since Spark may cut the ranges elsewhere when it runs again: whatever is counted by part
-    and the rows that it is added to come from one table.
-    """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    return cut(rows.withColumn("__row", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
-
-
-def before_part(rows: DataFrame, total: Column) -> Column:
-    """What the parts before a row's own hold of ``total``; only one number a part reaches the driver."""
-    sums = dict(rows.groupBy("__part").agg(total).collect())
-    found = np.array([sums.get(i, 0) for i in range(max(sums, default=0) + 1)], np.int64)
-    return F.lit(np.append(0, np.cumsum(found)[:-1]))[F.col("__part")]
-
-
-def with_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """A gapless row index in a total order: a range sort, one count a partition, no single-task window."""
-    rows = placed(df, order)
-    return rows.withColumn(name, (before_part(rows, F.count(F.lit(1))) + F.col("__row")).cast("long")).drop("__part", "__row")
-
-
-def with_total(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
-    """The running total of an integer column in a total order, own row included, in the same way."""
-    rows = placed(df, order)
-    run = F.sum(column).over(W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn(name, (before_part(rows, F.sum(column)) + run).cast("long")).drop("__part", "__row")
-
-
 def chronological_split(rows: DataFrame, validation: float = 0.2, order: list[str] | None = None) -> DataFrame:
     """``part``: the first int(n x (1 - validation)) rows train, the rest valid."""
     indexed = with_index(rows, order or [*GROUP, "seq"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import folds
+from tidemark.operators.ranks import SLICE_ROWS, scan
 from tidemark.sources.fixtures import GROUP
 
 DEPTH = 10
@@ -17,9 +18,9 @@ WINDOW, STRIDE = 100, 4
 
 
 def integer_features() -> Column:
-    """ask_px, bid_px, ask_sz, bid_sz of each of the ten levels in turn, as stored (prices in 1e-4 units)."""
+    """ask_px, bid_px, ask_sz, bid_sz of each of the ten levels in turn, as stored (prices in 1e-4 units); null where there is none."""
     names = ("ask_px", "bid_px", "ask_sz", "bid_sz")
-    return F.flatten(F.transform(F.arrays_zip(*names), lambda level: F.array(*[level[c].cast("long") for c in names])))
+    return F.array(*[F.get(F.col(c), F.lit(i)).cast("long") for i in range(DEPTH) for c in names])
 
 
 def scaled(features: Column) -> Column:
@@ -37,17 +38,19 @@ def flattened(snaps: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     return snaps.select(*keys, "seq", (F.col("ts_us") / 1e6).alias("time"), *cols)
 
 
-def zscore(snaps: DataFrame, size: int = WINDOW, causal: bool = False, keys: list[str] = GROUP) -> DataFrame:
+def zscore(snaps: DataFrame, size: int = WINDOW, causal: bool = False, keys: list[str] = GROUP, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each feature less its rolling mean over its rolling deviation, variance 1e-8 at least.
 
     The frame is rows i - size/2 .. i + size - size/2 - 1, or the last ``size`` rows if ``causal``; beyond the ends
-    the first and last rows repeat.  Sums are running sums of integers less the group's first row, in one
-    streamed pass, so the frame's width costs nothing and no digits cancel.
+    the first and last rows repeat.  Sums are running sums of integers less a slice's first row, in one
+    streamed pass, so the frame's width costs nothing and no digits cancel.  A group is numbered by a scan and cut into slices of ``slice_rows``,
+    each with the rows that its frames reach, so that a day is spread over tasks.  A null feature has a null z-score and no part in those of others.
     """
     back = size - 1 if causal else size // 2
-    unit = np.where(np.arange(WIDTH) % 4 < 2, 10_000.0, 1.0)
-    raw = snaps.select(*keys, "seq", "ts_us", integer_features().alias("f"))
-    return folds.folded(raw, keys, ["seq"], lambda: folds.Rolling("f", unit, back, size - 1 - back), [("z", T.ArrayType(T.DoubleType()))], ["f"])
+    ahead, unit = size - 1 - back, np.where(np.arange(WIDTH) % 4 < 2, 10_000.0, 1.0)
+    raw = scan(snaps.select(*keys, "seq", "ts_us", integer_features().alias("f")), keys, "seq", {"__i": ("sum", F.lit(1).cast("long"))})
+    dealt = folds.halo(raw, F.col("__i") - 1, slice_rows, back, ahead)
+    return folds.folded(dealt, keys, ["__i"], lambda: folds.Rolling("f", unit, back, ahead), [("z", T.ArrayType(T.DoubleType()))], ["f", "__i"])
 
 
 def interarrival(rows: DataFrame, keys: list[str], order: list[str] = ["ts_us", "seq"]) -> DataFrame:

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import folds
+from tidemark.operators.ranks import with_total
 from tidemark.sources.fixtures import GROUP
 
 HORIZON_US = 100_000
+SLICE_US = 600_000_000
 SESSION = (34_200, 57_600)
 DOWN, FLAT, UP, INVALID = 0, 1, 2, -1
 
 
+def slice_width(reach_us: int, slice_us: int | None) -> int:
+    """``slice_us``, or slices so long that the rows which they share with their neighbours are few."""
+    return slice_us or max(SLICE_US, 4 * reach_us)
+
+
 def session_filter(rows: DataFrame, tz: str | None = None) -> DataFrame:
     """Rows from 09:30 to before 16:00 at UTC-5, or in the time zone ``tz``."""
     if tz is None:
@@ -44,13 +51,15 @@ def large_enough(rows: DataFrame, least: int, keys: list[str] = GROUP) -> DataFr
     return rows.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("__n") >= least).drop("__n")
 
 
-def forward_return(rows: DataFrame, horizon_us: int = HORIZON_US, keys: list[str] = GROUP) -> DataFrame:
-    """``ret``: the mean mid in [t + H, t + 2H) over the mid now, less 1; null without such rows or a mid.
+def forward_return(rows: DataFrame, horizon_us: int = HORIZON_US, keys: list[str] = GROUP, slice_us: int | None = None) -> DataFrame:
+    """``ret``: the mean mid in [t + H, t + 2H) over the mid now, less 1; null without such rows, a time or a mid.
 
-    Sums run on integers in one streamed pass, so the horizon costs nothing, and one division ends it.
+    Sums run on integers in one streamed pass, so the horizon costs nothing, and one division ends it.  A group is cut into slices of
+    ``slice_us``, each with the rows that its last ones look ahead to.  Rows without a mid aren't part of a mean.
     """
     ahead = lambda: folds.Ahead("ts_us", "__m", horizon_us, 2 * horizon_us)
-    rows = folds.folded(rows.withColumn("__m", mid2().cast("long")), keys, ["ts_us", "seq"], ahead, [("__s", T.LongType()), ("__c", T.LongType())], ["__m"])
+    dealt = folds.halo(rows.withColumn("__m", mid2().cast("long")), F.col("ts_us"), slice_width(2 * horizon_us, slice_us), 0, 2 * horizon_us)
+    rows = folds.folded(dealt, keys, ["ts_us", "seq"], ahead, [("__s", T.LongType()), ("__c", T.LongType())], ["__m"])
     base = F.col("__c") * mid2()
     ret = F.when((F.col("__c") > 0) & (mid2() > 0), (F.col("__s") - base) / base)
     return rows.withColumn("ret", ret).drop("__s", "__c")
@@ -67,8 +76,6 @@ def quantiles(values: DataFrame, column: str, points: list[float], keys: list[st
     value then gives each the ranks that it fills, and the two ranks around each point are picked out.  No reducer holds all
     values, however many differ; the driver sees one sum a partition.
     """
-    from tidemark.operators.datasets import with_total
-
     keys = list(keys)
     counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     ranked = with_total(counts, [*keys, "__v"], "__c", "__to")
@@ -110,17 +117,19 @@ def label_fixed(rows: DataFrame, alphas: DataFrame) -> DataFrame:
     return rows.join(a).withColumn("label", label).drop("__down", "__up")
 
 
-def label_atr(rows: DataFrame, window_us: int = 60_000_000, sample_us: int = 10_000, least_rows: int = 10, least_diffs: int = 5, keys: list[str] = GROUP) -> DataFrame:
+def label_atr(rows: DataFrame, window_us: int = 60_000_000, sample_us: int = 10_000, least_rows: int = 10, least_diffs: int = 5, keys: list[str] = GROUP, slice_us: int | None = None) -> DataFrame:
     """Labels against the mean absolute change of the mid over the window before each row.
 
     The mids of [t - window, t) are thinned to every k-th, k = max(1, int(sample x rows / window)); fewer
     than ``least_rows`` rows or ``least_diffs`` changes give -1, as does a missing return (column ``ret``).
     ``step`` is k; ``label`` compares the return with the change in price units, ``label_rel`` with the change relative to the mid.
-    One streamed pass with running sums for each k, whatever the window holds.
+    One streamed pass with running sums for each k, whatever the window holds, over slices of ``slice_us``, each with the rows that its
+    first ones look back to.  Rows without a mid aren't part of a window; those without a time have an empty one.
     """
     behind = lambda: folds.Behind("ts_us", "__m", window_us, sample_us)
     added = [("__n", T.LongType()), ("__k", T.LongType()), ("__total", T.LongType())]
-    rows = folds.folded(rows.withColumn("__m", mid2().cast("long")), keys, ["ts_us", "seq"], behind, added, ["__m"])
+    dealt = folds.halo(rows.withColumn("__m", mid2().cast("long")), F.col("ts_us"), slice_width(window_us, slice_us), window_us, 0)
+    rows = folds.folded(dealt, keys, ["ts_us", "seq"], behind, added, ["__m"])
     diffs = F.ceil(F.col("__n") / F.col("__k")) - 1
     mean = F.col("__total") / F.when(diffs >= 1, diffs)
     valid = F.col("ret").isNotNull() & (F.col("__n") >= least_rows) & (diffs >= least_diffs)
@@ -136,7 +145,10 @@ def label_distribution(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 
 def half_spread(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    return rows.groupBy(*keys).agg((F.median(relative_spread()) / 2).alias("half_spread"))
+    """(keys, half_spread): half the exact median of the relative spread, by ranks, so that no reducer holds a day; null where a group has none."""
+    spreads = rows.select(*keys, relative_spread().alias("spread"))
+    found = quantiles(spreads, "spread", [0.5], keys)
+    return spreads.select(*keys).distinct().join(found, keys, "left").select(*keys, (F.col("value") / 2).alias("half_spread"))
 
 
 def tail_sweep(rows: DataFrame, tails: list[int], keys: list[str] = GROUP) -> DataFrame:

@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local["):
+        if given is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()

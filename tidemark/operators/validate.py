@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, book
+from tidemark.operators.materialise import cut
+from tidemark.operators.ranks import scan
 from tidemark.sources.fixtures import GROUP
 
 SECOND = 1_000_000
@@ -28,25 +30,25 @@ def session_gate(messages: DataFrame, truth: DataFrame, margin_us: int = 60 * SE
 
 
 def prefix_cut(rows: DataFrame, beyond: Column, keys: list[str] = GROUP, seq: str = "seq") -> DataFrame:
-    """The rows before the first, in order, that ``beyond`` holds for."""
-    run = W.partitionBy(*keys).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("__over", F.max(beyond.cast("int")).over(run)).where("__over = 0").drop("__over")
+    """The rows before the first, in order, that ``beyond`` holds for; where it is null it doesn't.  ``rows`` are read twice."""
+    return scan(rows, keys, seq, {"__over": ("max", F.coalesce(beyond, F.lit(False)).cast("int"))}).where("__over = 0").drop("__over")
 
 
 def latch(rows: DataFrame, ready: Column, keys: list[str] = GROUP, seq: str = "seq") -> DataFrame:
-    """The rows from the first, in order, that ``ready`` holds for."""
-    run = W.partitionBy(*keys).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("__on", F.max(ready.cast("int")).over(run)).where("__on = 1").drop("__on")
+    """The rows from the first, in order, that ``ready`` holds for; where it is null it doesn't.  ``rows`` are read twice."""
+    return scan(rows, keys, seq, {"__on": ("max", F.coalesce(ready, F.lit(False)).cast("int"))}).where("__on = 1").drop("__on")
 
 
 def compared(snaps: DataFrame, truth: DataFrame, keys: list[str] = GROUP, in_order: bool = True, time: str = "ts_us") -> DataFrame:
     """Each snapshot's best prices with those of the quote at its time (t_bid, t_ask, t_us, tseq).
 
     Validators of a running book compare at the message's time; those of a stored data set only have the
-    time in the snapshot (``time="snap_us"``), which stays behind on messages that leave the book alone.
+    time in the snapshot (``time="snap_us"``), which stays behind on messages that leave the book alone.  ``in_order`` the best
+    prices are written first, since the running maximum of their times reads them twice.
     """
     quotes = truth.select(*keys, "tseq", "ts_us", F.col("ts_us").alias("t_us"), F.col("bid_px").alias("t_bid"), F.col("bid_sz").alias("t_bid_sz"), F.col("ask_px").alias("t_ask"), F.col("ask_sz").alias("t_ask_sz"))
-    return asof.asof(book.bbo(snaps, keys, time), quotes, ["tseq", "t_us", "t_bid", "t_bid_sz", "t_ask", "t_ask_sz"], keys, in_order=in_order)
+    best = book.bbo(snaps, keys, time)
+    return asof.asof(cut(best) if in_order else best, quotes, ["tseq", "t_us", "t_bid", "t_bid_sz", "t_ask", "t_ask_sz"], keys, in_order=in_order)
 
 
 def hit() -> Column:
@@ -115,7 +117,7 @@ def offline(snaps: DataFrame, truth: DataFrame, tolerance_us: int = 5000, keys:
 def gated(rows: DataFrame, truth: DataFrame, tolerance_us: int = 5000, margin_us: int = SECOND, keys: list[str] = GROUP) -> DataFrame:
     """Compared rows near enough to their quote, in the quotes' range widened by the margin."""
     near = rows.where(F.col("ts_us") >= SECOND).join(F.broadcast(bounds(truth, keys)), keys).where(F.col("ts_us") >= F.col("open_us") - margin_us)
-    near = prefix_cut(near, F.col("ts_us") > F.col("close_us") + margin_us, keys)
+    near = prefix_cut(cut(near), F.col("ts_us") > F.col("close_us") + margin_us, keys)
     return near.where(asof.within(F.col("ts_us") - F.col("t_us"), tolerance_us))
 
 
@@ -131,8 +133,8 @@ def tolerance_accuracy(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 def truth_driven(snaps: DataFrame, truth: DataFrame, tolerance_us: int = 1000, keys: list[str] = GROUP) -> DataFrame:
     """Each quote with the stored snapshot at its time, by the snapshots' own times, where that is nearer than the tolerance."""
-    books = book.bbo(snaps, keys, "snap_us").select(*keys, "seq", "ts_us", F.col("ts_us").alias("s_us"), F.col("bid_px").alias("s_bid"), F.col("ask_px").alias("s_ask"))
-    out = asof.asof(truth, books, ["seq", "s_us", "s_bid", "s_ask"], keys, left_seq="tseq", right_seq="seq", in_order=True, bucket_us=None)
+    books = cut(book.bbo(snaps, keys, "snap_us")).select(*keys, "seq", "ts_us", F.col("ts_us").alias("s_us"), F.col("bid_px").alias("s_bid"), F.col("ask_px").alias("s_ask"))
+    out = asof.asof(truth, books, ["seq", "s_us", "s_bid", "s_ask"], keys, left_seq="tseq", right_seq="seq", in_order=True)
     return out.where(asof.within(F.col("ts_us") - F.col("s_us"), tolerance_us)).withColumn("hit", (F.col("bid_px") == F.col("s_bid")) & (F.col("ask_px") == F.col("s_ask")))
 
 
@@ -158,8 +160,8 @@ def first_mismatches(rows: DataFrame, n: int = 20, keys: list[str] = GROUP) -> D
 
 def running_accuracy(rows: DataFrame, every: int = 50_000, keys: list[str] = GROUP) -> DataFrame:
     """Cumulative accuracy and tier at every n-th compared row."""
-    run = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumns({"processed": F.count(F.lit(1)).over(run), "matched": F.sum(hit().cast("long")).over(run)})
+    marked = cut(rows.select(*keys, "seq", F.coalesce(hit(), F.lit(False)).cast("long").alias("hit")))
+    out = scan(marked, keys, "seq", {"processed": ("sum", F.lit(1).cast("long")), "matched": ("sum", F.col("hit"))})
     out = out.where(F.col("processed") % every == 0).withColumn("accuracy", accuracy(F.col("matched"), F.col("processed")))
     return out.select(*keys, "seq", "processed", "matched", "accuracy", tier(F.col("accuracy"), 98.0, 90.0).alias("tier"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, book, datasets, features, labels, models, normalise, reports, validate
 from tidemark.operators.materialise import fresh_folder, staged
 from tidemark.plans import oracles as o
-from tidemark.sources import fixedrec
-from tidemark.sources.fixtures import GROUP, fixture, levels, message_stream
+from tidemark.sources import fixedrec, sinks
+from tidemark.sources.fixtures import GROUP, feed_folder, fixture, keyed, levels, quote_folder
 from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,6 +339,15 @@ def double_alpha(spark, d):
     return pooled_alphas(spark, d).select(F.round("alpha_down", 9).alias("alpha_down"), F.round("alpha_up", 9).alias("alpha_up"), "n", F.round("asymmetry", 9).alias("asymmetry"))
 
 
+@register("thresholds_stored", o.query([*SNAP, o.alphas([0.22])], "SELECT round(alpha_down, 9) AS alpha_down, round(alpha_up, 9) AS alpha_up, n FROM al"))
+def thresholds_stored(spark, d):
+    """Fitted and stored by the first call, read by the second."""
+    path = f"{fresh_folder(spark, 'thresholds')}/alphas"
+    for _ in range(2):
+        alphas = datasets.fitted_thresholds(spark, path, lambda: pooled_alphas(spark, d))
+    return alphas.select(F.round("alpha_down", 9).alias("alpha_down"), F.round("alpha_up", 9).alias("alpha_up"), "n")
+
+
 @register("percentile_at_scale", o.query(SNAP, "SELECT round(quantile_cont(ret, 0.78::DOUBLE), 9) AS value FROM fr"))
 def percentile_at_scale(spark, d):
     return labels.percentile_at_scale(returned(spark, d), "ret", 0.78).select(F.round("value", 9).alias("value"))
@@ -446,18 +455,45 @@ def sliding_windows(spark, d):
     return out.select(*GROUP, "window", "y", F.posexplode("x").alias("pos", "seq")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@register("windows_dataset")
+Z_SUM = [
+    f"big AS MATERIALIZED (SELECT snap.* FROM snap JOIN (SELECT {G} FROM snap GROUP BY {G} HAVING count(*) >= 20) g ON {o.same('snap', 'g')})",
+    FEATURES.replace("FROM snap,", "FROM big,"),
+    f"fo AS (SELECT *, row_number() OVER (PARTITION BY {G}, f ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY {G}, f) AS n FROM ft)",
+    f"""zw AS (SELECT a.ticker_id, a.day_id, a.seq, a.f, a.x, a.unit, sum(b.x - a.x) AS s1, sum((b.x - a.x) * (b.x - a.x)) AS s2 FROM (SELECT fo.*, greatest(0, least(n - 1, i + o)) AS j FROM fo, range(-5, 5) r(o)) a
+    JOIN fo b ON {o.same('a', 'b')} AND a.f = b.f AND a.j = b.i GROUP BY a.ticker_id, a.day_id, a.seq, a.f, a.x, a.unit)""",
+    f"zs AS (SELECT {G}, seq, sum(-CAST(s1 AS DOUBLE) / 10 / unit / sqrt(greatest(CAST(s2 * 10 - s1 * s1 AS DOUBLE) / 100 / (unit * unit), 1e-8))) AS total FROM zw GROUP BY {G}, seq)",
+    "snap_fit AS (SELECT * FROM snap WHERE day_id % 3 <> 2)", *o.returns(H, "snap_fit", "ff"), o.alphas([0.22], source="ff"), *o.returns(H, "big"),
+    "lb AS (SELECT fr.*, CAST(CASE WHEN ret IS NULL THEN -1 WHEN ret < -alpha_down THEN 0 WHEN ret > alpha_up THEN 2 ELSE 1 END AS INT) AS label FROM fr, al)",
+    f"vz AS (SELECT zs.*, label, row_number() OVER (PARTITION BY zs.ticker_id, zs.day_id ORDER BY zs.seq) - 1 AS i, count(*) OVER (PARTITION BY zs.ticker_id, zs.day_id) AS n FROM zs JOIN lb ON {o.same('zs', 'lb')} AND zs.seq = lb.seq WHERE label <> -1)",
+    "vr AS MATERIALIZED (SELECT * FROM vz WHERE n >= 20)",
+]
+
+
+@register("labelled_features", o.query([*o.given("snap"), *Z_SUM], f"SELECT {G}, seq, label, round(total, 3) AS total FROM vr"))
+def labelled_features(spark, d):
+    """Features and labels without windows, of all days."""
+    out = datasets.labelled_features(*windows_input(spark, d), H, 10, 20)
+    return out.select(*GROUP, "seq", "label", F.round(F.aggregate("z", F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
+
+
+@register("windows_dataset", o.query([*o.given("snap"), *Z_SUM], f"""SELECT w.ticker_id, w.day_id, w.i // 4 AS window, any_value(e.label) AS y, CAST(count(*) AS INT) AS rows, round(sum(v.total), 3) AS total FROM vr w JOIN vr v ON {o.same('w', 'v')} AND v.i >= w.i AND v.i < w.i + 10
+    JOIN vr e ON {o.same('w', 'e')} AND e.i = w.i + 9 WHERE w.i % 4 = 0 AND w.i + 10 <= w.n GROUP BY w.ticker_id, w.day_id, w.i"""))
 def windows_dataset(spark, d):
     out = windows(spark, d)
     return out.select(*GROUP, "window", "y", F.size("x").alias("rows"), F.round(F.aggregate(F.flatten("x"), F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
 
 
-def windows(spark, d, split: str | None = None):
+def windows_input(spark, d, split: str | None = None):
+    """(snapshots of a split, thresholds of the training days)."""
     snaps = fixture(spark, d, "snap_all")
     if split is not None:
         snaps = snaps.where(F.col("day_id") % 3 == 2 if split == "test" else F.col("day_id") % 3 != 2)
     alphas = labels.thresholds(labels.forward_return(labels.session_filter(fixture(spark, d, "snap_all").where("day_id % 3 <> 2")), H), [0.22])
-    return datasets.windows_dataset(levels(snaps).join(snaps.select(*GROUP, "seq", "b0", "a0"), [*GROUP, "seq"]), alphas, H, 10, 10, 4, 20)
+    return levels(snaps).join(snaps.select(*GROUP, "seq", "b0", "a0"), [*GROUP, "seq"]), alphas
+
+
+def windows(spark, d, split: str | None = None):
+    return datasets.windows_dataset(*windows_input(spark, d, split), H, 10, 10, 4, 20)
 
 
 @register("chronological_split", o.query(o.given("snap"), f"SELECT {G}, seq, i AS index, CASE WHEN i < CAST(floor(n * 0.8::DOUBLE) AS BIGINT) THEN 'train' ELSE 'valid' END AS part FROM (SELECT *, row_number() OVER (ORDER BY {G}, seq) - 1 AS i, count(*) OVER () AS n FROM snap)"))
@@ -530,42 +566,106 @@ def epoch_order(spark, d):
 # --- streams, files, models ----------------------------------------------------------------------
 
 
+def followed(spark, path: str, kind: str, rows, pieces: int = 4):
+    """The record files of a folder as a stream that replays them in about ``pieces`` pieces."""
+    most = rows.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 1
+    return keyed(fixedrec.follow_fixed(spark, path, kind, rows_per_file=-(-most // pieces)))
+
+
+def feed_stream(spark, d):
+    m, folder = mbo(spark, d), fresh_folder(spark, "feed")
+    return followed(spark, feed_folder(m, f"{folder}/orders"), "orders", m), folder
+
+
 @register("live_book", BBO_SQL)
 def live_book(spark, d):
-    folder = fresh_folder(spark, "live")
-    return live.live_book(message_stream(mbo(spark, d), folder), folder)[1].select(*GROUP, "seq", "bid_px", "ask_px")
+    return live.live_book(*feed_stream(spark, d))[1].select(*GROUP, "seq", "bid_px", "ask_px")
 
 
 @register("live_accuracy", o.query([*MT, *o.ALL, *o.COMPARED], f"SELECT {G}, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE NOT {o.HIT}) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM cmp GROUP BY {G}"))
 def live_accuracy(spark, d):
+    """Messages and quotes as two streams."""
     folder, (m, t) = fresh_folder(spark, "check"), feeds(spark, d)
-    return live.live_accuracy(message_stream(m, folder), t, folder)
+    sent = followed(spark, feed_folder(m, f"{folder}/orders"), "orders", m)
+    told = followed(spark, quote_folder(t, f"{folder}/truth"), "truth", t, 3)
+    return live.live_accuracy(sent, told, folder)
 
 
 @register("recorder", o.query(o.given("mbo"), f"SELECT {G}, count(*) AS n, max(seq) AS last FROM (SELECT {G}, seq, coalesce(last_value(CASE WHEN NOT (price >= 10000000 OR (event_type = 1 AND price = 0)) THEN ts_us END IGNORE NULLS) OVER (PARTITION BY {G} ORDER BY seq), 0) AS s FROM mbo) WHERE s >= 1000000 GROUP BY {G}"))
 def recorder(spark, d):
-    folder = fresh_folder(spark, "record")
-    snaps, _ = live.live_book(message_stream(mbo(spark, d), folder, 2), folder)
+    snaps = live.live_book(*feed_stream(spark, d))[0]
     return live.recorded(snaps).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
-@register("late_messages", o.query(o.given("mbo"), f"""SELECT {G}, CAST(count(*) FILTER (WHERE seq < top) AS BIGINT) AS late FROM (SELECT *, max(CASE WHEN seq % 4 <> 0 THEN seq END) OVER (PARTITION BY {G}) AS top FROM mbo)
-    WHERE seq % 4 = 0 GROUP BY {G}"""))
-def late_messages(spark, d):
-    """Every fourth message comes after all others, with their numbers."""
+LATE = f"""SELECT {G}, CAST(count(*) FILTER (WHERE seq < top) AS BIGINT) AS late FROM (SELECT *, max(CASE WHEN seq % 4 <> 0 THEN seq END) OVER (PARTITION BY {G}) AS top FROM mbo)
+    WHERE seq % 4 = 0 GROUP BY {G} HAVING count(*) FILTER (WHERE seq < top) > 0"""
+
+
+def late_feed(spark, d, late: str):
+    """Every fourth message comes after all others, with its number; the stream is stopped in between and goes on from its checkpoint."""
     m, folder = mbo(spark, d), fresh_folder(spark, "late")
     for part in ("seq % 4 <> 0", "seq % 4 = 0"):
-        m.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return live.late_counts(live.live_book(stream, folder, "apply")[0])
+        m.where(part).write.mode("append").parquet(f"{folder}/in")
+        found = live.live_book(spark.readStream.schema(m.schema).parquet(f"{folder}/in"), folder, late)
+    return m, found
+
+
+@register("late_messages", o.query(o.given("mbo"), LATE))
+def late_messages(spark, d):
+    return live.late_counts(late_feed(spark, d, "apply")[1][2])
+
+
+@register("late_messages_drop", o.query(o.given("mbo"), LATE))
+def late_messages_drop(spark, d):
+    return live.late_counts(late_feed(spark, d, "drop")[1][2])
+
+
+ON_TIME = f"feed AS (SELECT * EXCLUDE (top) FROM (SELECT *, max(CASE WHEN seq % 4 <> 0 THEN seq END) OVER (PARTITION BY {G}) AS top FROM mbo) WHERE seq % 4 <> 0 OR seq > top)"
+
+
+@register("late_book_drop", o.query([*o.given("mbo"), ON_TIME, *o.BBO], f"SELECT {G}, seq, bid_px, ask_px FROM bb"))
+def late_book_drop(spark, d):
+    """The best prices where late messages are left out."""
+    return late_feed(spark, d, "drop")[1][1].select(*GROUP, "seq", "bid_px", "ask_px")
 
 
 @register("fixedrec_files", o.query(o.given("mbo"), f"SELECT 'mbo_' || ticker_id || '_' || day_id || '.bin' AS file, seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))
 def fixedrec_files(spark, d):
-    """One file of records a group, written to the shared folder and read by Spark's own record reader."""
-    folder = fresh_folder(spark, "records")
-    fixedrec.write_records(mbo(spark, d), folder.removeprefix("file:").replace("///", "/", 1), "orders", GROUP, "mbo_{}_{}.bin")
-    return fixedrec.read_binary_records(spark, folder, "orders")
+    """One file of order records a group, written to the shared folder and read again."""
+    return fixedrec.read_fixed(spark, feed_folder(mbo(spark, d), fresh_folder(spark, "records")), "orders")
+
+
+@register("truth_files", o.query(MT, f"SELECT 'truth_' || ticker_id || '_' || day_id || '.bin' AS file, row_number() OVER (PARTITION BY {G} ORDER BY tseq) AS seq, ts_us, bid_px, bid_sz, ask_px, ask_sz FROM truth"))
+def truth_files(spark, d):
+    """One file of quote records a group."""
+    return fixedrec.read_fixed(spark, quote_folder(feeds(spark, d)[1], fresh_folder(spark, "quotes")), "truth")
+
+
+@register("snapshot_files", o.query(o.given("snap"), f"""SELECT 'snap_' || ticker_id || '_' || day_id || '.bin' AS file, row_number() OVER (PARTITION BY {G}, l ORDER BY seq) AS seq, ts_us, l AS level, b0 - l AS bid_px, 100 + (seq*7 + l*13) % 500 AS bid_sz, a0 + l AS ask_px, 100 + (seq*11 + l*17) % 500 AS ask_sz FROM snap, range(10) t(l)"""))
+def snapshot_files(spark, d):
+    """One file of ten-level records a group, read in ranges of 100 records, a row for each level."""
+    folder = fresh_folder(spark, "snapshots")
+    fixedrec.write_records(levels(snap(spark, d)), folder, "snapshots", GROUP, "snap_{}_{}.bin")
+    rows = fixedrec.read_fixed(spark, folder, "snapshots", partition_bytes=24_800)
+    level = F.posexplode(F.arrays_zip("bid_px", "bid_sz", "ask_px", "ask_sz")).alias("level", "v")
+    return rows.select("file", "seq", "ts_us", level).select("file", "seq", "ts_us", F.col("level").cast("long").alias("level"), "v.*")
+
+
+@register("snapshot_table", o.query([*MTG, *o.BBO], f"SELECT {G}, count(*) AS n, max(seq) AS last, sum(bid_px) AS bids, sum(ask_px) AS asks FROM bb GROUP BY {G}"))
+def snapshot_table(spark, d):
+    """The snapshots of gated days, written one directory a group and read again with their best prices as columns."""
+    folder = fresh_folder(spark, "table")
+    sinks.write_partitioned(sinks.with_top_columns(stored(spark, d)[0]), folder)
+    rows = spark.read.parquet(folder).groupBy(*GROUP)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.sum("b0").alias("bids"), F.sum("a0").alias("asks"))
+
+
+@register("split_tables", o.query(o.given("mbo", "calendar"), "SELECT ticker_id, split, count(*) AS n, count(DISTINCT mbo.day_id) AS days FROM mbo JOIN calendar USING (day_id) GROUP BY ticker_id, split"))
+def split_tables(spark, d):
+    """Days put together by ticker and split, and read again."""
+    folder = fresh_folder(spark, "splits")
+    datasets.concatenated(mbo(spark, d), fixture(spark, d, "calendar"), folder)
+    return spark.read.parquet(folder).groupBy("ticker_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day_id").alias("days"))
 
 
 @register("fixedrec_roundtrip", o.query(o.given("mbo"), f"SELECT CAST(ticker_id AS BIGINT) * 1000000000 + CAST(day_id AS BIGINT) * 100000000 + seq AS seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))

@@ -1,8 +1,15 @@
-"""Order messages, quotes and snapshots derived from the given tables, as SQL that other engines read too."""
+"""Order messages, quotes and snapshots derived from the given tables, as SQL that other engines read too, and as files of records.
+
+Raw messages are numbered over the whole table; here by a range sort, in the SQL by a window.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.ranks import with_index
+from tidemark.sources import fixedrec
 
 GROUP = ["ticker_id", "day_id"]
 _ORDER = "l_shipdate,l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice"
@@ -33,13 +40,14 @@ _SNAP = """SELECT CAST(user_id%2 AS INT) AS ticker_id, CAST(FLOOR({US}/864000000
  1000000+CAST(ROUND(value*10) AS BIGINT) AS b0, 1000001+CAST(ROUND(value*10) AS BIGINT)+event_id%3 AS a0 FROM events"""
 _SPARK_US, _DUCK_US = "unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"
 
-MBO_RAW = f"""SELECT CAST(1767623100000000000 + CAST(row_number() OVER (ORDER BY {_ORDER}) AS BIGINT)*1000003 AS BIGINT) AS ts_event,
- CAST(row_number() OVER (ORDER BY {_ORDER}) AS BIGINT) AS seq,
+RAW = """SELECT CAST(1767623100000000000 + CAST({seq} AS BIGINT)*1000003 AS BIGINT) AS ts_event,
+ CAST({seq} AS BIGINT) AS seq,
  CAST(CASE l_orderkey%6 WHEN 0 THEN 11667 WHEN 1 THEN 15144 WHEN 2 THEN 16244 WHEN 3 THEN 12716 WHEN 4 THEN 773 ELSE 999 END AS INT) AS instrument_id,
  CASE l_partkey%9 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'C' WHEN 3 THEN 'F' WHEN 4 THEN 'T' WHEN 5 THEN 'D' WHEN 6 THEN 'R' WHEN 7 THEN 'X' ELSE 'A' END AS action,
  CASE WHEN l_linestatus='O' THEN 'B' WHEN l_returnflag='N' THEN 'N' ELSE 'A' END AS side,
  CASE WHEN l_suppkey%50=0 THEN 9223372036854775807 WHEN l_suppkey%51=0 THEN CAST(-5 AS BIGINT) ELSE CAST(ROUND(l_extendedprice*100) AS BIGINT)*1000 + l_partkey%1000 END AS price,
- CAST(l_quantity AS INT) AS size, l_orderkey AS order_id FROM lineitem"""
+ CAST(l_quantity AS INT) AS size, l_orderkey AS order_id FROM {{lineitem}}"""
+MBO_RAW = RAW.format(seq=f"row_number() OVER (ORDER BY {_ORDER})").replace("{lineitem}", "lineitem")
 
 MBP_RAW = f"""SELECT ts_event, seq, instrument_id, price AS bid_px, size AS bid_sz,
  CASE WHEN seq%11=0 THEN 9223372036854775807 WHEN seq%13=0 THEN price-100000 ELSE price+200000+(seq%3)*100000 END AS ask_px, size+1 AS ask_sz
@@ -65,6 +73,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, mbo: DataFrame | None =
         return spark.sql(sql.replace(f"({MBO}) mbo", "{mbo}"), mbo=mbo)
     if name not in _SOURCE:
         return spark.sql(sql)
+    if name in ("mbo_raw", "mbp_raw"):
+        raw = with_index(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _ORDER.split(","), "__place")
+        raw = spark.sql(RAW.format(seq="(__place + 1)"), lineitem=raw)
+        return raw if name == "mbo_raw" else spark.sql(sql.replace(f"({MBO_RAW}) raw", "{raw}"), raw=raw)
     source = _SOURCE[name]
     return spark.sql(sql.replace(f"FROM {source}", "FROM {given}"), given=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
@@ -78,13 +90,19 @@ def levels(snaps: DataFrame) -> DataFrame:
     return snaps.selectExpr("ticker_id", "day_id", "seq", "ts_us", *[f"{sql} AS {name}" for name, sql in made.items()])
 
 
-def message_stream(messages: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """Messages of a table as a file stream of ``files`` pieces of rising seq, one a micro-batch.
+def feed_folder(messages: DataFrame, folder: str) -> str:
+    """Messages of a table as files of order records, one a group, in ``folder``."""
+    fixedrec.write_records(messages, folder, "orders", GROUP, "mbo_{}_{}.bin")
+    return folder
+
+
+def quote_folder(quotes: DataFrame, folder: str) -> str:
+    """Quotes of a table as files of quote records, one a group, in ``folder``."""
+    fixedrec.write_records(quotes.withColumnRenamed("tseq", "seq"), folder, "truth", GROUP, "truth_{}_{}.bin")
+    return folder
+
 
-    The pieces are written one after the other, since a file stream goes by age.
-    """
-    spark = messages.sparkSession
-    top = messages.selectExpr("max(seq)").first()[0] or 0
-    for i in range(files):
-        messages.where(f"seq > {top * i // files} and seq <= {top * (i + 1) // files}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def keyed(records: DataFrame) -> DataFrame:
+    """Records with the group that their file's name says, instead of the name."""
+    part = lambda i: F.regexp_extract("file", r"_(\d+)_(\d+)\.bin$", i).cast("int")
+    return records.withColumns({"ticker_id": part(1), "day_id": part(2)}).drop("file")

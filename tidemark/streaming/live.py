@@ -1,11 +1,14 @@
-"""The live book: messages in, snapshots out, with the same results as the batch fold.
+"""The live book: messages in, snapshots out, with the same results as the batch fold; and its check against live quotes.
 
-State per group is keyed: what remains of each order, the volume of each level, and one row of marks.  A micro-batch
-of a group is sorted by seq and folded; it reads and writes the orders that its messages name and writes the levels that
-they change, so its cost follows the messages and the levels, not the orders that rest in the book.  Across
+State per group is keyed: what remains of each order, the volumes of the levels in buckets of ``BUCKET`` prices, and one row of marks.  A
+micro-batch of a group is sorted by seq and folded; it reads and writes the orders that its messages name and the buckets that they
+change, and reads the best buckets down to the tenth level, so its cost follows the messages, not what rests in the book.  Across
 micro-batches arrival order counts.  A message whose seq is not after the last one folded is late: with ``late="drop"`` it
-is left out, with ``late="apply"`` it is folded where it arrives; either way it is counted, and every snapshot carries the
-group's count so far.
+is left out, with ``late="apply"`` it is folded where it arrives; either way it comes out as a row of its own, of kind ``late``.
+
+The check is told quotes as they come, by a second stream.  Quotes that no message has reached yet wait in chunks; a message moves on
+to the last quote at or before its time, or the time of any message before it, and what it has passed is dropped.  A message is settled once a
+later quote has come, and until then counts as the quotes so far have it.
 """
 
 from __future__ import annotations
@@ -13,15 +16,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import book, validate
 from tidemark.sources.fixtures import GROUP
 
-OUT = "ticker_id int, day_id int, seq long, ts_us long, snap_us long, bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>, late long"
+LEVELS = "bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>"
+OUT = f"ticker_id int, day_id int, kind string, seq long, ts_us long, snap_us long, {LEVELS}"
+COUNTS = "ticker_id int, day_id int, updates long, matched long, failed long"
+FIELDS = ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET, CHUNK = 64, 1024
+MESSAGE, QUOTE = 0, 1
 
 
 def after(held: tuple | None, event: int, size: int, price: int, direction: int) -> tuple | None:
@@ -33,6 +42,56 @@ def after(held: tuple | None, event: int, size: int, price: int, direction: int)
     return held if held is not None and held[0] > 0 else None
 
 
+class Ladder:
+    """One side of the book, of which only the buckets that are needed are read from the state."""
+
+    def __init__(self, sign: int, state, live: list[int]) -> None:
+        self.side, self.state, self.sign = book.Side(sign), state, sign
+        self.waiting = sorted(live, key=self.best)
+        self.read, self.touched = set(), set()
+
+    def best(self, bucket: int) -> int:
+        """Where the best price that a bucket can have stands in the order of the side."""
+        return -self.sign * (bucket * BUCKET + (BUCKET - 1 if self.sign == 1 else 0))
+
+    def load(self, bucket: int) -> None:
+        self.read.add(bucket)
+        if bucket in self.waiting:
+            self.waiting.remove(bucket)
+            for px, volume in zip(*self.state.getValue((self.sign, bucket))):
+                self.side.change(px, volume)
+
+    def change(self, px: int, delta: int) -> None:
+        bucket = px // BUCKET
+        if bucket not in self.read:
+            self.load(bucket)
+        self.side.change(px, delta)
+        self.touched.add(bucket)
+
+    def top(self) -> None:
+        """The ten best levels, once no bucket that waits can have a better one."""
+        side = self.side
+        while self.waiting and (len(side.prices) < book.DEPTH or self.best(self.waiting[0]) < side.prices[book.DEPTH - 1]):
+            self.load(self.waiting[0])
+        side.rebuild()
+
+    def save(self) -> list[int]:
+        """Write the buckets that were touched; the buckets that have levels now."""
+        live = list(self.waiting)
+        held: dict[int, list[int]] = {}
+        for key in self.side.prices:
+            held.setdefault(-key * self.sign // BUCKET, []).append(-key * self.sign)
+        for bucket in self.read:
+            if bucket in held:
+                live.append(bucket)
+            if bucket in self.touched:
+                if bucket in held:
+                    self.state.updateValue((self.sign, bucket), (held[bucket], [self.side.at(px) for px in held[bucket]]))
+                elif self.state.containsKey((self.sign, bucket)):
+                    self.state.removeKey((self.sign, bucket))
+        return live
+
+
 class LiveBook(StatefulProcessor):
     """Folds the micro-batches of a group; emits from the first message with a time over 1 s on."""
 
@@ -41,22 +100,21 @@ class LiveBook(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.orders = handle.getMapState("orders", "order_id long", "size long, price long, direction int")
-        self.levels = handle.getMapState("levels", "direction int, price long", "volume long")
-        self.marks = handle.getValueState("marks", "snap_us long, last_seq long, on boolean, late long")
+        self.levels = handle.getMapState("levels", "direction int, bucket long", "price array<long>, volume array<long>")
+        self.marks = handle.getValueState("marks", "snap_us long, last_seq long, on boolean, bids array<long>, asks array<long>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        snap_us, last_seq, on, late = self.marks.get() or (0, -1, False, 0)
+    def fold(self, batch: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
+        """(snapshots, late messages) of a micro-batch of messages: (seq, ts_us, snap_us, bid_px, bid_sz, ask_px, ask_sz) and (seq, ts_us)."""
+        batch = batch.sort_values("seq", kind="stable")
+        snap_us, last_seq, on, bids, asks = self.marks.get() or (0, -1, False, [], [])
         before = {oid: self.orders.getValue((oid,)) for oid in batch["order_id"].unique().tolist()}
-        now, sides, touched, out = dict(before), {1: book.Side(1), -1: book.Side(-1)}, set(), []
-        for (direction, price), (volume,) in self.levels.iterator():
-            sides[direction].change(price, volume)
-        bid, ask = sides[1], sides[-1]
-        bid.rebuild()
-        ask.rebuild()
-        for seq, ts, event, oid, size, price, direction in zip(*(batch[c].tolist() for c in ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction"))):
+        now, out, late = dict(before), [], []
+        bid, ask = Ladder(1, self.levels, bids), Ladder(-1, self.levels, asks)
+        bid.top()
+        ask.top()
+        for seq, ts, event, oid, size, price, direction in zip(*(batch[c].tolist() for c in FIELDS)):
             if seq <= last_seq:
-                late += 1
+                late.append((seq, ts))
                 if self.drop:
                     continue
             last_seq = max(seq, last_seq)
@@ -65,90 +123,193 @@ class LiveBook(StatefulProcessor):
                 if held != left:
                     for order, sign in ((held, -1), (left, 1)):
                         if order is not None:
-                            level = (1 if order[2] == 1 else -1, order[1])
-                            sides[level[0]].change(order[1], sign * order[0])
-                            touched.add(level)
+                            (bid if order[2] == 1 else ask).change(order[1], sign * order[0])
                     now[oid] = left
-                    bid.rebuild()
-                    ask.rebuild()
+                    bid.top()
+                    ask.top()
                 snap_us = ts
             on = on or ts > validate.SECOND
             if on:
-                out.append((*key, seq, ts, snap_us, bid.px, bid.sz, ask.px, ask.sz, late))
+                out.append((seq, ts, snap_us, bid.side.px, bid.side.sz, ask.side.px, ask.side.sz))
         for oid, left in now.items():
             if left is None and before[oid] is not None:
                 self.orders.removeKey((oid,))
             elif left != before[oid]:
                 self.orders.updateValue((oid,), left)
-        for direction, price in touched:
-            volume = sides[direction].at(price)
-            if volume > 0:
-                self.levels.updateValue((direction, price), (volume,))
-            elif self.levels.containsKey((direction, price)):
-                self.levels.removeKey((direction, price))
-        self.marks.update((snap_us, last_seq, on, late))
-        if out:
-            yield pd.DataFrame(out, columns=["ticker_id", "day_id", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz", "late"])
+        self.marks.update((snap_us, last_seq, on, bid.save(), ask.save()))
+        return out, late
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        books, late = self.fold(pd.concat(list(rows), ignore_index=True))
+        found = [(*key, "book", *r) for r in books] + [(*key, "late", seq, ts, None, None, None, None, None) for seq, ts in late]
+        if found:
+            yield pd.DataFrame(found, columns=["ticker_id", "day_id", "kind", "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"]).astype({"snap_us": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+class Quotes:
+    """The quotes of a group that wait, in chunks of the state, and the one that the messages have come to."""
+
+    def __init__(self, state, head: int, at: int, tail: int, here: tuple | None) -> None:
+        self.state, self.head, self.at, self.tail, self.here = state, head, at, tail, here
+        self.chunk = None
+
+    def append(self, quotes: list[tuple]) -> None:
+        for first in range(0, len(quotes), CHUNK):
+            self.state.updateValue((self.tail,), tuple(list(c) for c in zip(*quotes[first : first + CHUNK])))
+            self.tail += 1
+
+    def next(self) -> tuple | None:
+        """The first quote that waits."""
+        if self.head == self.tail:
+            return None
+        if self.chunk is None:
+            self.chunk = self.state.getValue((self.head,))
+        return tuple(c[self.at] for c in self.chunk)
+
+    def advance(self, t: int) -> None:
+        """Go on to the last quote at or before t; chunks that are passed are removed."""
+        while (quote := self.next()) is not None and quote[0] <= t:
+            self.here = quote
+            self.at += 1
+            if self.at == len(self.chunk[0]):
+                self.state.removeKey((self.head,))
+                self.head, self.at, self.chunk = self.head + 1, 0, None
+
+
+class LiveCheck(LiveBook):
+    """The live book, whose best prices are counted against the quotes of a second stream."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.chunks = handle.getMapState("quotes", "chunk long", "ts array<long>, bid array<long>, ask array<long>")
+        self.pending = handle.getListState("pending", "t long, bid long, ask long")
+        self.place = handle.getValueState("place", "head long, at int, tail long, ts long, bid long, ask long, latest long, t long, updates long, matched long, failed long, open_matched long, open_failed long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        told = batch[batch["row_kind"] == QUOTE].sort_values("seq", kind="stable")
+        sent = batch[batch["row_kind"] == MESSAGE]
+        head, at, tail, here_ts, bid, ask, latest, t, updates, matched, failed, open_matched, open_failed = self.place.get() or (0, 0, 0, None, None, None, None, -1, 0, 0, 0, 0, 0)
+        quotes = Quotes(self.chunks, head, at, tail, None if here_ts is None else (here_ts, bid, ask))
+        books = []
+        for _, ts, _, bids, _, asks, _ in self.fold(sent)[0] if len(sent) else []:
+            t = max(t, ts)  # times never move back
+            books.append((t, bids[0], asks[0]))
+        if len(told):
+            stamps = []
+            for ts in told["ts_us"].tolist():
+                latest = ts if latest is None else max(latest, ts)
+                stamps.append(latest)
+            quotes.append(list(zip(stamps, told["bid_px"].tolist(), told["ask_px"].tolist())))
+            books, open_matched, open_failed = [*map(tuple, self.pending.get()), *books], 0, 0
+            self.pending.clear()
+        waiting = []
+        for ts, *best in books:
+            quotes.advance(ts)
+            later = quotes.next()
+            met = quotes.here or later
+            hit = met is not None and tuple(best) == met[1:]
+            if later is not None:
+                matched, failed = matched + hit, failed + (not hit)
+                continue
+            waiting.append((ts, *best))
+            if met is not None:
+                open_matched, open_failed = open_matched + hit, open_failed + (not hit)
+        if waiting:
+            self.pending.appendList(waiting)
+        here = quotes.here or (None, None, None)
+        self.place.update((quotes.head, quotes.at, quotes.tail, *here, latest, t, updates + 1, matched, failed, open_matched, open_failed))
+        if latest is not None:
+            yield pd.DataFrame([(*key, updates + 1, matched + open_matched, failed + open_failed)], columns=["ticker_id", "day_id", "updates", "matched", "failed"])
+
+
 def live_snapshots(messages: DataFrame, late: str = "drop") -> DataFrame:
-    """Streaming snapshots of streaming messages, by group.  Keyed state needs the RocksDB state store, which ``run_to_end`` sets."""
+    """Streaming snapshots (kind ``book``) and late messages (kind ``late``) of streaming messages, by group.
+
+    Keyed state needs the RocksDB state store, which ``run_to_end`` sets.
+    """
     if late not in ("drop", "apply"):
         raise ValueError(late)
     return messages.groupBy(*GROUP).transformWithStateInPandas(LiveBook(late == "drop"), OUT, "append", "none")
 
 
+def live_counts(messages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(keys, updates, matched, failed): how many best prices so far are those of the quotes, after each micro-batch of a group; the greatest ``updates`` counts."""
+    none = lambda names: [F.lit(0).cast("long").alias(c) for c in names]  # noqa: E731  not null, which would make integers floats in pandas
+    sent = messages.select(*GROUP, F.lit(MESSAGE).alias("row_kind"), *[F.col(c).cast("long") for c in FIELDS], *none(("bid_px", "ask_px")))
+    told = quotes.select(*GROUP, F.lit(QUOTE).alias("row_kind"), "seq", "ts_us", *none(FIELDS[2:]), "bid_px", "ask_px")
+    return sent.unionByName(told).groupBy(*GROUP).transformWithStateInPandas(LiveCheck(True), COUNTS, "append", "none")
+
+
 def recorded(snaps: DataFrame) -> DataFrame:
     """What the recorder keeps: snapshots whose own time is at least 1 s."""
     return snaps.where(F.col("snap_us") >= validate.SECOND)
 
 
-def late_counts(snaps: DataFrame) -> DataFrame:
-    """(keys, late): the late messages of each group, as of its last snapshot."""
-    return snaps.groupBy(*GROUP).agg(F.max("late").alias("late"))
-
-
 def run_to_end(stream: DataFrame, folder: str, each) -> None:
-    """Drain a stream through ``each(batch, id)``; its state is kept in RocksDB, that of other streams where it was."""
+    """Drain a stream through ``each(batch, id)`` until nothing new is there; its state is kept in RocksDB, that of other streams where it was."""
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     former = conf.get(name)
     conf.set(name, ROCKSDB)
     try:
-        query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).trigger(availableNow=True).start()
+        query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).start()
     finally:
         conf.set(name, former)
-    query.awaitTermination()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     if query.exception() is not None:
         raise query.exception()
 
 
-def live_book(stream: DataFrame, folder: str, late: str = "drop") -> tuple[DataFrame, DataFrame]:
-    """(snapshots, best prices) of a stream of messages, written under ``folder`` by one stateful query: the recorder and the monitor."""
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the micro-batches have written; nothing where there was none."""
+    try:
+        return spark.read.parquet(path).drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def live_book(stream: DataFrame, folder: str, late: str = "drop") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snapshots, best prices, late messages) of a stream of messages, written under ``folder`` by one stateful query: the recorder and the monitor.
+
+    A stream that is run again with its folder goes on from its checkpoint.
+    """
     spark = stream.sparkSession
 
-    def both(batch: DataFrame, batch_id: int) -> None:
+    def all_three(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        batch.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={batch_id}")
-        book.bbo(batch).write.mode("overwrite").parquet(f"{folder}/bbo/batch={batch_id}")
+        books = batch.where("kind = 'book'").drop("kind")
+        books.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={batch_id}")
+        book.bbo(books).write.mode("overwrite").parquet(f"{folder}/bbo/batch={batch_id}")
+        batch.where("kind = 'late'").select(*GROUP, "seq", "ts_us").write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
         batch.unpersist()
 
-    run_to_end(live_snapshots(stream, late), folder, both)
-    return spark.read.parquet(f"{folder}/snapshots").drop("batch"), spark.read.parquet(f"{folder}/bbo").drop("batch")
+    run_to_end(live_snapshots(stream, late), folder, all_three)
+    snaps = OUT.replace("kind string, ", "")
+    best = "ticker_id int, day_id int, seq long, ts_us long, bid_px long, bid_sz long, ask_px long, ask_sz long"
+    return written(spark, f"{folder}/snapshots", snaps), written(spark, f"{folder}/bbo", best), written(spark, f"{folder}/late", "ticker_id int, day_id int, seq long, ts_us long")
 
 
-def live_accuracy(stream: DataFrame, truth: DataFrame, folder: str) -> DataFrame:
-    """(keys, matched, failed, accuracy) of a stream of messages: each micro-batch is matched with the static quotes and counted."""
-    spark = stream.sparkSession
+def late_counts(late: DataFrame) -> DataFrame:
+    """(keys, late): how many messages of each group were late."""
+    return late.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("late"))
+
+
+def live_accuracy(messages: DataFrame, quotes: DataFrame, folder: str) -> DataFrame:
+    """(keys, matched, failed, accuracy) of a stream of messages and a stream of quotes, both of which keep their place."""
 
-    def count(batch: DataFrame, batch_id: int) -> None:
-        rows = validate.compared(batch, truth, in_order=False)
-        rows.where("t_bid is not null").groupBy(*GROUP).agg(F.count_if(validate.hit()).alias("m"), F.count_if(~validate.hit()).alias("f")).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
 
-    run_to_end(live_snapshots(stream), folder, count)
-    out = spark.read.parquet(f"{folder}/counts").groupBy(*GROUP).agg(F.sum("m").alias("matched"), F.sum("f").alias("failed"))
+    run_to_end(live_counts(messages, quotes), folder, keep)
+    counts = written(messages.sparkSession, f"{folder}/counts", COUNTS)
+    last = counts.groupBy(*GROUP).agg(F.max(F.struct("updates", "matched", "failed")).alias("c")).select(*GROUP, "c.matched", "c.failed")
+    out = last.where(F.col("matched") + F.col("failed") > 0)
     return out.withColumn("accuracy", validate.accuracy(F.col("matched"), F.col("matched") + F.col("failed")))
 
 
