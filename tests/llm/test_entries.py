@@ -23,6 +23,7 @@ CONTRACT = {
     "op4_language_id": ("doc_id held_out lang_pred score", "documents"), "op5_url_filter": ("page_id host path rule verdict", "pages"), "op6_nearest": ("query_id rank vec_id score", None),
     "op7_sentencepiece": ("doc_id ids exact", "documents"), "op8_toxicity": ("doc_id held_out score predicted", "documents"),
     "op9_telephony": ("doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "documents"), "op10_mixing": ("doc_id size source_size target taken", "documents"),
+    "op11_collocations": ("lang rank phrase a l r n score", None), "op12_linked": ("vec_id n_links component_id kept", "embeddings"), "op13_manifest": ("doc_id leaf subroot root proof_sha256 folded_root verified", "documents"),
 }
 
 

@@ -21,7 +21,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels", "conversations"):
+    for table in ("documents", "pages", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.operators.datasets import placed, with_index
+from tidemark.operators.ranks import placed, with_index
 
 FAN, DIGEST = 8, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
