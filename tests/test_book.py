@@ -193,6 +193,65 @@ def test_late_messages_fold_where_they_arrive(spark, tmp_path):
         assert sorted(tuple(r) for r in found[how][2].collect()) == behind and sum(r.late for r in live.late_counts(found[how][2]).collect()) == len(behind)
 
 
+class Held(list):
+    """A list state."""
+
+    def get(self):
+        return iter(list(self))
+
+    def put(self, rows):
+        self[:] = rows
+
+    def appendList(self, rows):
+        self.extend(rows)
+
+
+class Value:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def processor(**options):
+    import pandas as pd
+
+    fold = live.LiveBook(True, **options)
+    fold.orders, fold.levels, fold.marks, fold.early = Reads(), Reads(), Value(), Held()
+    return fold, lambda rows: pd.DataFrame(rows, columns=list(live.FIELDS))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_messages_are_put_in_order(seed):
+    """Rows that come up to eight places late, in pieces of any size, fold as if they had come in order."""
+    rows, draw = numbered(feed(seed, 1, 300)), random.Random(seed)
+    come = sorted(rows, key=lambda r: r[2] + draw.random() * 8)
+    fold, batch = processor(hold=12)
+    got, most = [], 0
+    while come:
+        n = draw.choice([1, 2, 7, 40])
+        out, late = fold.fold(batch([r[2:] for r in come[:n]]))
+        come, most = come[n:], max(most, len(fold.early))
+        got += out
+        assert late == []
+    assert most <= 12 and len(fold.early) == 0 and [r[0] for r in got] == list(range(1, 301))
+    want = twin(rows)
+    for seq, _, snap, bid, bid_sz, ask, ask_sz in got:
+        assert (snap, [x for x in zip(bid, bid_sz) if x[0]], [x for x in zip(ask, ask_sz) if x[0]]) == (want[(0, 0, seq)][0], want[(0, 0, seq)][1][:10], want[(0, 0, seq)][2][:10])
+
+
+def test_a_gap_is_given_up_after_hold():
+    fold, batch = processor(hold=5)
+    row = lambda seq: (seq, 2_000_000 + seq, 1, seq, 5, 100, 1)
+    assert [r[0] for r in fold.fold(batch([row(1), row(3), row(4)]))[0]] == [1] and len(fold.early) == 2
+    assert [r[0] for r in fold.fold(batch([row(8)]))[0]] == [3, 4] and len(fold.early) == 1
+    out, late = fold.fold(batch([row(2), row(5), row(6), row(7)]))
+    assert [r[0] for r in out] == [5, 6, 7, 8] and late == [(2, 2_000_002)] and len(fold.early) == 0
+
+
 class Reads(dict):
     """A map state that counts what is read."""
 
@@ -213,20 +272,7 @@ class Reads(dict):
 
 
 def test_a_micro_batch_reads_the_buckets_it_needs():
-    import pandas as pd
-
-    class Marks:
-        held = None
-
-        def get(self):
-            return self.held
-
-        def update(self, value):
-            self.held = value
-
-    fold = live.LiveBook(True)
-    fold.orders, fold.levels, fold.marks = Reads(), Reads(), Marks()
-    batch = lambda rows: pd.DataFrame(rows, columns=list(live.FIELDS))
+    fold, batch = processor()
     many = [(i + 1, 2_000_000 + i, 1, i, 5, 100_000 - i if i % 2 else 200_000 + i, 1 if i % 2 else -1) for i in range(20_000)]
     fold.fold(batch(many))
     buckets = len(fold.levels)

@@ -629,6 +629,22 @@ def late_book_drop(spark, d):
     return late_feed(spark, d, "drop")[1][1].select(*GROUP, "seq", "bid_px", "ask_px")
 
 
+HELD_BACK = 120
+
+
+@register("reordered_book", BBO_SQL)
+def reordered_book(spark, d):
+    """A feed that comes in two parts, of which the first lacks every fourth of the last messages before the cut, put in order."""
+    m, folder = mbo(spark, d), fresh_folder(spark, "reordered")
+    middle = m.groupBy(*GROUP).agg(F.floor(F.max("seq") / 2).alias("middle"))  # one row a group
+    cut = m.join(middle, GROUP)
+    early = (F.col("seq") <= F.col("middle")) & ~((F.col("seq") % 4 == 0) & (F.col("seq") > F.col("middle") - HELD_BACK // 2))
+    for part in (early, ~early):
+        cut.where(part).drop("middle").write.mode("append").parquet(f"{folder}/in")
+        found = live.live_book(spark.readStream.schema(m.schema).parquet(f"{folder}/in"), folder, hold=HELD_BACK)
+    return found[1].select(*GROUP, "seq", "bid_px", "ask_px")
+
+
 @register("fixedrec_files", o.query(o.given("mbo"), f"SELECT 'mbo_' || ticker_id || '_' || day_id || '.bin' AS file, seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))
 def fixedrec_files(spark, d):
     """One file of order records a group, written to the shared folder and read again."""

@@ -6,6 +6,10 @@ change, and reads the best buckets down to the tenth level, so its cost follows
 micro-batches arrival order counts.  A message whose seq is not after the last one folded is late: with ``late="drop"`` it
 is left out, with ``late="apply"`` it is folded where it arrives; either way it comes out as a row of its own, of kind ``late``.
 
+With ``hold`` messages are put in order before they are folded.  Seqs have no gaps, so one that doesn't follow the last is early: it waits in the state until those
+between have come, or until a message ``hold`` further on has, which gives them up.  No more than ``hold`` messages wait, none without a gap,
+and a gap's messages that come after all are late.
+
 The check is told quotes as they come, by a second stream.  Quotes that no message has reached yet wait in chunks; a message moves on
 to the last quote at or before its time, or the time of any message before it, and what it has passed is dropped.  A message is settled once a
 later quote has come, and until then counts as the quotes so far have it.
@@ -95,24 +99,42 @@ class Ladder:
 class LiveBook(StatefulProcessor):
     """Folds the micro-batches of a group; emits from the first message with a time over 1 s on."""
 
-    def __init__(self, drop: bool) -> None:
-        self.drop = drop
+    def __init__(self, drop: bool, hold: int = 0, first_seq: int = 1) -> None:
+        self.drop, self.hold, self.first_seq = drop, hold, first_seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.early = handle.getListState("early", ", ".join(f"{c} long" for c in FIELDS))
         self.orders = handle.getMapState("orders", "order_id long", "size long, price long, direction int")
         self.levels = handle.getMapState("levels", "direction int, bucket long", "price array<long>, volume array<long>")
-        self.marks = handle.getValueState("marks", "snap_us long, last_seq long, on boolean, bids array<long>, asks array<long>")
+        self.marks = handle.getValueState("marks", "snap_us long, last_seq long, on boolean, bids array<long>, asks array<long>, waiting int")
+
+    def in_turn(self, rows: list[tuple], last_seq: int) -> tuple[list[tuple], list[tuple]]:
+        """(messages to fold, those that wait) of messages in order of seq."""
+        if not self.hold or not rows:
+            return rows, []
+        top = max(rows[-1][0], last_seq)
+        for i, (seq, *_) in enumerate(rows):
+            if seq > last_seq + 1 and seq + self.hold > top:
+                return rows[:i], rows[i:]
+            last_seq = max(last_seq, seq)
+        return rows, []
 
     def fold(self, batch: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
         """(snapshots, late messages) of a micro-batch of messages: (seq, ts_us, snap_us, bid_px, bid_sz, ask_px, ask_sz) and (seq, ts_us)."""
-        batch = batch.sort_values("seq", kind="stable")
-        snap_us, last_seq, on, bids, asks = self.marks.get() or (0, -1, False, [], [])
-        before = {oid: self.orders.getValue((oid,)) for oid in batch["order_id"].unique().tolist()}
+        snap_us, last_seq, on, bids, asks, waiting = self.marks.get() or (0, self.first_seq - 1 if self.hold else -1, False, [], [], 0)
+        rows = [*map(tuple, self.early.get())] if waiting else []
+        rows += zip(*(batch[c].tolist() for c in FIELDS))
+        rows, early = self.in_turn(sorted(rows, key=lambda r: r[0]), last_seq)
+        if waiting and not early:
+            self.early.clear()
+        elif early:
+            self.early.put(early)
+        before = {oid: self.orders.getValue((oid,)) for oid in {r[3] for r in rows}}
         now, out, late = dict(before), [], []
         bid, ask = Ladder(1, self.levels, bids), Ladder(-1, self.levels, asks)
         bid.top()
         ask.top()
-        for seq, ts, event, oid, size, price, direction in zip(*(batch[c].tolist() for c in FIELDS)):
+        for seq, ts, event, oid, size, price, direction in rows:
             if seq <= last_seq:
                 late.append((seq, ts))
                 if self.drop:
@@ -136,7 +158,7 @@ class LiveBook(StatefulProcessor):
                 self.orders.removeKey((oid,))
             elif left != before[oid]:
                 self.orders.updateValue((oid,), left)
-        self.marks.update((snap_us, last_seq, on, bid.save(), ask.save()))
+        self.marks.update((snap_us, last_seq, on, bid.save(), ask.save(), len(early)))
         return out, late
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -226,14 +248,14 @@ class LiveCheck(LiveBook):
             yield pd.DataFrame([(*key, updates + 1, matched + open_matched, failed + open_failed)], columns=["ticker_id", "day_id", "updates", "matched", "failed"])
 
 
-def live_snapshots(messages: DataFrame, late: str = "drop") -> DataFrame:
+def live_snapshots(messages: DataFrame, late: str = "drop", hold: int = 0) -> DataFrame:
     """Streaming snapshots (kind ``book``) and late messages (kind ``late``) of streaming messages, by group.
 
     Keyed state needs the RocksDB state store, which ``run_to_end`` sets.
     """
     if late not in ("drop", "apply"):
         raise ValueError(late)
-    return messages.groupBy(*GROUP).transformWithStateInPandas(LiveBook(late == "drop"), OUT, "append", "none")
+    return messages.groupBy(*GROUP).transformWithStateInPandas(LiveBook(late == "drop", hold), OUT, "append", "none")
 
 
 def live_counts(messages: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -274,7 +296,7 @@ def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def live_book(stream: DataFrame, folder: str, late: str = "drop") -> tuple[DataFrame, DataFrame, DataFrame]:
+def live_book(stream: DataFrame, folder: str, late: str = "drop", hold: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(snapshots, best prices, late messages) of a stream of messages, written under ``folder`` by one stateful query: the recorder and the monitor.
 
     A stream that is run again with its folder goes on from its checkpoint.
@@ -289,7 +311,7 @@ def live_book(stream: DataFrame, folder: str, late: str = "drop") -> tuple[DataF
         batch.where("kind = 'late'").select(*GROUP, "seq", "ts_us").write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
         batch.unpersist()
 
-    run_to_end(live_snapshots(stream, late), folder, all_three)
+    run_to_end(live_snapshots(stream, late, hold), folder, all_three)
     snaps = OUT.replace("kind string, ", "")
     best = "ticker_id int, day_id int, seq long, ts_us long, bid_px long, bid_sz long, ask_px long, ask_sz long"
     return written(spark, f"{folder}/snapshots", snaps), written(spark, f"{folder}/bbo", best), written(spark, f"{folder}/late", "ticker_id int, day_id int, seq long, ts_us long")
