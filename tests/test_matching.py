@@ -420,6 +420,10 @@ def test_windows_train_and_score(spark):
         return max(np.abs(grad).max(), np.abs(off.sum(axis=0)).max())
 
     assert slope(near) < 2e-3 and slope(near) < slope(far) / 20
+    flat = made.select("ticker_id", "window", F.flatten("x").alias("all"))
+    chance = {(r.ticker_id, r.window): r.score for r in models.batch_scored(flat, models.window_scorer(model, 10, 2), "all", 400).collect()}
+    same = model.transform(summed).select("ticker_id", "window", "probability").collect()
+    assert len(chance) == len(same) and all(math.isclose(chance[(r.ticker_id, r.window)], r.probability[2], rel_tol=1e-4, abs_tol=1e-6) for r in same)
     batch = models.batch_scored(made.select("window", F.element_at("x", -1).alias("last")), lambda: lambda x: np.asarray(x, float).sum(axis=1), "last", 40).collect()
     assert all(math.isclose(r.score, sum(r["last"]), rel_tol=1e-6, abs_tol=1e-6) for r in batch)
 
