@@ -9,14 +9,18 @@ slices: every slice starts from the sums of the slices before it.
 
 from __future__ import annotations
 
+import math
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import starts
 from tidemark.operators.ranks import SLICE_ROWS, scan
 from tidemark.sources.fixtures import GROUP
 
@@ -107,13 +111,14 @@ def bbo_stab(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = 256
 
 
 class Side:
-    """Levels of one side; ``best`` is the ten best, rebuilt only when a change touches them."""
+    """Levels of one side; the ten best, ``px`` and ``sz``, are ``stale`` once a change touches one of them."""
 
-    __slots__ = ("sign", "volume", "prices", "px", "sz")
+    __slots__ = ("sign", "volume", "prices", "px", "sz", "edge", "stale", "bytes")
 
     def __init__(self, sign: int) -> None:
         self.sign, self.volume, self.prices = sign, {}, []
         self.px, self.sz = [0] * DEPTH, [0] * DEPTH
+        self.edge, self.stale, self.bytes = math.inf, False, None
 
     def change(self, px: int, delta: int) -> None:
         key = -px * self.sign
@@ -126,6 +131,8 @@ class Side:
         elif had > 0:
             del self.volume[key]
             del self.prices[bisect_left(self.prices, key)]
+        if key <= self.edge:
+            self.stale = True
 
     def at(self, px: int) -> int:
         """The volume of a level, 0 if it isn't there."""
@@ -136,6 +143,14 @@ class Side:
         pad = [0] * (DEPTH - len(top))
         self.px = [-p * self.sign for p in top] + pad
         self.sz = [self.volume[p] for p in top] + pad
+        self.edge, self.stale = math.inf if pad else top[-1], False
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """The ten best prices and volumes as 64-bit integers."""
+        if self.stale or self.bytes is None:
+            self.rebuild()
+            self.bytes = (array("q", self.px).tobytes(), array("q", self.sz).tobytes())
+        return self.bytes
 
 
 CHANGE = ("side", "px", "delta")
@@ -170,17 +185,21 @@ class Opened:
 
     def read(self, batch: pa.RecordBatch) -> Iterator[tuple[int, bool]]:
         """(row, whether it has changes), once they are on the book; a new slice starts with an empty one."""
-        ids = list(zip(*(batch.column(k).to_pylist() for k in self.keys)))
+        if not batch.num_rows:
+            return
+        at = lambda i: tuple(batch.column(k)[i].as_py() for k in self.keys)
+        fresh = starts(batch, self.keys)
+        fresh[0], self.here = at(0) != self.here, at(-1)
         lists = batch.column("changes")
-        cuts = lists.offsets.to_pylist()
+        cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
         side, px, delta = (lists.flatten().field(c).to_pylist() for c in CHANGE)
-        base = cuts[0] if cuts else 0
-        for i, key in enumerate(ids):
-            if key != self.here:
-                self.here, self.bid, self.ask = key, Side(1), Side(-1)
-            lo, hi = cuts[i] - base, cuts[i + 1] - base
+        bid, ask = self.bid, self.ask
+        for i, new in enumerate(fresh.tolist()):
+            if new:
+                bid, ask = self.bid, self.ask = Side(1), Side(-1)
+            lo, hi = cuts[i], cuts[i + 1]
             for j in range(lo, hi):
-                (self.bid if side[j] == 1 else self.ask).change(px[j], delta[j])
+                (bid if side[j] == 1 else ask).change(px[j], delta[j])
             yield i, hi > lo
 
 
@@ -208,16 +227,14 @@ def snapshots(messages: DataFrame, keys: list[str] = GROUP, slice_rows: int = SL
         for batch in batches:
             seqs, keep, books = batch.column("seq").to_pylist(), [], ([], [], [], [])
             for i, changed in book.read(batch):
-                bid, ask = book.bid, book.ask
-                if changed:
-                    bid.rebuild()
-                    ask.rebuild()
                 if seqs[i] and (emit == "all" or changed):
                     keep.append(i)
-                    for out, value in zip(books, (bid.px, bid.sz, ask.px, ask.sz)):
+                    for out, value in zip(books, (*book.bid.packed(), *book.ask.packed())):
                         out.append(value)
             rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in [*keys, "seq", "ts_us", "snap_us"]], *[pa.array(b, pa.list_(pa.int64())) for b in books]], names=[*keys, "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"])
+            cuts = pa.array(np.arange(len(keep) + 1) * DEPTH, pa.int32())
+            arrays = [pa.ListArray.from_arrays(cuts, pa.Array.from_buffers(pa.int64(), len(keep) * DEPTH, [None, pa.py_buffer(b"".join(b))])) for b in books]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in [*keys, "seq", "ts_us", "snap_us"]], *arrays], names=[*keys, "seq", "ts_us", "snap_us", "bid_px", "bid_sz", "ask_px", "ask_sz"])
 
     return dealt.mapInArrow(fold, schema)
 

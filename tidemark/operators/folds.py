@@ -28,20 +28,23 @@ class Fold:
         return []
 
 
-def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The batch cut where a key changes."""
-    n = batch.num_rows
-    if n == 0:
-        return
-    new = np.zeros(n, bool)
+def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Which rows have another key than the row before; the first hasn't."""
+    new = np.zeros(batch.num_rows, bool)
     for k in keys:
         column = batch.column(k)
         same = pc.fill_null(pc.equal(column[1:], column[:-1]), False)
         both_null = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
         new[1:] |= ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
-    cuts = [0, *np.flatnonzero(new).tolist(), n]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
+    return new
+
+
+def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch cut where a key changes."""
+    if batch.num_rows:
+        cuts = [0, *np.flatnonzero(starts(batch, keys)).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
 
 
 def halo(df: DataFrame, place: Column, width: int, back: int, ahead: int) -> DataFrame:

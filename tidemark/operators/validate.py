@@ -69,7 +69,7 @@ def group_accuracy(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 def day_book(messages: DataFrame, truth: DataFrame, keys: list[str] = GROUP, slice_rows: int = book.SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
     """(snapshots, accuracy) of every day: gate, fold, match while the market is open, count."""
     snaps = book.snapshots(session_gate(messages, truth, keys=keys), keys, slice_rows)
-    open_ = compared(snaps, truth, keys).join(F.broadcast(bounds(truth, keys)), keys).where("ts_us between open_us and close_us")
+    open_ = compared(snaps, truth, keys).join(bounds(truth, keys), keys).where("ts_us between open_us and close_us")
     return snaps, group_accuracy(open_, keys)
 
 
@@ -116,7 +116,7 @@ def offline(snaps: DataFrame, truth: DataFrame, tolerance_us: int = 5000, keys:
 
 def gated(rows: DataFrame, truth: DataFrame, tolerance_us: int = 5000, margin_us: int = SECOND, keys: list[str] = GROUP) -> DataFrame:
     """Compared rows near enough to their quote, in the quotes' range widened by the margin."""
-    near = rows.where(F.col("ts_us") >= SECOND).join(F.broadcast(bounds(truth, keys)), keys).where(F.col("ts_us") >= F.col("open_us") - margin_us)
+    near = rows.where(F.col("ts_us") >= SECOND).join(bounds(truth, keys), keys).where(F.col("ts_us") >= F.col("open_us") - margin_us)
     near = prefix_cut(cut(near), F.col("ts_us") > F.col("close_us") + margin_us, keys)
     return near.where(asof.within(F.col("ts_us") - F.col("t_us"), tolerance_us))
 

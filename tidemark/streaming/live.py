@@ -77,7 +77,8 @@ class Ladder:
         side = self.side
         while self.waiting and (len(side.prices) < book.DEPTH or self.best(self.waiting[0]) < side.prices[book.DEPTH - 1]):
             self.load(self.waiting[0])
-        side.rebuild()
+        if side.stale:
+            side.rebuild()
 
     def save(self) -> list[int]:
         """Write the buckets that were touched; the buckets that have levels now."""
