@@ -1,13 +1,14 @@
 """Phrase collocations by the stripes pattern.
 
-A stripe is a prefix of one to four words with an associative counter of the words that follow it.  A task makes the stripes
-of a block of text; stripes of one prefix are merged element by element, counter by counter, so that
-a prefix which half of all text has is no single row.  The empty entry of a stripe counts the prefix itself: merged stripes give
-the counts of all extensions, the totals of the prefixes and, as the largest entry of a stripe and the largest entry that
-ends in the same words, how often a phrase is part of a longer one.
-
-Stripes are made level by level: a prefix is followed, and a word enters its counter, where the prefix and the words after its
-first one occur ``least`` times, as every part of a frequent phrase does.  Tasks know frequent phrases
+A stripe is a prefix of none to four words with an associative counter of the words that follow it.  A task keeps the stripes of
+its texts and adds them up element by element; so are those of all tasks, counter by counter, so that
+a prefix which half of all text has is no single row.  The entry of a word in a stripe is the count of the prefix and the word, hence the
+total of the stripe that this longer prefix has; so merged stripes give the counts of all extensions, the totals of all prefixes and, as
+the largest entry of a stripe and the largest entry that ends in the same words, how often a phrase is part of a longer one.
+
+Stripes are made level by level.  A word enters the counter of a prefix where the prefix, and the words after its
+first one, occur ``least`` times, as every part of a frequent phrase does; where prefixes are single words, pairs of words are counted by
+hash before, and a pair enters where its hash occurs ``least`` times.  Tasks know what is frequent
 by a bitmap of hashes of a fixed size, which may let others through, never stops one of them, and changes the work and not the counts.
 
 Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line ends, and pieces into words at blanks and tabs.  A null
@@ -32,7 +33,8 @@ from tidemark.llm import common
 LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 26  # of the bitmap of a level: 8 MB, whatever the corpus
 BITMAP = 32768  # bits of one row of Spark's bitmaps
-BLOCK, SALTS = 8 << 20, 64
+BLOCK, SALTS = 2 << 20, 64
+HELD = 1 << 19  # cells or pairs that a task holds, and those of a block, before it adds them up or hands them on
 
 WORD, BLANK, BREAK = 0, 1, 2
 KINDS = np.zeros(256, np.uint8)
@@ -112,7 +114,7 @@ def known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, f) of (text, lang)."""
+    """(lang, word, f) of (text, lang): the stripe of the empty prefix, entry by entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, max_bytes=BLOCK):
@@ -125,8 +127,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("c").alias("f"))
 
 
-def bitmap(phrases: DataFrame, k: int) -> np.ndarray:
-    """The bitmap of (lang, phrase) of k words each; ``BITS`` bits reach the driver, however many phrases there are."""
+def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
+    """(slot): where the bitmap has the pairs of words whose hash occurs ``least`` times or more."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        ids, count = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(count)], names=["h", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in common.small_batches(batches, max_bytes=BLOCK):
+            words = Words(batch)
+            if len(words.word):
+                for h, whole in words.hashes(2):
+                    pass
+                held.append(h[whole])
+            if sum(map(len, held)) > HELD:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
+
+    sums = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return sums.where(F.col("c") >= least).select(F.col("h").bitwiseAND(BITS - 1).alias("slot"))
+
+
+def phrase_slots(phrases: DataFrame, k: int) -> DataFrame:
+    """(slot) of (lang, phrase) of k words each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +161,11 @@ def bitmap(phrases: DataFrame, k: int) -> np.ndarray:
             h = [h for h, _ in words.hashes(k)][-1]
             yield pa.RecordBatch.from_arrays([pa.array(slots(h[::k]))], names=["slot"])  # every k-th word starts a phrase
 
-    found = phrases.select("lang", "phrase").mapInArrow(run, "slot long")
+    return phrases.select("lang", "phrase").mapInArrow(run, "slot long")
+
+
+def bitmap(found: DataFrame) -> np.ndarray:
+    """The bitmap of slots; ``BITS`` bits reach the driver, however many slots there are."""
     rows = found.groupBy((F.floor(F.col("slot") / BITMAP)).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for part, bits in rows:
@@ -142,27 +173,64 @@ def bitmap(phrases: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def stripes(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
-    """(lang, prefix, words, counts): the stripes of prefixes of k words, a block of text each; the null word counts the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+class Stripes:
+    """The stripes of a task, as cells (lang, prefix, word, count); equal ones are added up when there are many."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, cells: pa.Table) -> None:
+        self.parts.append(cells)
+        self.rows += cells.num_rows
+        if self.rows > HELD:
+            self.parts = [self.merged()]
+            self.rows = self.parts[0].num_rows
+
+    def merged(self) -> pa.Table:
+        return pa.concat_tables(self.parts).group_by(["lang", "prefix", "word"]).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "word", "count"])
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """The stripes, (lang, prefix, words, counts); none are held afterwards."""
+        if self.parts:
+            table = self.merged().group_by(["lang", "prefix"]).aggregate([("word", "list"), ("count", "list")])
+            yield from table.rename_columns(["lang", "prefix", "words", "counts"]).to_batches(max_chunksize=10_000)
+        self.parts, self.rows = [], 0
+
+
+def stripes(docs: DataFrame, k: int, prefixes: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
+    """(lang, prefix, words, counts): the stripes of prefixes of k words of each task, by bitmaps of the frequent prefixes or, for k = 1, pairs."""
+    held = docs.sparkSession.sparkContext.broadcast((prefixes, pairs))
+
+    def cells(words: Words) -> pa.Table:
+        prefixes, pairs = held.value
+        h = good = longer = whole = None
+        for pair in words.hashes(k + 1):
+            (h, good), (longer, whole) = (longer, whole), pair
+        if pairs is not None:
+            at = np.flatnonzero(whole)
+            at = at[known(pairs, longer[at])]
+        else:
+            good = good & known(prefixes, h)
+            at = np.flatnonzero(whole[:-1] & good[:-1] & good[1:])  # the words after the first are frequent as well
+        ids = words.ids(at, k)
+        wide = len(words.names)
+        _, here, prefix = np.unique(ids, return_index=True, return_inverse=True)
+        cell, count = np.unique(prefix * wide + words.word[at + k], return_counts=True)
+        owner, word = np.divmod(cell, wide)
+        first = at[here]
+        take = pa.array(owner)
+        return pa.table([words.langs.take(pa.array(words.lang[first])).take(take), words.phrases(first, k).take(take), words.names.take(pa.array(word)).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "prefix", "word", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Stripes()
         for batch in common.small_batches(batches, max_bytes=BLOCK):
             words = Words(batch)
-            h, whole = [x for x in words.hashes(k)][-1] if len(words.word) else (np.zeros(0, np.uint64), np.zeros(0, bool))
-            good = whole & known(held.value, h)
-            at = np.flatnonzero(good)
-            ids, here, prefix, total = np.unique(words.ids(at, k), return_index=True, return_inverse=True, return_counts=True)
-            here = at[here]
-            more = words.joined[at + k - 1] & good[np.minimum(at + 1, len(good) - 1)] if len(at) else good  # the words after the first are frequent as well
-            wide = len(words.names) + 1
-            cells, count = np.unique(prefix[more] * wide + words.word[at[more] + k] + 1, return_counts=True)
-            cells, count = np.append(cells, np.arange(len(ids)) * wide), np.append(count, total)
-            order = np.argsort(cells, kind="stable")
-            owner, word = np.divmod(cells[order], wide)
-            cuts = pa.array(np.searchsorted(owner, np.arange(len(ids) + 1)), pa.int32())
-            nexts = words.names.take(pa.array(word - 1, mask=word == 0)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[here])), words.phrases(here, k), pa.ListArray.from_arrays(cuts, nexts), pa.ListArray.from_arrays(cuts, pa.array(count[order]))], names=["lang", "prefix", "words", "counts"])
+            if len(words.word) > k:
+                kept.add(cells(words))
+            if kept.rows > HELD // 2:
+                yield from kept.taken()
+        yield from kept.taken()
 
     return docs.mapInArrow(run, "lang string, prefix string, words array<string>, counts array<long>")
 
@@ -174,23 +242,25 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 
 
 def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(cells, sizes): the merged stripes of all prefixes under ``longest`` words, with ``k``, and the number ``n`` of words of each language.
+    """(cells, sizes): the frequent entries (lang, prefix, word, f) of the merged stripes of all prefixes under ``longest`` words, and the number ``n`` of words of each language.
 
     ``docs`` is (text, lang).
     """
     counts = common.staged(word_counts(docs), "words")
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent, cells = counts.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase")), None
+    cells = counts.where(F.col("f") >= least).select("lang", F.lit("").alias("prefix"), "word", "f")
+    level, pairs = cells, bitmap(frequent_pairs(docs, least)) if longest > 1 else None
     for k in range(1, longest):
-        level = common.staged(merged(stripes(docs, k, bitmap(frequent, k)), least).withColumn("k", F.lit(k)), f"stripes{k}")
-        cells = level if cells is None else cells.unionByName(level)
-        frequent = extensions(level)
+        known_prefixes = bitmap(phrase_slots(entries(level), k)) if k > 1 else None
+        level = common.staged(merged(stripes(docs, k, known_prefixes, pairs if k == 1 else None), least), f"stripes{k}")
+        cells = cells.unionByName(level)
     return cells, sizes
 
 
-def extensions(cells: DataFrame) -> DataFrame:
+def entries(cells: DataFrame) -> DataFrame:
     """(lang, phrase, prefix, f): the phrases that entries of stripes stand for."""
-    return cells.where("word is not null").select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "prefix", "f")
+    phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
+    return cells.select("lang", phrase.alias("phrase"), "prefix", "f")
 
 
 def subsumed(cells: DataFrame) -> DataFrame:
@@ -198,7 +268,7 @@ def subsumed(cells: DataFrame) -> DataFrame:
 
     It is the largest entry of the phrase's own stripe, or of the entries whose words but the first are the phrase.
     """
-    longer = extensions(cells)
+    longer = entries(cells.where("prefix <> ''"))
     rest = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     both = longer.select("lang", F.col("prefix").alias("phrase"), "f").unionByName(longer.select("lang", rest.alias("phrase"), "f"))
     return both.groupBy("lang", "phrase").agg(F.max("f").alias("within"))
@@ -209,8 +279,8 @@ def scored(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 
     The score is floor(1000 a n / (l r)) in decimal arithmetic of 38 digits.
     """
-    totals = cells.where("word is null").select("lang", F.col("prefix").alias("part"), "f")
-    phrases = extensions(cells).select("lang", "phrase", F.col("f").alias("a"))
+    totals = entries(cells).select("lang", F.col("phrase").alias("part"), "f")
+    phrases = entries(cells.where("prefix <> ''")).select("lang", "phrase", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     cut = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(words) - 1)))
     cut = cut.withColumn("left", F.concat_ws(" ", F.slice(words, 1, F.col("k")))).withColumn("right", F.concat_ws(" ", F.slice(words, F.col("k") + 1, F.size(words))))
