@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,8 +159,28 @@ def test_language_equals_a_scalar_scorer(spark, documents):
     assert total == 0 or right / total >= 0.9
 
 
+def by_hand(model, text):
+    """A text's toxicity, word by word: the mean of the table's values over the word's n-grams with a blank on each side, the greatest of them, a logistic curve."""
+    folded = "".join(chr(c + 32) if 65 <= c <= 90 else chr(c) if chr(c).isalnum() and c < 128 or c >= 128 else " " for c in (text or "").encode())
+    best = None
+    for word in folded.split(" "):
+        if not word:
+            continue
+        padded, values = f" {word} ", []
+        for n in range(3, 7):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for k, c in enumerate(padded[i : i + n]):
+                    h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+                    h ^= h >> 13
+                values.append(model.grams[((h * (2654435769 + 2 * n)) & 0xFFFFFFFF) >> (32 - len(model.grams).bit_length() + 1)])
+        value = sum(values) / len(values)
+        best = value if best is None else max(best, value)
+    return 0.0 if best is None else 1 / (1 + math.exp(-max(-30, min(30, best + model.bias))))
+
+
 @given
-def test_toxicity_equals_a_scalar_scorer(spark, documents):
+def test_toxicity_equals_a_score_by_hand(spark, documents):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     model = toxicity.train(spark, docs, DATA)
     got = {r["doc_id"]: r for r in rows_of(spark, "op8_toxicity")}
@@ -167,16 +188,42 @@ def test_toxicity_equals_a_scalar_scorer(spark, documents):
     for r in documents:
         out = got[r["doc_id"]]
         assert out["held_out"] == (bucket(r["doc_id"], 4) == 2) and out["predicted"] == int(out["score"] >= 0.3)
-        folded = toxicity.FOLD[np.frombuffer((r["text"] or "").encode(), np.uint8)].tobytes()
-        if not folded.strip():
-            assert out["score"] == 0
-    data, offsets = toxicity.common.text_bytes(langid.pa.array([r["text"] for r in documents[:60]]))
-    for i, r in enumerate(documents[:60]):  # each text alone
-        one = toxicity.FOLD[data[offsets[i] : offsets[i + 1]]]
-        if len(one) and model.known:
-            text, top = toxicity.peaks(one, np.array([0, len(one)]), model.grams.astype(np.float32), 1)
-            want = 1 / (1 + math.exp(-max(-30, min(30, top[0] + model.bias)))) if len(top) else 0
-            assert abs(want - got[r["doc_id"]]["score"]) < 1e-6
+    # A word at a text's end has no blank beyond it, so these texts have one on either side.
+    padded = spark.createDataFrame([(r["doc_id"], " " + (r["text"] or "") + " ") for r in documents[:100]], "doc_id long, text string")
+    for r in toxicity.score(padded, model, ["doc_id", "text"]).collect():
+        assert abs(by_hand(model, r.text) - r.score) < 1e-5
+
+
+@given
+def test_near_duplicates_lose_no_link(spark):
+    """Every id divisible by 4 against all rows: no pair at a probability Jaccard of 0.8 or more lies in two classes."""
+    folder = "/root/testdata/sf0.01"
+    rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    comp = {r.doc_id: r.class_id for r in queries.QUERIES["op1_near_duplicates"](spark, folder).collect()}
+
+    def bag(text):
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+    def jaccard(a, b):
+        """The sum over shared x of 1 / (the sum over y of max(a[y] / a[x], b[y] / b[x]))."""
+        names = list(a.keys() | b.keys())
+        x, y = np.array([a[n] for n in names], float), np.array([b[n] for n in names], float)
+        both = np.flatnonzero((x > 0) & (y > 0))
+        return sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in both)
+
+    bags = {r.doc_id: bag(r.text) for r in rows}
+    holders = defaultdict(set)
+    for ident, b in bags.items():
+        for x in b:
+            holders[x].add(ident)
+    links = lost = 0
+    for ident in (i for i in bags if i % 4 == 0):
+        shared = Counter(other for x in bags[ident] for other in holders[x] if other != ident)
+        for other, n in shared.items():
+            if n > 0 and jaccard(bags[ident], bags[other]) >= 0.8 + 1e-9:
+                links, lost = links + 1, lost + (comp[ident] != comp[other])
+    assert links > 15 and lost == 0
 
 
 @given

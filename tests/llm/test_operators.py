@@ -567,3 +567,15 @@ def test_mix_of_odd_rows(spark, odd, none):
     out = mixing.mixing_stage(spark, odd, "")
     assert out.columns == odd.columns and all(n <= 4 for n in Counter(r.doc_id for r in out.collect()).values())
     assert count(mixing.mixing_stage(spark, none, "")) == 0
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i} " * 50, f"l{i % 40}", None, None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    everything = F.lit(True)
+    assert len(langid.training_rows(docs, everything, 600)) == 2000
+    found = Counter(lang for _, lang in langid.training_rows(docs, everything, 600, all_rows=400))
+    assert len(found) == 40 and max(found.values()) <= 10
+    few = langid.training_rows(docs, everything, 600, all_bytes=100_000)
+    assert len({lang for _, lang in few}) == 40 and sum(len(t) for t, _ in few) <= 100_000
+    assert len(langid.training_rows(docs, everything, 600, all_bytes=1)) == 40
