@@ -104,18 +104,25 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 14, dim: int = 16, epoc
     return LanguageModel(labels, logits, bias, temperature, least)
 
 
-def training_rows(docs: DataFrame, usable: Column, per_label: int, longest: int = 1 << 15, labels: int = 1000) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, usable: Column, per_label: int, longest: int = 1 << 15, labels: int = 1000, all_rows: int = 60_000, all_bytes: int = 128 << 20) -> list[tuple[str, str]]:
     """At most ``per_label`` rows of at most ``longest`` bytes of each of the ``labels`` commonest labels, chosen by a hash
-    of the row: the documented bounds of the sample."""
+    of the row: the documented bounds of the sample.
+
+    The driver holds ``all_rows`` rows and ``all_bytes`` bytes of text at most: each label gets an equal share of both, and one row at least.
+    """
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
     if not sizes:
         return []
+    per_label, most = min(per_label, max(1, all_rows // len(sizes))), all_bytes // len(sizes)
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.2 * per_label / r["count"]))])
     point = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(point < shares[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id", "lang", "text").alias("h"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    return [(r["text"], r["lang"]) for r in picked.withColumn("place", place).where(F.col("place") <= per_label).orderBy("h", "text").collect()]
+    by_hash = W.partitionBy("lang").orderBy("h", "text")
+    size = F.sum(F.octet_length("text")).over(by_hash.rowsBetween(W.unboundedPreceding, 0))
+    chosen = picked.withColumn("place", F.row_number().over(by_hash)).withColumn("size", size)
+    chosen = chosen.where((F.col("place") <= per_label) & ((F.col("size") <= most) | (F.col("place") == 1)))
+    return [(r["text"], r["lang"]) for r in chosen.orderBy("h", "text").collect()]
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
