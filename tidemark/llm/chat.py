@@ -3,7 +3,8 @@
 Calls and results meet by (conversation, identifier).  A call may name one earlier call that it
 depends on; its level is the length of that chain, found by pointer doubling, so that a chain of n
 calls takes log2(n) joins.  ``position`` numbers a conversation's calls by (level, turn), which is a topological order,
-those of a cycle last.  The joins are shuffled hash joins whose hashed side has one row an identifier.  Arguments
+those of a cycle last.  Links are shuffled hash joins whose hashed side has one row an identifier and no texts; the texts of
+results, which may be long, are merged in by sorted identifiers, which can spill.  Arguments
 are JSON, checked against the schema of the tool named.  Every call, every result without a
 call and every plain message becomes one line of canonical JSON: sorted keys, no blanks.
 
@@ -103,11 +104,13 @@ def linked(calls: DataFrame, results: DataFrame, messages: DataFrame) -> DataFra
     depth = levels(heads.select(F.col("row").alias("key"), F.col("up").alias("parent"))).withColumnRenamed("key", "row")
     graph = heads.join(hashed(depth), "row").select("key", F.col("row").alias("head"), "dangling", "level", "cyclic")
     places = positioned(slim.drop("depends_on").join(hashed(graph), "key")).select("row", "level", "dangling", "cyclic", (F.col("row") != F.col("head")).alias("duplicate"), "position")
-    replies = results.groupBy(key).agg(F.min(F.struct("turn", "text")).alias("reply"))
-    both = calls.join(hashed(replies), "key", "left").join(hashed(places), "row").withColumn("errors", errors(F.col("name"), F.col("arguments")))
+    answered = results.groupBy(key).agg(F.count(F.lit(1)).alias("answers"))  # identifiers alone: the hashed side doesn't spill, and holds no texts
+    places = slim.select("key", "row").join(hashed(answered), "key", "left").join(hashed(places), "row").drop("key")
+    replies = results.groupBy(key).agg(F.min(F.struct("turn", "text")).alias("reply")).hint("merge")
+    both = calls.join(hashed(places), "row").join(replies, "key", "left").withColumn("errors", errors(F.col("name"), F.col("arguments")))
     status = (
         F.when(F.col("duplicate"), "duplicate").when(F.size("errors") > 0, "invalid").when(F.col("dangling"), "dangling")
-        .when(F.col("cyclic"), "cycle").when(F.col("reply").isNull(), "no_result").otherwise("ok")
+        .when(F.col("cyclic"), "cycle").when(F.col("answers").isNull(), "no_result").otherwise("ok")
     )
     both = both.select("conv_id", "turn", "call_id", "name", "arguments", "level", "position", "errors", status.alias("status"), F.col("reply.text").alias("result"))
     keep_nulls = {"ignoreNullFields": "false"}
