@@ -359,6 +359,27 @@ def test_reports_are_sorted(spark):
         assert keys == sorted(keys) and len(keys) >= 9
 
 
+def test_what_is_staged_goes_with_the_driver(tmp_path):
+    """A driver of its own: its folders are there while it runs, and gone afterwards."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from tidemark.operators.materialise import scratch_folder, staged
+spark = SparkSession.builder.master("local").config("spark.checkpoint.dir", "{tmp_path}/shared").config("spark.ui.enabled", "false").getOrCreate()
+folder = scratch_folder(spark, "scratch")
+assert staged(spark.range(5), "kept").count() == 5
+spark.range(3).write.parquet(folder + "/in")
+print("THERE", sum(len(files) > 0 for _, _, files in os.walk("{tmp_path}/shared")))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert "THERE 2" in out.stdout, out.stderr[-500:]
+    left = [f for _, _, files in os.walk(tmp_path / "shared") for f in files]
+    assert left == []
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, 1, [3], [4]), (1, 6, 2, [5], [6])], "ticker_id int, day_id int, seq long, bid_px array<long>, ask_px array<long>")
     sinks.write_partitioned(sinks.with_top_columns(rows), str(tmp_path / "a"))

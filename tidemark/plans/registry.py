@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, book, datasets, features, labels, models, normalise, reports, validate
-from tidemark.operators.materialise import fresh_folder, staged
+from tidemark.operators.materialise import scratch_folder, staged
 from tidemark.plans import oracles as o
 from tidemark.sources import fixedrec, sinks
 from tidemark.sources.fixtures import GROUP, feed_folder, fixture, keyed, levels, quote_folder
@@ -342,7 +342,7 @@ def double_alpha(spark, d):
 @register("thresholds_stored", o.query([*SNAP, o.alphas([0.22])], "SELECT round(alpha_down, 9) AS alpha_down, round(alpha_up, 9) AS alpha_up, n FROM al"))
 def thresholds_stored(spark, d):
     """Fitted and stored by the first call, read by the second."""
-    path = f"{fresh_folder(spark, 'thresholds')}/alphas"
+    path = f"{scratch_folder(spark, 'thresholds')}/alphas"
     for _ in range(2):
         alphas = datasets.fitted_thresholds(spark, path, lambda: pooled_alphas(spark, d))
     return alphas.select(F.round("alpha_down", 9).alias("alpha_down"), F.round("alpha_up", 9).alias("alpha_up"), "n")
@@ -573,7 +573,7 @@ def followed(spark, path: str, kind: str, rows, pieces: int = 4):
 
 
 def feed_stream(spark, d):
-    m, folder = mbo(spark, d), fresh_folder(spark, "feed")
+    m, folder = mbo(spark, d), scratch_folder(spark, "feed")
     return followed(spark, feed_folder(m, f"{folder}/orders"), "orders", m), folder
 
 
@@ -585,7 +585,7 @@ def live_book(spark, d):
 @register("live_accuracy", o.query([*MT, *o.ALL, *o.COMPARED], f"SELECT {G}, count(*) FILTER (WHERE {o.HIT}) AS matched, count(*) FILTER (WHERE NOT {o.HIT}) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE {o.HIT}) / count(*), 9) AS accuracy FROM cmp GROUP BY {G}"))
 def live_accuracy(spark, d):
     """Messages and quotes as two streams."""
-    folder, (m, t) = fresh_folder(spark, "check"), feeds(spark, d)
+    folder, (m, t) = scratch_folder(spark, "check"), feeds(spark, d)
     sent = followed(spark, feed_folder(m, f"{folder}/orders"), "orders", m)
     told = followed(spark, quote_folder(t, f"{folder}/truth"), "truth", t, 3)
     return live.live_accuracy(sent, told, folder)
@@ -603,7 +603,7 @@ LATE = f"""SELECT {G}, CAST(count(*) FILTER (WHERE seq < top) AS BIGINT) AS late
 
 def late_feed(spark, d, late: str):
     """Every fourth message comes after all others, with its number; the stream is stopped in between and goes on from its checkpoint."""
-    m, folder = mbo(spark, d), fresh_folder(spark, "late")
+    m, folder = mbo(spark, d), scratch_folder(spark, "late")
     for part in ("seq % 4 <> 0", "seq % 4 = 0"):
         m.where(part).write.mode("append").parquet(f"{folder}/in")
         found = live.live_book(spark.readStream.schema(m.schema).parquet(f"{folder}/in"), folder, late)
@@ -635,7 +635,7 @@ HELD_BACK = 120
 @register("reordered_book", BBO_SQL)
 def reordered_book(spark, d):
     """A feed that comes in two parts, of which the first lacks every fourth of the last messages before the cut, put in order."""
-    m, folder = mbo(spark, d), fresh_folder(spark, "reordered")
+    m, folder = mbo(spark, d), scratch_folder(spark, "reordered")
     middle = m.groupBy(*GROUP).agg(F.floor(F.max("seq") / 2).alias("middle"))  # one row a group
     cut = m.join(middle, GROUP)
     early = (F.col("seq") <= F.col("middle")) & ~((F.col("seq") % 4 == 0) & (F.col("seq") > F.col("middle") - HELD_BACK // 2))
@@ -648,19 +648,19 @@ def reordered_book(spark, d):
 @register("fixedrec_files", o.query(o.given("mbo"), f"SELECT 'mbo_' || ticker_id || '_' || day_id || '.bin' AS file, seq, ts_us, event_type, order_id, size, price, direction FROM mbo"))
 def fixedrec_files(spark, d):
     """One file of order records a group, written to the shared folder and read again."""
-    return fixedrec.read_fixed(spark, feed_folder(mbo(spark, d), fresh_folder(spark, "records")), "orders")
+    return fixedrec.read_fixed(spark, feed_folder(mbo(spark, d), scratch_folder(spark, "records")), "orders")
 
 
 @register("truth_files", o.query(MT, f"SELECT 'truth_' || ticker_id || '_' || day_id || '.bin' AS file, row_number() OVER (PARTITION BY {G} ORDER BY tseq) AS seq, ts_us, bid_px, bid_sz, ask_px, ask_sz FROM truth"))
 def truth_files(spark, d):
     """One file of quote records a group."""
-    return fixedrec.read_fixed(spark, quote_folder(feeds(spark, d)[1], fresh_folder(spark, "quotes")), "truth")
+    return fixedrec.read_fixed(spark, quote_folder(feeds(spark, d)[1], scratch_folder(spark, "quotes")), "truth")
 
 
 @register("snapshot_files", o.query(o.given("snap"), f"""SELECT 'snap_' || ticker_id || '_' || day_id || '.bin' AS file, row_number() OVER (PARTITION BY {G}, l ORDER BY seq) AS seq, ts_us, l AS level, b0 - l AS bid_px, 100 + (seq*7 + l*13) % 500 AS bid_sz, a0 + l AS ask_px, 100 + (seq*11 + l*17) % 500 AS ask_sz FROM snap, range(10) t(l)"""))
 def snapshot_files(spark, d):
     """One file of ten-level records a group, read in ranges of 100 records, a row for each level."""
-    folder = fresh_folder(spark, "snapshots")
+    folder = scratch_folder(spark, "snapshots")
     fixedrec.write_records(levels(snap(spark, d)), folder, "snapshots", GROUP, "snap_{}_{}.bin")
     rows = fixedrec.read_fixed(spark, folder, "snapshots", partition_bytes=24_800)
     level = F.posexplode(F.arrays_zip("bid_px", "bid_sz", "ask_px", "ask_sz")).alias("level", "v")
@@ -670,7 +670,7 @@ def snapshot_files(spark, d):
 @register("snapshot_table", o.query([*MTG, *o.BBO], f"SELECT {G}, count(*) AS n, max(seq) AS last, sum(bid_px) AS bids, sum(ask_px) AS asks FROM bb GROUP BY {G}"))
 def snapshot_table(spark, d):
     """The snapshots of gated days, written one directory a group and read again with their best prices as columns."""
-    folder = fresh_folder(spark, "table")
+    folder = scratch_folder(spark, "table")
     sinks.write_partitioned(sinks.with_top_columns(stored(spark, d)[0]), folder)
     rows = spark.read.parquet(folder).groupBy(*GROUP)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.sum("b0").alias("bids"), F.sum("a0").alias("asks"))
@@ -679,7 +679,7 @@ def snapshot_table(spark, d):
 @register("split_tables", o.query(o.given("mbo", "calendar"), "SELECT ticker_id, split, count(*) AS n, count(DISTINCT mbo.day_id) AS days FROM mbo JOIN calendar USING (day_id) GROUP BY ticker_id, split"))
 def split_tables(spark, d):
     """Days put together by ticker and split, and read again."""
-    folder = fresh_folder(spark, "splits")
+    folder = scratch_folder(spark, "splits")
     datasets.concatenated(mbo(spark, d), fixture(spark, d, "calendar"), folder)
     return spark.read.parquet(folder).groupBy("ticker_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day_id").alias("days"))
 
