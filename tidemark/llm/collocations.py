@@ -6,9 +6,8 @@ a prefix which half of all text has is no single row.  The entry of a word in a
 total of the stripe that this longer prefix has; so merged stripes give the counts of all extensions, the totals of all prefixes and, as
 the largest entry of a stripe and the largest entry that ends in the same words, how often a phrase is part of a longer one.
 
-Stripes are made level by level.  A word enters the counter of a prefix where the prefix, and the words after its
-first one, occur ``least`` times, as every part of a frequent phrase does; where prefixes are single words, pairs of words are counted by
-hash before, and a pair enters where its hash occurs ``least`` times.  Tasks know what is frequent
+Stripes are made level by level.  Phrases whose first words and whose last words are frequent, as those of every part of a frequent
+phrase are, are counted by hash before; those whose hash occurs ``least`` times enter the stripes, which have their words.  Tasks know what is frequent
 by a bitmap of hashes of a fixed size, which may let others through, never stops one of them, and changes the work and not the counts.
 
 Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line ends, and pieces into words at blanks and tabs.  A null
@@ -127,8 +126,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("c").alias("f"))
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """(slot): where the bitmap has the pairs of words whose hash occurs ``least`` times or more."""
+def longer_phrases(words: Words, k: int, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of k + 1 words start, and their hashes: those whose first k words and last k words are frequent by the bitmap (all, without one)."""
+    h = good = longer = whole = None
+    for pair in words.hashes(k + 1):
+        (h, good), (longer, whole) = (longer, whole), pair
+    if prefixes is not None:
+        good = good & known(prefixes, h)
+        whole = whole & good
+        whole[:-1] &= good[1:]
+    at = np.flatnonzero(whole)
+    return at, longer[at]
+
+
+def frequent_slots(docs: DataFrame, k: int, prefixes: np.ndarray | None, least: int) -> DataFrame:
+    """(slot): where the bitmap has the phrases of k + 1 words that may be frequent and whose hash occurs ``least`` times or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(prefixes)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         ids, count = np.unique(np.concatenate(held), return_counts=True)
@@ -138,10 +151,8 @@ def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
         held: list[np.ndarray] = []
         for batch in common.small_batches(batches, max_bytes=BLOCK):
             words = Words(batch)
-            if len(words.word):
-                for h, whole in words.hashes(2):
-                    pass
-                held.append(h[whole])
+            if len(words.word) > k:
+                held.append(longer_phrases(words, k, shared.value)[1])
             if sum(map(len, held)) > HELD:
                 yield counted(held)
                 held = []
@@ -198,21 +209,13 @@ class Stripes:
         self.parts, self.rows = [], 0
 
 
-def stripes(docs: DataFrame, k: int, prefixes: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
-    """(lang, prefix, words, counts): the stripes of prefixes of k words of each task, by bitmaps of the frequent prefixes or, for k = 1, pairs."""
-    held = docs.sparkSession.sparkContext.broadcast((prefixes, pairs))
+def stripes(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
+    """(lang, prefix, words, counts): the stripes of prefixes of k words of each task, with the words that make a frequent phrase by the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cells(words: Words) -> pa.Table:
-        prefixes, pairs = held.value
-        h = good = longer = whole = None
-        for pair in words.hashes(k + 1):
-            (h, good), (longer, whole) = (longer, whole), pair
-        if pairs is not None:
-            at = np.flatnonzero(whole)
-            at = at[known(pairs, longer[at])]
-        else:
-            good = good & known(prefixes, h)
-            at = np.flatnonzero(whole[:-1] & good[:-1] & good[1:])  # the words after the first are frequent as well
+        at, h = longer_phrases(words, k, None)
+        at = at[known(shared.value, h)]
         ids = words.ids(at, k)
         wide = len(words.names)
         _, here, prefix = np.unique(ids, return_index=True, return_inverse=True)
@@ -249,11 +252,10 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[
     counts = common.staged(word_counts(docs), "words")
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     cells = counts.where(F.col("f") >= least).select("lang", F.lit("").alias("prefix"), "word", "f")
-    level, pairs = cells, bitmap(frequent_pairs(docs, least)) if longest > 1 else None
+    prefixes = None
     for k in range(1, longest):
-        known_prefixes = bitmap(phrase_slots(entries(level), k)) if k > 1 else None
-        level = common.staged(merged(stripes(docs, k, known_prefixes, pairs if k == 1 else None), least), f"stripes{k}")
-        cells = cells.unionByName(level)
+        level = common.staged(merged(stripes(docs, k, bitmap(frequent_slots(docs, k, prefixes, least))), least), f"stripes{k}")
+        cells, prefixes = cells.unionByName(level), bitmap(phrase_slots(entries(level), k + 1))
     return cells, sizes
 
 
