@@ -6,8 +6,8 @@ a prefix which half of all text has is no single row.  The entry of a word in a
 total of the stripe that this longer prefix has; so merged stripes give the counts of all extensions, the totals of all prefixes and, as
 the largest entry of a stripe and the largest entry that ends in the same words, how often a phrase is part of a longer one.
 
-Stripes are made level by level.  Phrases whose first words and whose last words are frequent, as those of every part of a frequent
-phrase are, are counted by hash before; those whose hash occurs ``least`` times enter the stripes, which have their words.  Tasks know what is frequent
+Phrases of 2, 3, 4 and 5 words are counted by hash before, each where its first and its last words but one are frequent, as those of every frequent
+phrase are; those whose hash occurs ``least`` times enter the stripes, which have their words.  Tasks know what is frequent
 by a bitmap of hashes of a fixed size, which may let others through, never stops one of them, and changes the work and not the counts.
 
 Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line ends, and pieces into words at blanks and tabs.  A null
@@ -163,18 +163,6 @@ def frequent_slots(docs: DataFrame, k: int, prefixes: np.ndarray | None, least:
     return sums.where(F.col("c") >= least).select(F.col("h").bitwiseAND(BITS - 1).alias("slot"))
 
 
-def phrase_slots(phrases: DataFrame, k: int) -> DataFrame:
-    """(slot) of (lang, phrase) of k words each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = Words(pa.RecordBatch.from_arrays([batch.column("phrase"), batch.column("lang")], names=["text", "lang"]))
-            h = [h for h, _ in words.hashes(k)][-1]
-            yield pa.RecordBatch.from_arrays([pa.array(slots(h[::k]))], names=["slot"])  # every k-th word starts a phrase
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "slot long")
-
-
 def bitmap(found: DataFrame) -> np.ndarray:
     """The bitmap of slots; ``BITS`` bits reach the driver, however many slots there are."""
     rows = found.groupBy((F.floor(F.col("slot") / BITMAP)).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits")).collect()
@@ -198,6 +186,10 @@ class Stripes:
             self.parts = [self.merged()]
             self.rows = self.parts[0].num_rows
 
+    def full(self) -> bool:
+        """Whether there are many even when they are added up."""
+        return len(self.parts) == 1 and self.rows > HELD // 2
+
     def merged(self) -> pa.Table:
         return pa.concat_tables(self.parts).group_by(["lang", "prefix", "word"]).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "word", "count"])
 
@@ -209,29 +201,28 @@ class Stripes:
         self.parts, self.rows = [], 0
 
 
-def stripes(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
-    """(lang, prefix, words, counts): the stripes of prefixes of k words of each task, with the words that make a frequent phrase by the bitmap."""
+def stripes(docs: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
+    """(lang, prefix, words, counts): the stripes of each task, with the words that make a frequent phrase by the bitmaps of phrases of 2, 3, .. words."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def cells(words: Words) -> pa.Table:
-        at, h = longer_phrases(words, k, None)
-        at = at[known(shared.value, h)]
-        ids = words.ids(at, k)
+    def cells(words: Words, k: int, at: np.ndarray) -> pa.Table:
+        """The stripes of the prefixes of k words at these places."""
         wide = len(words.names)
-        _, here, prefix = np.unique(ids, return_index=True, return_inverse=True)
+        _, here, prefix = np.unique(words.ids(at, k), return_index=True, return_inverse=True)
         cell, count = np.unique(prefix * wide + words.word[at + k], return_counts=True)
         owner, word = np.divmod(cell, wide)
-        first = at[here]
-        take = pa.array(owner)
+        first, take = at[here], pa.array(owner)
         return pa.table([words.langs.take(pa.array(words.lang[first])).take(take), words.phrases(first, k).take(take), words.names.take(pa.array(word)).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "prefix", "word", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Stripes()
+        kept, bits = Stripes(), shared.value
         for batch in common.small_batches(batches, max_bytes=BLOCK):
             words = Words(batch)
-            if len(words.word) > k:
-                kept.add(cells(words))
-            if kept.rows > HELD // 2:
+            for k, (h, whole) in enumerate(words.hashes(min(len(bits) + 1, max(len(words.word), 1)))):
+                if k:
+                    at = np.flatnonzero(whole)
+                    kept.add(cells(words, k, at[known(bits[k - 1], h[at])]))
+            if kept.full():
                 yield from kept.taken()
         yield from kept.taken()
 
@@ -252,11 +243,10 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[
     counts = common.staged(word_counts(docs), "words")
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     cells = counts.where(F.col("f") >= least).select("lang", F.lit("").alias("prefix"), "word", "f")
-    prefixes = None
+    frequent: list[np.ndarray] = []
     for k in range(1, longest):
-        level = common.staged(merged(stripes(docs, k, bitmap(frequent_slots(docs, k, prefixes, least))), least), f"stripes{k}")
-        cells, prefixes = cells.unionByName(level), bitmap(phrase_slots(entries(level), k + 1))
-    return cells, sizes
+        frequent.append(bitmap(frequent_slots(docs, k, frequent[-1] if frequent else None, least)))
+    return (cells.unionByName(common.staged(merged(stripes(docs, frequent), least), "stripes")) if frequent else cells), sizes
 
 
 def entries(cells: DataFrame) -> DataFrame:
