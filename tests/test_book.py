@@ -1,6 +1,7 @@
 """The distributed book against a sequential fold, its invariants and its edges."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,6 +175,23 @@ def test_live_book_goes_on_after_a_restart(spark, tmp_path):
     assert snaps.count() == len(rows) and as_twin(snaps) == twin(rows)
 
 
+def test_live_rates(spark, tmp_path):
+    """Equal to plain counts over a restart, late rows and rows without a time included; with lateness old windows are closed."""
+    rows = [(1, 1, t) for t in (0, 5, 1_800_000_000, 9_000_000_000)] + [(2, 1, 7), (2, 1, None)], [(1, 1, 6), (1, 1, 9_000_000_001), (2, 1, None)]
+    whole, closed = str(tmp_path / "whole"), str(tmp_path / "closed")
+    for part in rows:
+        spark.createDataFrame(part, "ticker_id int, day_id int, ts_us long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("ticker_id int, day_id int, ts_us long").parquet(f"{tmp_path}/in")
+        got, late = live.live_rates(stream, whole), live.live_rates(stream, closed, lateness="10 minutes")
+    want = Counter((k, d, None if t is None else t - t % 1_800_000_000) for k, d, t in rows[0] + rows[1])
+    assert {(r.ticker_id, r.day_id, r.starts_us): r.n for r in got.collect()} == dict(want)
+    assert all(r.rate == round(r.n / 1800, 9) for r in got.collect())
+    assert {(r.ticker_id, r.starts_us): r.n for r in late.collect()} == {(1, 0): 2, (1, 1_800_000_000): 1, (1, 9_000_000_000): 2, (2, 0): 1}
+    none = spark.createDataFrame([], "ticker_id int, day_id int, ts_us long")
+    none.write.parquet(f"{tmp_path}/none")
+    assert live.live_rates(spark.readStream.schema(none.schema).parquet(f"{tmp_path}/none"), str(tmp_path / "empty")).count() == 0
+
+
 def test_late_messages_fold_where_they_arrive(spark, tmp_path):
     rows, folder = feed(9), str(tmp_path)
     late = [r for r in rows if r[2] % 4 == 0]

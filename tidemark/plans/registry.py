@@ -597,6 +597,12 @@ def recorder(spark, d):
     return live.recorded(snaps).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
+@register("live_rates", o.query(o.given("mbo"), f"SELECT *, round(n / 1800.0::DOUBLE, 9) AS rate FROM (SELECT {G}, ts_us - ts_us % 1800000000 AS starts_us, count(*) AS n FROM mbo GROUP BY ALL)"))
+def live_rates(spark, d):
+    """Message rates by half hour of the clock, of the feed as a stream."""
+    return live.live_rates(*feed_stream(spark, d))
+
+
 LATE = f"""SELECT {G}, CAST(count(*) FILTER (WHERE seq < top) AS BIGINT) AS late FROM (SELECT *, max(CASE WHEN seq % 4 <> 0 THEN seq END) OVER (PARTITION BY {G}) AS top FROM mbo)
     WHERE seq % 4 = 0 GROUP BY {G} HAVING count(*) FILTER (WHERE seq < top) > 0"""
 

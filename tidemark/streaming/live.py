@@ -31,6 +31,7 @@ from tidemark.sources.fixtures import GROUP
 LEVELS = "bid_px array<long>, bid_sz array<long>, ask_px array<long>, ask_sz array<long>"
 OUT = f"ticker_id int, day_id int, kind string, seq long, ts_us long, snap_us long, {LEVELS}"
 COUNTS = "ticker_id int, day_id int, updates long, matched long, failed long"
+RATES = "ticker_id int, day_id int, starts_us long, n long"
 FIELDS = ("seq", "ts_us", "event_type", "order_id", "size", "price", "direction")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET, CHUNK = 64, 1024
@@ -272,13 +273,13 @@ def recorded(snaps: DataFrame) -> DataFrame:
     return snaps.where(F.col("snap_us") >= validate.SECOND)
 
 
-def run_to_end(stream: DataFrame, folder: str, each) -> None:
+def run_to_end(stream: DataFrame, folder: str, each, mode: str = "append") -> None:
     """Drain a stream through ``each(batch, id)`` until nothing new is there; its state is kept in RocksDB, that of other streams where it was."""
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     former = conf.get(name)
     conf.set(name, ROCKSDB)
     try:
-        query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).start()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).start()
     finally:
         conf.set(name, former)
     try:
@@ -336,7 +337,30 @@ def live_accuracy(messages: DataFrame, quotes: DataFrame, folder: str) -> DataFr
     return out.withColumn("accuracy", validate.accuracy(F.col("matched"), F.col("matched") + F.col("failed")))
 
 
-def rate_stream(rows: DataFrame, minutes: int = 30, lateness: str = "10 minutes") -> DataFrame:
-    """Rows by event-time window of a stream, with a watermark."""
-    timed = rows.withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", lateness)
-    return timed.groupBy(*GROUP, F.window("at", f"{minutes} minutes")).agg(F.count(F.lit(1)).alias("n"))
+def rate_stream(rows: DataFrame, minutes: int = 30, lateness: str | None = None) -> DataFrame:
+    """(keys, starts_us, n): streaming counts of rows by window of event time, aligned to the clock.
+
+    Without ``lateness`` every row counts, however late, and the state is one number a window.  With it windows are
+    forgotten once they lie that far behind the latest time, and rows that come for them after that don't count.
+    Rows without a time have a window of their own, whose start is null; with ``lateness`` they don't count.
+    """
+    timed = rows.withColumn("at", F.timestamp_micros("ts_us"))
+    if lateness is None:
+        width = minutes * 60_000_000
+        return timed.groupBy(*GROUP, (F.col("ts_us") - F.pmod("ts_us", F.lit(width))).alias("starts_us")).agg(F.count(F.lit(1)).alias("n"))
+    counted = timed.withWatermark("at", lateness).groupBy(*GROUP, F.window("at", f"{minutes} minutes")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*GROUP, F.unix_micros("window.start").alias("starts_us"), "n")
+
+
+def live_rates(rows: DataFrame, folder: str, minutes: int = 30, lateness: str | None = None) -> DataFrame:
+    """(keys, starts_us, n, rate): rows and rows a second by window of a stream, drained under ``folder``; a window without rows is left out.
+
+    A micro-batch writes the windows that it changes; the greatest count of a window is its last.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rates/batch={batch_id}")
+
+    run_to_end(rate_stream(rows, minutes, lateness), folder, keep, "update")
+    counts = written(rows.sparkSession, f"{folder}/rates", RATES).groupBy(*GROUP, "starts_us").agg(F.max("n").alias("n"))
+    return counts.withColumn("rate", F.round(F.col("n") / (minutes * 60.0), 9))
