@@ -75,10 +75,11 @@ def near_corpus():
     return texts + texts[:5]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
+def test_near_duplicates_equal_brute_force(spark, block):
     texts = near_corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.comp for r in neardup.classified(docs).collect()}
+    got = {r.doc_id: r.comp for r in neardup.classified(docs, block=block).collect()}
     parent = list(range(len(texts)))
 
     def root(i):
@@ -136,6 +137,36 @@ def test_a_stray_member_does_not_multiply_its_bucket(spark):
     assert first == {(a, b) for a, b in itertools.combinations(inside, 2) if comp[a] != comp[b] and not shares(a, b)}
 
 
+def templated(share, n=64, words=60):
+    """Texts of one template, of which ``share`` of each is its own; every eighth is a near copy of the one before it."""
+    draw, out = random.Random(5), []
+    base = [f"w{i}" for i in range(words)]
+    for k in range(n):
+        if k % 8 == 7:
+            out.append(out[-1] + " end")
+        else:
+            out.append(" ".join(base + [f"u{draw.randrange(10**9)}" for _ in range(int(words * share / (1 - share)))]))
+    return out
+
+
+@pytest.mark.parametrize("share, stays", [(0.3, False), (0.15, True)])
+def test_templates_are_thinned_without_losing_a_link(spark, share, stays):
+    texts = templated(share)
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    bands = neardup.banded(docs.select(F.col("node").cast("string").alias("fp"), "text"))
+    members = bands.select(F.explode("bands").alias("key"), F.col("fp").cast("long").alias("node"), F.col("fp").cast("long").alias("comp"), F.lit(99).alias("others"))
+    got = neardup.thinned(members, docs, block=16).collect()
+    if not stays:  # only near copies meet
+        assert 16 <= len(got) <= 4 * len(texts) and members.count() == 40 * len(texts)
+    meet = {}
+    for r in got:
+        meet.setdefault(r.key, set()).add(r.node)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jp(texts[i], texts[j]) >= 0.8:
+            assert any({i, j} <= m for m in meet.values()), (i, j)
+    assert all(jp(texts[i - 1], texts[i]) >= 0.8 for i in range(7, len(texts), 8))
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c k l m n o p"
     data = np.frombuffer((a + b).encode(), np.uint8)

@@ -15,6 +15,11 @@ its probability Jaccard, and bits that agree by chance only add candidates: a pa
 unless more registers differ than 5.5 standard deviations above what 0.8 gives, which loses one
 link in 20 million at exactly 0.8, however short the texts.
 
+Texts made from one template share bands, though few of them are near copies.  A bucket of which more than a block of members
+lie outside the largest component is therefore thinned by a prefix filter, which loses nothing: a link's common shingles have at least
+0.8 of the weight of either text, so in any order of shingles its first common one comes when 0.2 of the weight has passed at most.
+Shingles are ordered by how many texts have them, rarest first; members meet only where such first shingles are the same.
+
 With 40 bands of 6 registers a pair at exactly 0.8 shares no band with a chance of 5 in a
 million.  ``sketched=False`` verifies every pair of a bucket that lies in two components, without sketches.
 
@@ -33,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,11 +121,53 @@ def meetings(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return meets.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "bands", "sketch")
 
 
+def first_shingles(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, key) from (node, text): the shingles that can be the first common one of a text and another with a probability Jaccard of ``least``.
+
+    Texts linked by ``least`` or more share a key.  The order is by the number of texts that have a shingle; shingles of one text alone have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches):
+            text, shingle, weight = shingles.weighted_shingles(*common.text_bytes(batch.column("text")))
+            total = np.bincount(text, weight, batch.num_rows)
+            node = batch.column("node").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([node, pa.array(shingle.astype(np.int64)), pa.array(weight / total[text])], names=["node", "key", "share"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node long, key long, share double")
+    common_ones = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = each.join(common_ones, "key")
+    node = W.partitionBy("node")
+    upto = F.sum("share").over(node.orderBy("n", "key").rowsBetween(W.unboundedPreceding, 0))
+    before = 1 - F.sum("share").over(node) + upto - F.col("share")  # what the text has alone comes first
+    return rows.withColumn("before", before).where(F.col("before") <= 1 - least + 1e-9).select("node", "key")
+
+
+def thinned(members: DataFrame, texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """(key, node, comp): ``members`` (key, node, comp, others) of mixed buckets, those of crowded buckets keyed by first shingles instead.
+
+    A bucket is crowded if more than ``block`` members lie outside its largest component (``others``).  First shingles that the same texts
+    have are one key, and those of one component none.  Where more than ``block`` texts have a first shingle they stay in their bucket.
+    """
+    crowded = members.where(F.col("others") > block).select("key", "node", "comp")
+    if crowded.isEmpty():
+        return members.select("key", "node", "comp")
+    nodes = common.cut(crowded.select("node", "comp").distinct())
+    firsts = common.cut(first_shingles(texts.join(nodes.select("node"), "node"), least).join(nodes, "node"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    sets = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *marks).where("lo < hi")
+    few = sets.where(F.col("size") <= block).groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    many = firsts.join(sets.where(F.col("size") > block).select("key"), "key").select("node").distinct()
+    stay = crowded.join(many, "node", "left_semi")
+    calm = members.where(F.col("others") <= block)
+    return calm.select("key", "node", "comp").unionByName(stay).unionByName(firsts.join(few, "key").select("key", "node", "comp"))
+
+
 def across(members: DataFrame, least: float = LEAST, registers: int = FINE, block: int = BLOCK, sketched: bool = True) -> DataFrame:
     """Pairs (a < b) of nodes of one bucket, but of different components, whose sketches agree nearly as ``least`` asks (all, unless ``sketched``).
 
-    ``members`` is (key, n, node, comp, bands, sketch).  Every two parts of ``meetings`` meet in a task of their own,
-    which holds 2 x block members at most on average.  A pair is reported by the first band that it shares.
+    ``members`` is (key, node, comp, bands, sketch).  Every two parts of ``meetings`` meet in a task of their own,
+    which holds 2 x block members at most on average.  A pair is reported by the first band that it shares, and by each first shingle (``thinned``).
     """
     meets = meetings(members, block)
     differ = (1 - least + 5.5 * np.sqrt(least * (1 - least) / registers)) * registers if sketched else registers
@@ -130,13 +178,16 @@ def across(members: DataFrame, least: float = LEAST, registers: int = FINE, bloc
         node, comp, part = (group[c].to_numpy() for c in ("node", "comp", "part"))
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         planes = np.split(np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1), BITS, axis=1)
-        band = int(np.flatnonzero((bands == key).all(axis=0))[0])
+        band = next(iter(np.flatnonzero((bands == key).all(axis=0))), None)
         left, right = sorted((np.flatnonzero(part == lo), np.flatnonzero(part == hi)), key=len)
         found = []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
             j = j[np.bitwise_count(np.bitwise_or.reduce([plane[j] ^ plane[i] for plane in planes])).sum(axis=1, dtype=np.int64) <= differ]
-            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            if band is None:
+                j = j[(bands[j] == bands[i]).any(axis=1)]
+            else:
+                j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -173,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, rows: int = ROWS, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, rows: int = ROWS, sketched: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(classes, links): node, fp and class of every distinct text that has a word, and the links that were verified.
 
     The links connect every class; pairs inside a class that other links join already aren't all tried.
@@ -196,14 +247,15 @@ def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, ro
     links = common.cut(verified(tried, texts, least))
     labels = components(links)
     # Buckets that still hold more than one component.
-    placed = buckets.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = common.cut(placed.join(mixed, "key"))
+    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg((F.sum("size") - F.max("size")).alias("others")).where("others > 0")
+    open_ = common.cut(thinned(common.cut(placed.join(mixed, "key")), texts, least, block))
     nodes = open_.select("node").distinct()
     fine = common.cut(sketches(texts.join(nodes, "node")))
     open_ = open_.join(reps.select("node", "bands"), "node").join(fine, "node")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.cut(across(open_, least, sketched=sketched).distinct().join(done, ["a", "b"], "left_anti"))
+    rest = common.cut(across(open_, least, block=block, sketched=sketched).distinct().join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = common.cut(links.unionByName(verified(rest, texts, least)))
         labels = components(links)
@@ -212,9 +264,9 @@ def groups(docs: DataFrame, least: float = LEAST, registers: int = REGISTERS, ro
     return classes, links
 
 
-def classified(docs: DataFrame, least: float = LEAST, sketched: bool = True) -> DataFrame:
+def classified(docs: DataFrame, least: float = LEAST, sketched: bool = True, block: int = BLOCK) -> DataFrame:
     """doc_id, fp and comp of every row; comp is null where the text has no word."""
-    classes, _ = groups(docs, least, sketched=sketched)
+    classes, _ = groups(docs, least, sketched=sketched, block=block)
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("fp"))
     return rows.join(classes.select("fp", "comp"), "fp", "left")
 
