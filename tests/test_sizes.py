@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
+from tests.test_book import processor
+from tidemark.sources import fixtures
 from tidemark.sources.fixtures import ORACLE, fixture
+from tidemark.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +27,29 @@ def test_messages_of_a_long_day_equal_the_sql(spark, long_day, tmp_path):
     names = ", ".join(x[0] for x in con.execute("DESCRIBE want").fetchall())
     assert con.execute(f"SELECT count(*) FROM (SELECT {names} FROM want EXCEPT SELECT {names} FROM got)").fetchone()[0] == 0
     assert con.execute("SELECT (SELECT count(*) FROM want) - (SELECT count(*) FROM got)").fetchone()[0] == 0
+
+
+def test_a_micro_batch_is_handed_on_in_chunks_and_reads_orders_by_bucket():
+    """Snapshots aren't held until the micro-batch ends, and orders next to each other take one call."""
+    fold, batch = processor()
+    rows = [(i + 1, 2_000_000 + i, 1 + 3 * (i % 7 == 0), i % 6000, 5, 100 + i % 50, 1 if i % 2 else -1) for i in range(3 * live.ROWS)]
+    chunks = [len(out) + len(late) for out, late in fold.folded(batch(rows))]
+    assert sum(chunks) == len(rows) and max(chunks) <= live.ROWS
+    assert fold.orders.reads == 2 and len(fold.orders) <= 2
+    held = {}
+    for seq, ts, event, oid, *change in rows:
+        held[oid] = live.after(held.get(oid), event, *change)
+    assert live.Orders(fold.orders, list(held)).before == held
+
+
+def test_pieces_of_a_feed_are_bounded(spark, tmp_path):
+    """Every micro-batch has a bounded number of messages of a group, in order."""
+    m = spark.range(1000).selectExpr("cast(id % 2 as int) as ticker_id", "0 as day_id", "id div 2 + 1 as seq", "id as ts_us", "1 as event_type", "id as order_id", "1 as size", "5L as price", "1 as direction")
+    steps, sizes = fixtures.arrivals(m.where("seq % 4 <> 0"), f"{tmp_path}/aside", f"{tmp_path}/in", 100), []
+    for bring in steps:
+        bring()
+        sizes.append(spark.read.parquet(f"{tmp_path}/in").agg({"seq": "max"}).first()[0])
+    assert sizes == [99, 199, 299, 399, 499] and spark.read.parquet(f"{tmp_path}/in").count() == 750
+    steps = fixtures.arrivals(m.withColumn("ts_us", m.ts_us + 2_000_000), f"{tmp_path}/other", f"{tmp_path}/late", 100)
+    _, best, late = live.live_book(spark.readStream.schema(m.schema).parquet(f"{tmp_path}/late"), f"{tmp_path}/run", arrivals=steps)
+    assert best.count() == 1000 and late.count() == 0
