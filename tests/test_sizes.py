@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from tests.test_book import processor
+from tests.test_book import SCHEMA, feed, processor
+from tidemark.operators import book, ranks
 from tidemark.sources import fixtures
 from tidemark.sources.fixtures import ORACLE, fixture
 from tidemark.streaming import live
@@ -53,3 +54,30 @@ def test_pieces_of_a_feed_are_bounded(spark, tmp_path):
     steps = fixtures.arrivals(m.withColumn("ts_us", m.ts_us + 2_000_000), f"{tmp_path}/other", f"{tmp_path}/late", 100)
     _, best, late = live.live_book(spark.readStream.schema(m.schema).parquet(f"{tmp_path}/late"), f"{tmp_path}/run", arrivals=steps)
     assert best.count() == 1000 and late.count() == 0
+
+
+def sorts(df):
+    """How many sorts a plan has, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [")
+
+
+def test_orders_and_levels_are_sorted_once(spark):
+    """Windows of one order share a sort, so that a task doesn't hold its rows once for each."""
+    m = spark.createDataFrame(feed(3), SCHEMA).localCheckpoint()
+    deltas = book.level_deltas(m)
+    assert sorts(deltas) == 1
+    assert sorts(book.level_volumes(deltas.localCheckpoint())) == 1
+    net = {}
+    for r in deltas.orderBy("seq").collect():
+        level = r.ticker_id, r.day_id, r.side, r.px
+        net[(*level, r.seq)] = net.get((*level, r.seq), max([(s, v) for (*k, s), v in net.items() if tuple(k) == level and s < r.seq], default=(0, 0))[1]) + r.delta
+    assert {(r.ticker_id, r.day_id, r.side, r.px, r.seq): r.volume for r in book.level_volumes(deltas).collect()} == net
+
+
+def test_a_long_day_is_numbered_by_many_tasks(spark, long_day):
+    """No window has a whole day in one task; large tables get more partitions than the session's."""
+    plan = fixture(spark, long_day, "mbo")._jdf.queryExecution().sparkPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("windowspecdefinition(l_orderkey#" in x for x in windows)
+    few = spark.range(10)
+    assert ranks.parts(few, None) == ranks.parts(few, 4 * ranks.PART_ROWS) == [] and ranks.parts(few, 4 * ranks.PART_ROWS + 1) == [5]
