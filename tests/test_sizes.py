@@ -1,6 +1,7 @@
 """What only large tables tell: results, partitions and memory that don't follow the size of a group."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tests.test_book import SCHEMA, feed, processor
@@ -43,6 +44,28 @@ def test_a_micro_batch_is_handed_on_in_chunks_and_reads_orders_by_bucket():
     assert live.Orders(fold.orders, list(held)).before == held
 
 
+def test_python_is_handed_packed_messages_and_gives_columns():
+    """No row of a feed is converted on its own: neither what comes, nor the levels of a snapshot."""
+    fold, batch = processor()
+    rows = batch([(i + 1, 2_000_000 + i, 1 + 3 * (i % 7 == 0), i % 60, 5, 100 + i % 50, 1 if i % 2 else -1) for i in range(100)])
+    want = processor()[0].fold(rows)[0]
+    pieces = pd.DataFrame({"row_kind": 0, "rows": [rows[i : i + 30].to_numpy("int64").tobytes() for i in (60, 0, 90, 30)]})
+    got = pd.concat(fold.handleInputRows((3, 4), iter([pieces[:1], pieces[1:]]), None))
+    assert [c for c in got if got[c].dtype == object or str(got[c].dtype).startswith("str")] == ["kind"] and set(got["kind"]) == {"book"}
+    assert got[live.FLAT].to_numpy().tolist() == [[*r[:3], *r[3], *r[4], *r[5], *r[6]] for r in want]
+    late = next(fold.handleInputRows((3, 4), iter([pieces[:1]]), None))
+    assert set(late["kind"]) == {"late"} and late["seq"].tolist() == list(range(61, 91))
+
+
+def test_a_micro_batch_is_written_once_and_not_held(spark, tmp_path):
+    rows = [(*r[:6], None if r[5] in (2, 3) else r[6], *r[7:]) for r in feed(5)]
+    m = spark.createDataFrame(rows, SCHEMA)
+    m.write.parquet(f"{tmp_path}/in")
+    snaps, best, late = live.live_book(spark.readStream.schema(m.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/run")
+    assert {x.name for x in (tmp_path / "run").iterdir()} == {"checkpoint", "book"} and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, book.bbo(book.snapshots(m)).collect())) and snaps.count() == len(rows) and late.isEmpty()
+
+
 def test_pieces_of_a_feed_are_bounded(spark, tmp_path):
     """Every micro-batch has a bounded number of messages of a group, in order."""
     m = spark.range(1000).selectExpr("cast(id % 2 as int) as ticker_id", "0 as day_id", "id div 2 + 1 as seq", "id as ts_us", "1 as event_type", "id as order_id", "1 as size", "5L as price", "1 as direction")
