@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tests.test_book import SCHEMA, feed, processor
-from tidemark.operators import book, ranks
+from tidemark.operators import asof, book, ranks, validate
 from tidemark.sources import fixtures
 from tidemark.sources.fixtures import ORACLE, fixture
 from tidemark.streaming import live
@@ -104,3 +104,52 @@ def test_a_long_day_is_numbered_by_many_tasks(spark, long_day):
     assert windows and all("windowspecdefinition(l_orderkey#" in x for x in windows)
     few = spark.range(10)
     assert ranks.parts(few, None) == ranks.parts(few, 4 * ranks.PART_ROWS) == [] and ranks.parts(few, 4 * ranks.PART_ROWS + 1) == [5]
+
+
+def dealt_by(df, *keys):
+    """The exchanges of a plan, before it runs, that deal rows by ``keys`` to a number of tasks of their own."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and all(f"{k}#" in x for k in keys)]
+
+
+def test_books_are_dealt_by_their_number_of_rows(spark, monkeypatch):
+    """With a number of messages given, more tasks than the session's partitions; results don't change."""
+    monkeypatch.setattr(ranks, "PART_ROWS", 50)
+    m = spark.createDataFrame(feed(3), SCHEMA).localCheckpoint()
+    n = m.count()
+    assert n > 4 * 50
+    deltas = book.level_deltas(m, n_rows=n)
+    assert dealt_by(deltas, "order_id") and not dealt_by(book.level_deltas(m), "order_id")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(deltas) == rows(book.level_deltas(m))
+    volumes = book.level_volumes(deltas, n_rows=n)
+    assert dealt_by(volumes, "side", "px") and rows(volumes) == rows(book.level_volumes(deltas))
+    stab = book.bbo_stab(m, slice_rows=16, n_rows=n)
+    assert dealt_by(stab, "slice") and dealt_by(stab, "seq") and rows(stab) == rows(book.bbo_stab(m, slice_rows=16))
+    snaps = book.snapshots(m, slice_rows=40, n_rows=n)
+    assert dealt_by(snaps, "slice") and dealt_by(snaps, "seq") and rows(snaps) == rows(book.snapshots(m))
+    at = m.where("seq % 9 = 0").selectExpr("ticker_id", "day_id", "seq as at")
+    depth = book.depth_at(deltas, at, 3, n_rows=n)
+    assert dealt_by(depth, "slice") and rows(depth) == rows(book.depth_at(deltas, at, 3))
+
+
+def test_rows_of_a_day_do_not_meet_for_its_bounds(spark, monkeypatch):
+    """No join by group alone is a shuffle; half hours of many rows are cut; results don't change."""
+    monkeypatch.setattr(ranks, "PART_ROWS", 50)
+    monkeypatch.setattr(asof, "SLICE_ROWS", 20)
+    m = spark.createDataFrame(feed(4), SCHEMA).selectExpr("ticker_id", "day_id", "seq", "2000000 + seq * 1000 as ts_us", "event_type", "order_id", "size", "price", "direction").localCheckpoint()
+    t = m.where("seq % 7 = 0").selectExpr("ticker_id", "day_id", "seq as tseq", "ts_us", "price as bid_px", "size as bid_sz", "price + 1 as ask_px", "size as ask_sz")
+    n, keys = m.count(), ["ticker_id", "day_id"]
+    assert asof.width(m, t, keys, "ts_us", asof.HALF_HOUR, 20) == asof.HALF_HOUR // 8 and asof.width(m, t, keys, "ts_us", asof.HALF_HOUR, n) == asof.HALF_HOUR
+    rows = lambda df: sorted(map(str, df.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gated = validate.session_gate(m, t, 3000, n_rows=n)
+        found = asof.asof(m.select(*keys, "seq", "ts_us"), t, ["tseq"], in_order=True, n_rows=n)
+        for df in (gated, found):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert dealt_by(found, "__bucket") and dealt_by(found, "__slice")
+        assert rows(gated) == rows(validate.session_gate(m, t, 3000))
+        assert rows(found) == rows(asof.asof(m.select(*keys, "seq", "ts_us"), t, ["tseq"], in_order=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
