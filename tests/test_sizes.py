@@ -153,3 +153,20 @@ def test_rows_of_a_day_do_not_meet_for_its_bounds(spark, monkeypatch):
         assert rows(found) == rows(asof.asof(m.select(*keys, "seq", "ts_us"), t, ["tseq"], in_order=True))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_fresh_replay_starts_with_a_piece(tmp_path):
+    """Spark asks for the end of the first micro-batch before it says where that starts; it must not be the whole day."""
+    from tidemark.sources import fixedrec
+
+    (tmp_path / "mbo_0_0.bin").write_bytes(bytes(36 * 10))
+    stream = fixedrec.FixedRecordStream({"kind": "orders", "path": str(tmp_path), "rows_per_file": "4", "fresh": "true"})
+    start, ends = {}, []
+    for _ in range(3):
+        end = stream.latestOffset()
+        stream.partitions(start, end)
+        start = end
+        ends += end.values()
+    assert ends == [4, 8, 10]
+    with pytest.raises(ValueError):
+        fixedrec.FixedRecordStream({"kind": "orders", "path": str(tmp_path), "rows_per_file": "4", "fresh": "true"}).partitions({next(iter(end)): 9}, {next(iter(end)): 4})

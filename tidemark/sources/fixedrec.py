@@ -109,13 +109,14 @@ class FixedRecordStream(Ranges, DataSourceStreamReader):
 
     The offset is the number of records read of each file, so a restart goes on where the checkpoint ends, and a micro-batch that failed
     reads the same ranges again.  With ``rows_per_file`` a micro-batch reads so many records of each file at most, which replays
-    stored files piece by piece; the first micro-batch after a restart reads all that is there.
+    stored files piece by piece; the first micro-batch of a query reads all that is there, since Spark doesn't say then where it starts,
+    unless ``fresh`` tells that it has no checkpoint yet.
     """
 
     def __init__(self, options: dict) -> None:
         super().__init__(options)
         self.most = int(options["rows_per_file"]) if options.get("rows_per_file") else None
-        self.at: dict | None = None
+        self.at: dict | None = {} if str(options.get("fresh", "")).lower() == "true" else None
 
     def initialOffset(self) -> dict:
         self.at = {}
@@ -129,6 +130,8 @@ class FixedRecordStream(Ranges, DataSourceStreamReader):
         return there
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
+        if any(n < start.get(path, 0) for path, n in end.items()):
+            raise ValueError("the stream isn't fresh: its checkpoint is further on")
         self.at = end
         return [part for path, n in sorted(end.items()) for part in self.cut(path, start.get(path, 0), n)]
 
