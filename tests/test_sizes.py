@@ -133,6 +133,22 @@ def test_books_are_dealt_by_their_number_of_rows(spark, monkeypatch):
     assert dealt_by(depth, "slice") and rows(depth) == rows(book.depth_at(deltas, at, 3))
 
 
+def test_rows_are_dealt_where_the_session_has_more_partitions_than_cores(spark, monkeypatch):
+    """Adaptive execution would join 200 partitions until there are as many as cores, so that a task's rows grow with the table."""
+    monkeypatch.setattr(ranks, "PART_ROWS", 50)
+    m = spark.createDataFrame(feed(3), SCHEMA).localCheckpoint()
+    n = m.count()
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(book.level_volumes(book.level_deltas(m)))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert 4 * 50 < n < 200 * 50 and ranks.parts(m, 4 * 50) == []
+        volumes = book.level_volumes(book.level_deltas(m, n_rows=n), n_rows=n)
+        assert dealt_by(volumes, "order_id") and dealt_by(volumes, "side", "px") and rows(volumes) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_rows_of_a_day_do_not_meet_for_its_bounds(spark, monkeypatch):
     """No join by group alone is a shuffle; half hours of many rows are cut; results don't change."""
     monkeypatch.setattr(ranks, "PART_ROWS", 50)
