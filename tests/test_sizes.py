@@ -6,7 +6,7 @@ import pytest
 
 from tests.test_book import SCHEMA, feed, processor
 from tidemark.operators import asof, book, ranks, validate
-from tidemark.sources import fixtures
+from tidemark.sources import fixtures, sinks
 from tidemark.sources.fixtures import ORACLE, fixture
 from tidemark.streaming import live
 
@@ -149,6 +149,18 @@ def test_rows_are_dealt_where_the_session_has_more_partitions_than_cores(spark,
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_a_long_day_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A directory a group, a file a slice at most, and no file that has a whole long day."""
+    monkeypatch.setattr(sinks, "SLICE_ROWS", 100)
+    rows = spark.range(1000).selectExpr("0 as ticker_id", "cast(id % 10 = 0 as int) as day_id", "id + 1 as seq")
+    for n in (1000, None):
+        sinks.write_partitioned(rows, str(tmp_path / str(n)), n_rows=n)
+        got = spark.read.parquet(str(tmp_path / str(n))).selectExpr("*", "input_file_name() as file", "floor((seq - 1) / 100) as slice")
+        assert sorted((r.ticker_id, r.day_id, r.seq) for r in got.collect()) == sorted(map(tuple, rows.collect()))
+        files = [len(list((tmp_path / str(n) / "ticker_id=0" / f"day_id={k}").glob("*.parquet"))) for k in (0, 1)]
+        assert (n is None or min(files) > 1) and max(files) <= 10 and got.groupBy("day_id", "slice").agg({"file": "count"}).count() == got.select("day_id", "slice", "file").distinct().count()
+
+
 def test_rows_of_a_day_do_not_meet_for_its_bounds(spark, monkeypatch):
     """No join by group alone is a shuffle; half hours of many rows are cut; results don't change."""
     monkeypatch.setattr(ranks, "PART_ROWS", 50)
