@@ -46,6 +46,22 @@ def test_collocations_equal_plain_counts(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_collocations_count_pairs_of_frequent_words_only(spark):
+    """A pair of which a word is rare is not handed on, a word that another language has often included; hashes are dealt before they are added up."""
+    docs = [("a b a b", "en")] * 10 + [("a x", "en"), ("b y. a c", "en"), ("a c", "de")] + [("c", "de")] * 20
+    df = spark.createDataFrame(docs, "text string, lang string")
+    words = collocations.word_counts(df).where("f >= 10")
+    bits = collocations.bitmap(collocations.word_slots(words))
+    assert {(r.lang, r.word) for r in words.collect()} == {("en", "a"), ("en", "b"), ("de", "c")} and np.unpackbits(bits).sum() == 3
+    block = collocations.Words(collocations.pa.RecordBatch.from_pylist([{"text": t, "lang": lang} for t, lang in docs]))
+    at, _ = collocations.longer_phrases(block, 1, bits)
+    assert Counter(block.phrases(at, 2).to_pylist()) == {"a b": 20, "b a": 10} and len(collocations.longer_phrases(block, 1, None)[0]) == 34
+    found = collocations.frequent_slots(df, 1, bits, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange" in plan and "Aggregate" not in plan.split("Exchange", 1)[1]
+    assert found.count() == 2
+
+
 def test_collocations_read_all_bitmaps_alike(spark, monkeypatch):
     docs = [("one two three four five six", "en")] * 30 + [("two three", "en")] * 30 + [("x" + str(i), "en") for i in range(500)]
     df = spark.createDataFrame(docs, "text string, lang string")

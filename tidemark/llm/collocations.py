@@ -7,7 +7,7 @@ total of the stripe that this longer prefix has; so merged stripes give the coun
 the largest entry of a stripe and the largest entry that ends in the same words, how often a phrase is part of a longer one.
 
 Phrases of 2, 3, 4 and 5 words are counted by hash before, each where its first and its last words but one are frequent, as those of every frequent
-phrase are; those whose hash occurs ``least`` times enter the stripes, which have their words.  Tasks know what is frequent
+phrase are (of a pair, both words); those whose hash occurs ``least`` times enter the stripes, which have their words.  Tasks know what is frequent
 by a bitmap of hashes of a fixed size, which may let others through, never stops one of them, and changes the work and not the counts.
 
 Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line ends, and pieces into words at blanks and tabs.  A null
@@ -126,6 +126,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("c").alias("f"))
 
 
+def word_slots(words: DataFrame) -> DataFrame:
+    """(slot): where the bitmap has the words of (lang, word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = common.mix64(hashed(batch.column("lang")) + hashed(batch.column("word")))
+            yield pa.RecordBatch.from_arrays([pa.array(slots(h))], names=["slot"])
+
+    return words.select("lang", "word").mapInArrow(run, "slot long")
+
+
 def longer_phrases(words: Words, k: int, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Where phrases of k + 1 words start, and their hashes: those whose first k words and last k words are frequent by the bitmap (all, without one)."""
     h = good = longer = whole = None
@@ -140,7 +151,11 @@ def longer_phrases(words: Words, k: int, prefixes: np.ndarray | None) -> tuple[n
 
 
 def frequent_slots(docs: DataFrame, k: int, prefixes: np.ndarray | None, least: int) -> DataFrame:
-    """(slot): where the bitmap has the phrases of k + 1 words that may be frequent and whose hash occurs ``least`` times or more."""
+    """(slot): where the bitmap has the phrases of k + 1 words that may be frequent and whose hash occurs ``least`` times or more.
+
+    Hashes are dealt to tasks before Spark adds them up: most of a task's occur in one of its blocks only, which have counted them, so that
+    a map of them all would take a task's memory and leave their number as it is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(prefixes)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -159,7 +174,7 @@ def frequent_slots(docs: DataFrame, k: int, prefixes: np.ndarray | None, least:
         if held:
             yield counted(held)
 
-    sums = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    sums = docs.mapInArrow(run, "h long, c long").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
     return sums.where(F.col("c") >= least).select(F.col("h").bitwiseAND(BITS - 1).alias("slot"))
 
 
@@ -243,10 +258,12 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[
     counts = common.staged(word_counts(docs), "words")
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     cells = counts.where(F.col("f") >= least).select("lang", F.lit("").alias("prefix"), "word", "f")
-    frequent: list[np.ndarray] = []
+    if longest < 2:
+        return cells, sizes
+    frequent = [bitmap(word_slots(cells))]
     for k in range(1, longest):
-        frequent.append(bitmap(frequent_slots(docs, k, frequent[-1] if frequent else None, least)))
-    return (cells.unionByName(common.staged(merged(stripes(docs, frequent), least), "stripes")) if frequent else cells), sizes
+        frequent.append(bitmap(frequent_slots(docs, k, frequent[-1], least)))
+    return cells.unionByName(common.staged(merged(stripes(docs, frequent[1:]), least), "stripes")), sizes
 
 
 def entries(cells: DataFrame) -> DataFrame:
