@@ -84,6 +84,23 @@ def test_stripes_of_a_task_add_up(monkeypatch):
     assert out == {("a", "x"): 20, ("b", "x"): 60, **{("a", str(i)): 10 for i in range(4)}}
 
 
+def test_stripes_of_tasks_meet_before_they_become_entries(spark, monkeypatch):
+    """No more entries than tasks that add them up have different ones, however many tasks' stripes hold them; a long counter is no single row."""
+    monkeypatch.setattr(collocations, "HELD", 1000)
+    kept = collocations.Stripes()
+    kept.add(collocations.pa.table({"lang": ["en"] * 102, "prefix": ["a"] * 100 + ["a b"] * 2, "word": [f"w{i}" for i in range(100)] + ["x", "y"], "count": [1] * 102}))
+    rows = [r for b in kept.taken() for r in b.to_pylist()]
+    assert len([r for r in rows if r["prefix"] == "a"]) == len({r["share"] for r in rows}) == collocations.SHARES and [r["words"] for r in rows if r["prefix"] == "a b"] == [["x", "y"]]
+    kind = "lang string, prefix string, share int, words array<string>, counts array<long>"
+    parts = spark.createDataFrame(rows * 40, kind).repartition(8)
+    found = collocations.merged(parts, 40)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.prefix, r.word): r.f for r in found.collect()} == {**{("a", f"w{i}"): 40 for i in range(100)}, ("a b", "x"): 40, ("a b", "y"): 40}
+    assert collocations.merged(parts, 41).isEmpty()
+    kept.add(collocations.pa.table({"lang": ["en"] * 2, "prefix": ["a"] * 2, "word": ["x"] * 2, "count": [1, 2]}))
+    assert [r["count"] for b in kept.cells() for r in b.to_pylist()] == [3] and list(kept.cells()) == [] and kept.rows == 0
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     cells = [("en", "", "p", 3_000_000_019), ("en", "", "q", 7_000_000_001), ("en", "p", "q", 2_999_999_999)]
     got = collocations.scored(spark.createDataFrame(cells, "lang string, prefix string, word string, f long"), spark.createDataFrame([("en", 90_000_000_000_007)], "lang string, n long")).collect()

@@ -1,8 +1,7 @@
 """Phrase collocations by the stripes pattern.
 
 A stripe is a prefix of none to four words with an associative counter of the words that follow it.  A task keeps the stripes of
-its texts and adds them up element by element; so are those of all tasks, counter by counter, so that
-a prefix which half of all text has is no single row.  The entry of a word in a stripe is the count of the prefix and the word, hence the
+its texts and adds them up element by element; so are those of all tasks, which meet by prefix and, where a counter is long, by shares of it, so that a prefix which half of all text has is no single row.  What tasks add up is bounded, and its sums are added up by entry.  The entry of a word in a stripe is the count of the prefix and the word, hence the
 total of the stripe that this longer prefix has; so merged stripes give the counts of all extensions, the totals of all prefixes and, as
 the largest entry of a stripe and the largest entry that ends in the same words, how often a phrase is part of a longer one.
 
@@ -33,6 +32,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 26  # of the bitmap of a level: 8 MB, whatever the corpus
 BITMAP = 32768  # bits of one row of Spark's bitmaps
 BLOCK, SALTS = 2 << 20, 64
+COUNTER, SHARES = 64, 16  # a longer counter is cut into so many shares
 HELD = 1 << 19  # cells or pairs that a task holds, and those of a block, before it adds them up or hands them on
 
 WORD, BLANK, BREAK = 0, 1, 2
@@ -208,16 +208,28 @@ class Stripes:
     def merged(self) -> pa.Table:
         return pa.concat_tables(self.parts).group_by(["lang", "prefix", "word"]).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "word", "count"])
 
+    def cells(self) -> Iterator[pa.RecordBatch]:
+        """The cells, added up; none are held afterwards."""
+        if self.parts:
+            yield from self.merged().to_batches(max_chunksize=10_000)
+        self.parts, self.rows = [], 0
+
     def taken(self) -> Iterator[pa.RecordBatch]:
-        """The stripes, (lang, prefix, words, counts); none are held afterwards."""
+        """The stripes, (lang, prefix, share, words, counts), of which those of more than ``COUNTER`` words are cut into shares by the words; none are held afterwards."""
         if self.parts:
-            table = self.merged().group_by(["lang", "prefix"]).aggregate([("word", "list"), ("count", "list")])
-            yield from table.rename_columns(["lang", "prefix", "words", "counts"]).to_batches(max_chunksize=10_000)
+            names = ["lang", "prefix", "share", "words", "counts"]
+            cells = self.merged()
+            lang, prefix, word = (cells[c].combine_chunks().dictionary_encode() for c in ("lang", "prefix", "word"))
+            owner = lang.indices.to_numpy().astype(np.int64) * len(prefix.dictionary) + prefix.indices.to_numpy()
+            _, stripe, size = np.unique(owner, return_inverse=True, return_counts=True)
+            share = np.where(size[stripe] > COUNTER, (hashed(word.dictionary) % np.uint64(SHARES)).astype(np.int32)[word.indices.to_numpy()], 0)
+            stripes = cells.append_column("share", pa.array(share, pa.int32())).group_by(names[:3]).aggregate([("word", "list"), ("count", "list")])
+            yield from stripes.rename_columns(names).to_batches(max_chunksize=10_000)
         self.parts, self.rows = [], 0
 
 
 def stripes(docs: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
-    """(lang, prefix, words, counts): the stripes of each task, with the words that make a frequent phrase by the bitmaps of phrases of 2, 3, .. words."""
+    """(lang, prefix, share, words, counts): the stripes of each task, with the words that make a frequent phrase by the bitmaps of phrases of 2, 3, .. words."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cells(words: Words, k: int, at: np.ndarray) -> pa.Table:
@@ -241,13 +253,23 @@ def stripes(docs: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
                 yield from kept.taken()
         yield from kept.taken()
 
-    return docs.mapInArrow(run, "lang string, prefix string, words array<string>, counts array<long>")
+    return docs.mapInArrow(run, "lang string, prefix string, share int, words array<string>, counts array<long>")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
     """(lang, prefix, word, f): stripes added element by element; entries under ``least`` are left out, since no frequent phrase holds them."""
-    cells = parts.select("lang", "prefix", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", "prefix", F.col("words").alias("word"))
-    return cells.agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Stripes()
+        for batch in batches:
+            words, owner = batch.column("words"), pc.list_parent_indices(batch.column("words"))
+            kept.add(pa.table([batch.column("lang").take(owner), batch.column("prefix").take(owner), pc.list_flatten(words), pc.list_flatten(batch.column("counts"))], names=["lang", "prefix", "word", "count"]))
+            if kept.full():
+                yield from kept.cells()
+        yield from kept.cells()
+
+    met = parts.repartition("lang", "prefix", "share").mapInArrow(run, "lang string, prefix string, word string, count long")
+    return met.groupBy("lang", "prefix", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
 
 
 def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
