@@ -1,10 +1,11 @@
 """What only large tables tell: results, partitions and memory that don't follow the size of a group."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from tests.test_book import SCHEMA, feed, processor
+from tests.test_book import SCHEMA, Reads, feed, processor
 from tidemark.operators import asof, book, ranks, validate
 from tidemark.sources import fixtures, sinks
 from tidemark.sources.fixtures import ORACLE, fixture
@@ -198,3 +199,111 @@ def test_a_fresh_replay_starts_with_a_piece(tmp_path):
     assert ends == [4, 8, 10]
     with pytest.raises(ValueError):
         fixedrec.FixedRecordStream({"kind": "orders", "path": str(tmp_path), "rows_per_file": "4", "fresh": "true"}).partitions({next(iter(end)): 9}, {next(iter(end)): 4})
+
+
+def folded_plainly(rows, late, books):
+    """(snapshots, late messages) of messages in arrival order, one by one; ``books`` holds orders and the last seq and time."""
+    out, behind = [], []
+    for seq, ts, event, oid, size, price, direction in rows:
+        if seq <= books["seq"]:
+            behind.append((seq, ts))
+            if late == "drop":
+                continue
+        books["seq"] = max(books["seq"], seq)
+        if not (price >= 10_000_000 or (event == 1 and price == 0)):
+            books["orders"][oid] = live.after(books["orders"].get(oid), event, size, price, direction)
+            books["ts"] = ts
+        books["on"] = books["on"] or ts > 1_000_000
+        if books["on"]:
+            sides = []
+            for sign in (1, -1):
+                levels = {}
+                for left in books["orders"].values():
+                    if left is not None and (left[2] == 1) == (sign == 1):
+                        levels[left[1]] = levels.get(left[1], 0) + left[0]
+                top = sorted(levels, reverse=sign == 1)[:10]
+                sides += [top + [0] * (10 - len(top)), [levels[px] for px in top] + [0] * (10 - len(top))]
+            out.append((seq, ts, books["ts"], *sides))
+    return out, behind
+
+
+@pytest.mark.parametrize("late", ["drop", "apply"])
+@pytest.mark.parametrize("prices,cells", [(8, 1 << 18), (400, 1 << 18), (400, 64)])
+def test_a_micro_batch_folds_as_its_messages_one_by_one(late, prices, cells, monkeypatch):
+    """Whatever order of events, sides, levels and late messages, and wherever chunks and blocks are cut."""
+    monkeypatch.setattr(live, "ROWS", 37)
+    monkeypatch.setattr(live, "CELLS", cells, raising=False)
+    monkeypatch.setattr(live, "BUCKET", 4)
+    rng = np.random.default_rng(prices)
+    fold, batch = processor()
+    fold.drop = late == "drop"
+    books, seq = {"orders": {}, "seq": -1, "ts": 0, "on": False}, 0
+    for _ in range(6):
+        rows = []
+        for _ in range(150):
+            seq = seq + 1 if rng.random() < 0.9 else max(1, seq - int(rng.integers(0, 20)))
+            price = int(rng.choice([0, 10_000_000, *(1000 + rng.integers(0, prices, 20))]))
+            rows.append((seq, 900_000 + seq * 1000, int(rng.integers(1, 6)), int(rng.integers(0, 60)) * 100_003, int(rng.integers(0, 9)), price, int(rng.choice([1, -1, 0]))))
+        out, behind = fold.fold(batch(rows))
+        want = folded_plainly(sorted(rows, key=lambda r: r[0]), late, books)
+        assert [tuple(map(list, (r[:3], *r[3:]))) for r in out] == [tuple(map(list, (r[:3], *r[3:]))) for r in want[0]] and behind == want[1]
+        seq = max(r[0] for r in rows)
+
+
+class Keyed(Reads):
+    """A map state whose keys come as an iterator."""
+
+    def keys(self):
+        return iter(list(super().keys()))
+
+
+def test_orders_far_apart_are_read_in_few_calls():
+    """A long day's messages name orders all over its ids; neither calls nor results follow the number of buckets of 4,096 ids."""
+    fold, batch = processor()
+    fold.orders = Keyed()
+    row = lambda seq, oid, event=1, size=5: (seq, 2_000_000 + seq, event, oid, size, 100 + oid % 50, 1 if oid % 2 else -1)
+    near = [row(i + 1, i * 1000) for i in range(300)]
+    fold.fold(batch(near))
+    narrow = len(fold.orders)
+    far = [row(301 + i, i * 8111 - 2_000_000) for i in range(5000)]
+    fold.fold(batch(far))
+    held = len(fold.orders)
+    assert 70 < narrow < 256 and held <= 257
+    fold.orders.reads = 0
+    fold.fold(batch([row(5301 + i, r[3], 2, 2) for i, r in enumerate(near + far)]))
+    assert fold.orders.reads <= 257
+    width = fold.marks.get()[-1]
+    want = {}
+    for r in near + far + [row(0, r[3], 2, 2) for r in near + far]:
+        want[r[3]] = live.after(want.get(r[3]), r[2], *r[4:])
+    assert live.Orders(fold.orders, list(want), width).before == want
+
+
+def test_late_messages_alone_leave_the_same_book():
+    """What isn't asked for isn't handed on; the book is kept all the same."""
+    whole, batch = processor()
+    alone = processor()[0]
+    alone.tells = []
+    rows = [(i + 1, 2_000_000 + i, 1 + 3 * (i % 7 == 0), i % 60, 5, 100 + i % 50, 1 if i % 2 else -1) for i in range(400)]
+    for part in (rows[:300], rows[280:]):
+        want, late = whole.fold(batch(part))
+        packed = pd.DataFrame({"row_kind": 0, "rows": [batch(part).to_numpy("int64").tobytes()]})
+        got = list(alone.handleInputRows((3, 4), iter([packed]), None))
+        assert want and [s for x in got for s in x["seq"].tolist()] == [r[0] for r in late] and all(set(x.columns) == {"ticker_id", "day_id", "kind", "seq", "ts_us"} for x in got)
+    assert dict(alone.orders) == dict(whole.orders) and alone.marks.get()[:3] == whole.marks.get()[:3]
+    levels = lambda fold: {k: {p: v for p, v in zip(*held)} for k, held in fold.levels.items()}
+    assert levels(alone) == levels(whole)
+
+
+def test_a_streams_state_has_no_more_partitions_than_cores_need(spark, tmp_path):
+    """Each partition is opened and committed in every micro-batch, so their number must not follow the session's."""
+    rows = feed(5)
+    m = spark.createDataFrame(rows, SCHEMA)
+    m.write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        best = live.live_book(spark.readStream.schema(m.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/run")[1]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and best.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len([x for x in (tmp_path / "run/checkpoint/state/0").iterdir() if x.name.isdigit()]) == 16
